@@ -1,0 +1,24 @@
+"""All queries of the reference's operators by name, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def trend_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders a month: number, distinct customers, distinct customers with large orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    large = F.when(F.col("o_totalprice") > 200000, F.col("o_custkey"))
+    return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("n_orders"), F.countDistinct("o_custkey").alias("n_customers"), F.countDistinct(large).alias("n_large_customers")
+    )
+
+
+QUERIES = {"trend_monthly": trend_monthly}
+ORACLE_SQL = {
+    "trend_monthly": """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers,
+       count(DISTINCT CASE WHEN o_totalprice > 200000 THEN o_custkey END) AS n_large_customers
+FROM orders GROUP BY 1"""
+}
