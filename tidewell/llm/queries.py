@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.common import load
 from tidewell.llm.near_dedup import near_duplicates
+from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality_rules import quality_report
 from tidewell.llm.secret_scan import secret_report
 
@@ -14,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -22,5 +27,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_near_dedup, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_near_dedup, op7_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
