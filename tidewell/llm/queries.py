@@ -8,6 +8,7 @@ from tidewell.llm.common import load
 from tidewell.llm.mixing import mix
 from tidewell.llm.near_dedup import near_duplicates
 from tidewell.llm.packing import pack_documents
+from tidewell.llm.quality_model import resample
 from tidewell.llm.quality_rules import quality_report
 from tidewell.llm.secret_scan import secret_report
 from tidewell.llm.sharding import LIMIT, MAX_BITS, assign_shards
@@ -42,9 +43,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(load(spark, sf_dir, "documents"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing, op6_sharding, op7_quality_rules)
+    for f in (op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing, op6_sharding, op7_quality_rules, op8_quality_model)
 }
 
 ORACLE_SQL = {
