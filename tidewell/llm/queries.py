@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.common import load
+from tidewell.llm.fingerprint import fingerprints
 from tidewell.llm.mixing import mix
 from tidewell.llm.near_dedup import near_duplicates
 from tidewell.llm.packing import pack_documents
@@ -47,9 +48,13 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing, op6_sharding, op7_quality_rules, op8_quality_model)
+    for f in (op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing, op6_sharding, op7_quality_rules, op8_quality_model, op9_fingerprints)
 }
 
 ORACLE_SQL = {
