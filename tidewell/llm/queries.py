@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.common import load
 from tidewell.llm.fingerprint import fingerprints
+from tidewell.llm.language_id import identify
 from tidewell.llm.mixing import mix
 from tidewell.llm.near_dedup import near_duplicates
 from tidewell.llm.packing import pack_documents
@@ -52,10 +53,17 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "pages"), load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing, op6_sharding, op7_quality_rules, op8_quality_model, op9_fingerprints)
-}
+    for f in (
+        op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing,
+        op6_sharding, op7_quality_rules, op8_quality_model, op9_fingerprints, op10_language_id,
+    )
+}
 
 ORACLE_SQL = {
     "op1_secret_scan": """
