@@ -41,9 +41,9 @@ def capped(df: DataFrame, group: str, order: list[Column], per_group: int, total
     return top_per_group(df, [group], order, per_group, "_r").drop("_r").orderBy(*order).limit(total)
 
 
-def interleaved(df: DataFrame, queue: str, order: list[Column]) -> DataFrame:
-    """df with turn: rows of all queues take turns, first rows of all queues first."""
-    return ranked(df, [queue], order, "turn")
+def interleaved(df: DataFrame, queue: str, order: list[Column], name: str = "turn") -> DataFrame:
+    """df with each row's place in its queue: ordered by it, then by queue, the queues take turns."""
+    return ranked(df, [queue], order, name)
 
 
 def retained(df: DataFrame, owner: str, order: list[Column], keep: int, active: Column) -> DataFrame:
