@@ -1 +1,132 @@
-"""Joins: ranges, candidates and links, validation, history, upserts, change detection."""
+"""Scalar functions over whole tables: classifiers, keys, dates, addresses, JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.catalog.registry import query, table
+from tidewell.functions import text, values
+
+STAGES = [("(?i)anodized|plated", "done"), ("(?i)brushed|burnished", "result"), ("(?i)polished", "notice")]
+
+
+@query("""
+SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)anodized|plated') THEN 'done' WHEN regexp_matches(p_type, '(?i)brushed|burnished') THEN 'result' WHEN regexp_matches(p_type, '(?i)polished') THEN 'notice' ELSE 'other' END AS stage,
+       array_to_string(list_filter([CASE WHEN regexp_matches(p_type, '(?i)brass|copper') THEN 'warm' END, CASE WHEN regexp_matches(p_type, '(?i)steel|nickel|tin') THEN 'cold' END, CASE WHEN regexp_matches(p_name, '(?i)e') THEN 'e' END], lambda x: x IS NOT NULL), ',') AS tags
+FROM part""")
+def stage_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rule that fits, and all rules that fit."""
+    rules = [("(?i)brass|copper", "warm"), ("(?i)steel|nickel|tin", "cold")]
+    tags = F.concat(text.tags(F.col("p_type"), rules), text.tags(F.col("p_name"), [("(?i)e", "e")]))
+    return table(spark, sf_dir, "part").select("p_partkey", text.ordered_classifier(F.col("p_type"), STAGES, "other").alias("stage"), F.array_join(tags, ",").alias("tags"))
+
+
+@query("""
+WITH b AS (SELECT max(o_orderdate)::DATE AS d FROM orders)
+SELECT o_orderkey, (CASE WHEN o_totalprice > 200000 THEN 30 ELSE 0 END + CASE WHEN o_orderpriority LIKE '1%' THEN 20 ELSE 0 END + CASE WHEN o_orderstatus = 'P' THEN 15 ELSE 0 END
+         + CASE WHEN b.d - o_orderdate::DATE <= 30 THEN 20 ELSE 0 END)::INT AS score,
+       CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN b.d - o_orderdate::DATE <= 30 THEN 'recent' ELSE '' END AS reason FROM orders, b""")
+def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points for what a row has, some relative to the latest date, and the first reason."""
+    orders = table(spark, sf_dir, "orders")
+    latest = orders.agg(F.to_date(F.max("o_orderdate")).alias("d"))
+    large, urgent, recent = F.col("o_totalprice") > 200000, F.startswith("o_orderpriority", F.lit("1")), F.datediff("d", F.to_date("o_orderdate")) <= 30
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    score = points(large, 30) + points(urgent, 20) + points(F.col("o_orderstatus") == "P", 15) + points(recent, 20)
+    reason = F.when(large, "large").when(urgent, "urgent").when(recent, "recent").otherwise("")
+    return orders.join(F.broadcast(latest)).select("o_orderkey", score.alias("score"), reason.alias("reason"))
+
+
+@query("""
+SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host,
+  lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
+       lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'spm', 'from', 'ref', 'share'], lower(string_split(p, '=')[1])))), '&'), ''), '') AS canonical
+FROM pages""")
+def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that lead to one page become equal."""
+    return table(spark, sf_dir, "pages").select("page_id", values.host(F.col("url")).alias("host"), values.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of each page, by the standard parser in Arrow batches."""
+    rows = table(spark, sf_dir, "pages").select("page_id", values.html_text(F.col("html")).alias("text"))
+    return rows.select("page_id", F.length("text").alias("n_chars"), F.sha1("text").alias("digest"))
+
+
+@query("""
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))), ',') AS emails,
+       array_to_string(list_sort(list_distinct(regexp_extract_all(text, '1[3-9][0-9]{9}|0[0-9]{2,3}-[0-9]{7,8}'))), ',') AS phones FROM documents""")
+def phone_email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct matches in each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.emails(F.col("text")), ",").alias("emails"), F.array_join(text.phones(F.col("text")), ",").alias("phones"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k, json_valid(props) AS valid FROM events")
+def json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON that may be broken, read without failing."""
+    parsed = values.outermost_json(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "int").alias("k"), parsed.isNotNull().alias("valid"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_name, regexp_replace(s_name, '[#\\s]', '', 'g') AS k FROM supplier), c AS (SELECT c_custkey, c_name, regexp_replace(c_name, '[#\\s]', '', 'g') AS k FROM customer)
+SELECT s_suppkey, c_custkey, CASE WHEN s_name = c_name THEN 1.0 WHEN right(s.k, 4) = right(c.k, 4) THEN 0.9 ELSE 0.0 END::DOUBLE AS similarity FROM s JOIN c ON right(s.k, 4) = right(c.k, 4)""")
+def purchaser_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names compared within blocks of one key."""
+    key = lambda c: F.right(F.regexp_replace(c, r"[#\s]", ""), F.lit(4)).alias("k")
+    left, right = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", key("s_name")), table(spark, sf_dir, "customer").select("c_custkey", "c_name", key("c_name"))
+    return left.join(right, "k").select("s_suppkey", "c_custkey", F.when(F.col("s_name") == F.col("c_name"), 1.0).otherwise(0.9).alias("similarity"))
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, epoch_ms(o_orderdate) AS epoch_ms,
+       CASE WHEN g < 0 THEN 0.0 WHEN g <= 45 THEN 1.0 WHEN g <= 120 THEN 0.75 WHEN g <= 240 THEN 0.45 ELSE 0.15 END::DOUBLE AS gap_score
+FROM (SELECT *, date_diff('day', o_orderdate::DATE, DATE '1996-06-01') AS g FROM orders)""")
+def date_gap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates read from text, as text, and as a score of distance."""
+    from tidewell.operators.links import date_gap_score as score
+
+    said = F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss")
+    day = values.first_date(F.concat(F.lit("on "), said))
+    gap = F.datediff(F.lit("1996-06-01").cast("date"), day)
+    ms = F.unix_millis(F.to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSS")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("iso"), ms.alias("epoch_ms"), score(gap).alias("gap_score"))
+
+
+@query("""
+SELECT doc_id, sha256(lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) || chr(31) || lower(lang) || chr(31) || n_chars) AS fingerprint,
+       sha1(source || '|' || lang || '|' || n_chars) AS stable_id FROM documents""")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of normalized fields."""
+    own = values.fingerprint(F.col("source"), F.col("lang"), F.col("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", own.alias("fingerprint"), values.stable_id(F.lit(""), F.col("source"), F.col("lang"), F.col("n_chars")).alias("stable_id"))
+
+
+@query("""
+SELECT doc_id, n_words, n_words < 20 OR regexp_matches(text, '[!*$%&#]{3}') AS low_value FROM
+  (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n_words FROM documents)""")
+def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that make a text worthless."""
+    n = F.size(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), ((n < 20) | F.col("text").rlike(r"[!*$%&#]{3}")).alias("low_value"))
+
+
+@query("""
+SELECT o_orderkey, rtrim(rtrim(printf('%.4f', o_totalprice / 100), '0'), '.') AS wan, CASE WHEN o_totalprice > 0 THEN o_totalprice END AS amount FROM orders""")
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts read and shown."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.compact(F.col("o_totalprice") / 100).alias("wan"), values.positive_amount(F.lit("n/a"), F.col("o_totalprice").cast("string")).alias("amount"))
+
+
+@query()
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that begin with one word, by the sequence matcher on their first 80 characters."""
+    first = lambda c: F.lower(F.substring_index(c, " ", 2))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), first("text").alias("k"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("b"), first("text").alias("k"))
+    pairs = docs.join(items, "k").select("doc_id", "item_id", values.title_similarity(F.col("a"), F.col("b")).alias("ratio"))
+    return pairs.where("ratio >= 0.32")
