@@ -124,8 +124,8 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and benchmark items that begin with one word, by the sequence matcher on their first 80 characters."""
-    first = lambda c: F.lower(F.substring_index(c, " ", 2))
+    """Documents and benchmark items that begin with the same three letters, by the sequence matcher on their first 80 characters."""
+    first = lambda c: F.lower(F.substring(c, 1, 3))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), first("text").alias("k"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("b"), first("text").alias("k"))
     pairs = docs.join(items, "k").select("doc_id", "item_id", values.title_similarity(F.col("a"), F.col("b")).alias("ratio"))
