@@ -132,6 +132,9 @@ def linkage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     results, notices = _notices(spark, sf_dir, "P"), _notices(spark, sf_dir, "O")
     scored = linkage.candidates(results, notices)
     _, best = linkage.matched(scored)
+    path = work_folder(spark, "best")  # both passes and the decision read what was scored once
+    best.write.parquet(path)
+    best = spark.read.parquet(path)
     first, second = linkage.asked(best), linkage.asked(best)
     final = linkage.decided(best, first, second)
     merged = linkage.merged(notices, results, final.where("status = 'auto_matched'"))
