@@ -41,7 +41,7 @@ BUCKETS = 1 << 13
 FOLDS = 5
 PRIOR = 10_000
 EVIDENCE = 200
-LABELLED = 50_000
+LABELLED = 20_000
 SEED = 11
 BINS = 4096
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
@@ -152,7 +152,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, buckets: int = BUCK
     marks = marks.groupBy("_id").agg(F.min("good").alias("good"))
     marks = marks.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int"))
     marks = materialize(marks.orderBy(F.xxhash64("_id", F.lit(seed))).limit(labelled), "marks")
-    known = materialize(docs.join(marks, F.col("doc_id") == F.col("_id")).drop("_id"), "known")
+    # ``labelled`` rows of three numbers at most: sent to every task, so that no text is shuffled
+    known = materialize(docs.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id"), "known")
     raw = ngram_counts(docs.withColumn("fold", F.lit(0)), 1, buckets)[0]
     good = ngram_counts(known.where("good = 1"), FOLDS, buckets)
     p = (raw + 1) / (raw.sum() + buckets)
@@ -179,4 +180,4 @@ def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, seed
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents whose rows all are kept by resample (rows with a null doc_id stay)."""
     gone = resample(documents, labels).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return documents.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
