@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fresh_folder
+from tidewell.llm.common import fresh_folder, materialize
 
 SPAN = "struct<start:bigint,rank:int,kind:string,stop:bigint>"
 
@@ -115,6 +115,8 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     found = rows.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     found = found.select(F.col("digest").alias("_digest"), F.filter("spans", lambda s: F.array_contains(mine, s["kind"])).alias("_spans"))
     keyed = versions.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    # written first: the join then has nothing above its inputs that needs a digest's rows together, and can split a hot one
+    found = materialize(found, "findings").hint("merge")
     joined = keyed.join(found, keyed["_key"] == found["_digest"], "left")
     return joined.withColumn("spans", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>"))).drop("_key", "_digest", "_spans")
 
