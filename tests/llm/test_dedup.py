@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import xxhash
 
 import tidewell.llm.near_dedup as nd
 from tidewell.llm.common import WordHashes
@@ -69,7 +70,7 @@ def test_min_max_estimates_are_unbiased():
 
 
 def test_fingerprints_equal_set_arithmetic(docs, rows):
-    order = sorted((r[:2] for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted((r[:2] for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh3_64_intdigest((r[1] or "").encode()) + 2**63) % 2**64))
     hashes, want = WordHashes(), []
     for i, (doc, text) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""

@@ -14,13 +14,13 @@ Likeness is shared paragraphs over all paragraphs of either text; two texts
 without words are alike (1), and a text without words is unlike all others (0).
 
 Defined cases: null texts are empty; equal texts have equal fingerprints; rows
-with equal doc_id follow each other in order of their texts; null doc_ids come first; an
+with equal doc_id follow each other in order of a hash of their texts; null doc_ids come first; an
 empty table gives no rows; a single row is its own next; further columns are ignored.
 
 The next document by doc_id: quantiles of doc_id cut the rows into ranges, and
 within a range, sorted, the next row streams by. The first row of each range is
-sent to the range before it as well, so the texts are shuffled once and no
-range waits for another.
+sent to the range before it as well, so the texts are shuffled once (compressed
+in their tasks) and no range waits for another.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,11 +179,31 @@ def _rows(held: list[tuple[int, str, str]], hashes: WordHashes) -> pa.RecordBatc
     )
 
 
+PACKED = "range int, doc_id long, tie long, packed binary"
+
+
+def _ranged(cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, text) -> PACKED: range by the cuts (null in the first), text compressed, tie its hash."""
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            ids = batch.column(0)
+            at = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at)
+            data = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            tie = np.array([xxhash.xxh3_64_intdigest(d) for d in data], np.uint64).view(np.int64)
+            columns = [pa.array(at.astype(np.int32)), ids, pa.array(tie), pa.array([press.compress(d) for d in data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "doc_id", "tie", "packed"])
+
+    return run
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, doc_id, text, guard), sorted; a guard is the row after its range's last one."""
-    hashes, last, held = WordHashes(), None, []
+    """Rows (range, doc_id, packed), sorted; the row after a range's last one has that range too, and is only read."""
+    hashes, last, held, open_ = WordHashes(), None, [], zstandard.ZstdDecompressor()
     for batch in batches:
-        for part, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for part, doc, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            text = open_.decompress(packed).decode()
             if last is not None and last[0] == part:
                 held.append((last[1], last[2], text))
             last = (part, doc, text)
@@ -206,22 +227,20 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     cuts = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)
     cuts = np.unique(np.array(cuts, np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(doc: pd.Series) -> pd.Series:
-        known = doc.fillna(0).to_numpy(np.int64)
-        return pd.Series(np.where(doc.isna(), 0, np.searchsorted(cuts, known, side="right")).astype(np.int32))
-
-    ranged = docs.withColumn("range", range_of("doc_id"))
-    ids = docs.select("doc_id").withColumn("range", range_of("doc_id"))
+    packed = docs.mapInArrow(_ranged(cuts), PACKED)
+    # ranges of ids alone, with the same cuts
+    ids = docs.select("doc_id", F.lit(None).cast("string").alias("text")).mapInArrow(_ranged(cuts), PACKED).select("range", "doc_id")
     # the first id of each range, null before all: as many rows as ranges
     least = ids.groupBy("range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null")).orderBy("range").collect()
     if not least:
         return spark.createDataFrame([], OUT)
     firsts = [None if r["null"] else r["id"] for r in least]
-    heads = [(r["range"], firsts[(i + 1) % len(least)]) for i, r in enumerate(least)]
-    heads = F.broadcast(spark.createDataFrame(heads, "before int, head long"))
-    guards = docs.join(heads, docs["doc_id"].eqNullSafe(F.col("head"))).groupBy("before").agg(F.min(F.struct("doc_id", "text")).alias("d"))
-    guards = guards.select(F.col("before").alias("range"), "d.doc_id", "d.text", F.lit(1).alias("guard"))
-    rows = ranged.select("range", "doc_id", "text", F.lit(0).alias("guard")).unionByName(guards)
-    rows = rows.repartition("range").sortWithinPartitions("range", "guard", F.col("doc_id").asc_nulls_first(), "text")
+    after = [(i + 1) % len(least) for i in range(len(least))]
+    heads = spark.createDataFrame([(r["range"], firsts[j], least[j]["range"]) for r, j in zip(least, after, strict=True)], "before int, head long, own int")
+    # of rows with the same first id, the range before gets the first one in order
+    guards = docs.join(F.broadcast(heads.select("head")), docs["doc_id"].eqNullSafe(F.col("head"))).select("doc_id", "text").mapInArrow(_ranged(cuts), PACKED)
+    guards = guards.join(F.broadcast(heads.select("before", "own")), F.col("range") == F.col("own"))
+    guards = guards.groupBy("before").agg(F.min(F.struct("tie", "packed", "doc_id")).alias("d")).select(F.col("before").alias("range"), "d.doc_id", "d.tie", "d.packed")
+    rows = packed.withColumn("guard", F.lit(0)).unionByName(guards.withColumn("guard", F.lit(1)))
+    rows = rows.repartition("range").sortWithinPartitions("range", "guard", F.col("doc_id").asc_nulls_first(), "tie").select("range", "doc_id", "packed")
     return rows.mapInArrow(_in_order, OUT)
