@@ -63,8 +63,8 @@ def _header(kind: Column, uri: Column, page: Column, digest: Column, length: Col
     )
 
 
-def write_archive(pages: DataFrame, folder: str, least: int = 0) -> None:
-    """Archive pages (page_id, url, html) under folder/payloads and folder/headers.
+def write_archive(pages: DataFrame, folder: str, least: int = 0) -> str:
+    """Archive pages (page_id, url, html) under folder/payloads and folder/headers; the payloads' table is given back.
 
     Payloads of fewer than ``least`` bytes are not looked up: their records are
     all responses (and still share the stored bytes).
@@ -77,7 +77,6 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0) -> None:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tidewell_payloads_{uuid.uuid4().hex}"
     stored.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").option("path", f"{folder}/payloads").saveAsTable(table)
-    spark.conf.set(f"tidewell.archive.{folder}", table)
 
     records = keyed.select("page_id", "url", "digest", F.sha1("payload").alias("_sha1"), F.octet_length("payload").cast("long").alias("n"))
     records = materialize(records.withColumn("sha1", base32_of_hex(F.col("_sha1"))).drop("_sha1"), "records")
@@ -92,12 +91,15 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0) -> None:
     kind = F.when(is_response, F.lit("response")).otherwise(F.lit("revisit"))
     header = _header(kind, F.col("url"), F.col("page_id"), F.col("sha1"), F.col("n"), F.col("first_id"))
     out.select("page_id", "digest", header.alias("header")).write.parquet(f"{folder}/headers")
+    return table
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records: page_id, header, digest, payload (of the response, for a revisit too)."""
+def read_archive(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
+    """The original records: page_id, header, digest, payload (of the response, for a revisit too).
+
+    With the payloads' table, Spark knows their buckets and moves headers only; without, it reads the same files.
+    """
     headers = spark.read.parquet(f"{folder}/headers")
-    table = spark.conf.get(f"tidewell.archive.{folder}", None)
     payloads = spark.table(table) if table else spark.read.parquet(f"{folder}/payloads")
     stored = payloads.withColumnRenamed("digest", "_d")
     return headers.join(stored, F.col("digest") == F.col("_d")).drop("_d")
@@ -149,6 +151,6 @@ def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or fresh_folder(spark, "archive")
-    write_archive(pages, folder)
-    records = read_archive(spark, folder).select(F.col("page_id").cast("long").alias("page_id"), "header", "digest", "payload")
+    table = write_archive(pages, folder)
+    records = read_archive(spark, folder, table).select(F.col("page_id").cast("long").alias("page_id"), "header", "digest", "payload")
     return records.mapInArrow(_read_back, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
