@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -116,6 +117,24 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
+def title_ratio_from(a: str, b: str, least: float) -> float:
+    """title_ratio, or 0 if that is below least: characters in common, which bound the ratio, are counted first."""
+    if not a or not b or a == b or a in b or b in a:
+        return title_ratio(a, b)
+    n = len(a) + len(b)
+    if 2 * min(len(a), len(b)) / n < least or 2 * sum((Counter(a) & Counter(b)).values()) / n < least:
+        return 0.0
+    ratio = title_ratio(a, b)
+    return ratio if ratio >= least else 0.0
+
+
+def title_similarity_from(a: Column, b: Column, least: float) -> Column:
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([title_ratio_from(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(ratios, "double")(a, b)
+
+
 class _Text(HTMLParser):
     BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 table ul ol section article header footer blockquote".split())
 

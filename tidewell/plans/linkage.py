@@ -1,51 +1,149 @@
 """Linkage of results to notices, end to end: blocks, candidates, scores, decisions, merged rows.
 
 Rows have id, title, number, purchaser, package, published (date), source_file.
-Comparing every result with every notice of 180 days is no plan at scale, so pairs
-must share a block: the project number, the source file, the short purchaser,
-or one of the title's ``SKETCH`` least-hashed 3-grams. A block key's rows meet by an equi-join
-with the date bucket; pairs are scored once.
+Every pair that the recall rule accepts is found. It agrees in number or file, or its titles
+are near. Which titles are near is told on distinct titles of neighbouring date buckets, all of them
+but those that their lengths rule out; which purchasers are, by equal short names and prefixes. So a
+pair of rows meets by an equi-join on near title (with near purchaser, or package), number or file,
+and on dates.
+
+A key that very many rows share gives very many pairs, of which only the best count. With ``top``,
+a notice goes out to a result only while fewer than ``top`` later ones of its class do: in
+a class all that scores depend on is equal or better but the date, and a later date is never worse.
 """
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, values
 from tidewell.operators import links, ranking
 
-SKETCH = 8
 FIELDS = ("id", "title", "number", "purchaser", "package", "published", "source_file")
+#: Below it no branch of the recall rule looks at titles.
+NEAR = 0.30
+#: Days of the buckets for notices that go out for a short time.
+SHORT = 8
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """df by way of Parquet in the shared folder: what several joins read is computed once."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _prepared(df: DataFrame, prefix: str) -> DataFrame:
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c != "published" else F.to_date("published").alias(c) for c in FIELDS])
     title, number, buyer = text.project_key(F.col("title")), text.number_key(F.col("number")), text.company_short(F.col("purchaser"))
     rows = rows.withColumns({"key_title": title, "key_number": number, "key_buyer": buyer})
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("key_title") - 2, F.lit(1))), lambda i: F.xxhash64(F.substr(F.col("key_title"), i, F.lit(3))))
-    keys = F.concat(
-        F.array(F.concat(F.lit("n:"), "key_number"), F.concat(F.lit("f:"), "source_file"), F.concat(F.lit("p:"), "key_buyer")),
-        F.transform(F.slice(F.array_sort(F.array_distinct(grams)), 1, SKETCH), lambda h: F.concat(F.lit("t:"), h.cast("string"))),
-    )
-    rows = rows.withColumn("blocks", F.filter(keys, lambda k: F.length(k) > 2))
     return rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns])
 
 
-def candidates(results: DataFrame, notices: DataFrame, days: int = links.WINDOW_DAYS) -> DataFrame:
-    """Scored pairs that pass the recall rule: equal number or file, or titles near enough for what else agrees."""
-    left, right = _prepared(results, "r"), _prepared(notices, "n")
-    a = left.select("r_id", "r_published", F.explode("r_blocks").alias("r_block"))
-    b = right.select("n_id", "n_published", F.explode("n_blocks").alias("n_block"))
-    dated = links.range_candidates(a, b, "r_published", "n_published", [("r_block", "n_block")], days).select("r_id", "n_id")
-    no_date = F.col("r_published").isNull() | F.col("n_published").isNull()
-    undated = a.join(b, (F.col("r_block") == F.col("n_block")) & no_date).where("r_block LIKE 'n:%' OR r_block LIKE 't:%'").select("r_id", "n_id")
-    pairs = dated.unionByName(undated).distinct().join(left.drop("r_blocks"), "r_id").join(right.drop("n_blocks"), "n_id")
+def near_titles(left: DataFrame, right: DataFrame, days: int) -> DataFrame:
+    """r_key_title, n_key_title, title: distinct titles with a similarity of NEAR or more that may lie within days, or one of them undated.
+
+    The ratio of two titles is at most twice the shorter length over both, unless one holds the other.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / days)
+    a = left.where("r_key_title <> ''").select("r_key_title", F.explode(F.array(bucket("r_published"), bucket("r_published") - 1)).alias("bucket")).distinct()
+    b = right.where("n_key_title <> ''").select("n_key_title", bucket("n_published").alias("bucket")).distinct()
+    a, b = _written(a, "titles"), _written(b, "titles")
+    x, y = F.length("r_key_title"), F.length("n_key_title")
+    may = (2 * F.least(x, y) / (x + y) >= NEAR) | F.contains("r_key_title", F.col("n_key_title")) | F.contains("n_key_title", F.col("r_key_title"))
+    names = ["r_key_title", "n_key_title"]
+    pairs = a.join(b, "bucket").where(may).select(*names)
+    all_a, all_b = a.select("r_key_title").distinct(), b.select("n_key_title").distinct()
+    undated = a.where("bucket IS NULL").select("r_key_title").distinct().crossJoin(all_b).unionByName(all_a.crossJoin(b.where("bucket IS NULL").select("n_key_title")))
+    pairs = pairs.unionByName(undated.where(may).select(*names)).distinct()
+    return pairs.withColumn("title", values.title_similarity_from(F.col("r_key_title"), F.col("n_key_title"), NEAR)).where(F.col("title") >= NEAR)
+
+
+def near_buyers(left: DataFrame, right: DataFrame) -> DataFrame:
+    """r_key_buyer, n_key_buyer: short names that are equal, or of which one of four or more characters begins the other."""
+    a, b = left.select("r_key_buyer").where("r_key_buyer <> ''").distinct(), right.select("n_key_buyer").where("n_key_buyer <> ''").distinct()
+
+    def begins(c: str) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: (i >= 4) | (i == F.length(c)))
+        return F.explode(F.transform(ends, lambda i: F.substr(F.col(c), F.lit(1), i)))
+
+    one = a.withColumn("n_key_buyer", begins("r_key_buyer")).join(b, "n_key_buyer").select("r_key_buyer", "n_key_buyer")
+    two = b.withColumn("r_key_buyer", begins("n_key_buyer")).join(a, "r_key_buyer").select("r_key_buyer", "n_key_buyer")
+    return one.unionByName(two).distinct()
+
+
+def _key(kind: str, *columns: str) -> Column:
+    return F.concat_ws("\x1f", F.lit(kind), *columns).alias("key")
+
+
+def _dated(asks: DataFrame, notices: DataFrame, days: int) -> DataFrame:
+    """Pairs (r_id, n_id) of asks (key, r_id, r_published) and notices (key, n_id, since, until) with equal key and since <= r_published <= until."""
+    day, since, until = F.unix_date("r_published"), F.unix_date("since"), F.unix_date("until")
+    wide = F.greatest(F.lit(days + 1), F.lit(SHORT))
+    asked = asks.select("*", F.explode(F.array(*[F.struct(w.alias("w"), F.floor(day / w).alias("b")) for w in (F.lit(SHORT), wide)])).alias("cell"))
+    size = F.when(until - since < SHORT, F.lit(SHORT)).otherwise(wide)
+    cells = F.transform(F.array_distinct(F.array(F.floor(since / size), F.floor(until / size))), lambda b: F.struct(size.alias("w"), b.alias("b")))
+    held = notices.select("*", F.explode(cells).alias("cell"))
+    return asked.join(held, ["key", "cell"]).where(F.col("r_published").between(F.col("since"), F.col("until"))).select("r_id", "n_id")
+
+
+def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> DataFrame:
+    """Distinct (r_id, n_id): all pairs that may be accepted, or as many as hold each result's ``top`` best."""
+    titles, buyers = _written(near_titles(left, right, days), "near"), _written(near_buyers(left, right), "near")
+    similar = left.join(titles, "r_key_title")
+    bought = similar.where(F.col("title") >= 0.32).join(buyers, "r_key_buyer")
+    packaged = similar.where("r_package <> ''")
+    keys = {  # kind: notices' key, what makes its classes
+        "t": (["key_title"], ["package"]), "p": (["key_title", "key_buyer"], ["package", "purchaser"]), "k": (["key_title", "package"], []),
+        "n": (["key_number"], ["key_title", "package", "purchaser"]), "f": (["source_file"], ["key_title", "package", "purchaser", "key_number"]),
+    }
+    asks = {
+        "t": (similar.where(F.col("title") >= 0.45), ["n_key_title"]), "p": (bought, ["n_key_title", "n_key_buyer"]), "k": (packaged, ["n_key_title", "r_package"]),
+        "n": (left.where("r_key_number <> ''"), ["r_key_number"]), "f": (left.where("r_source_file <> ''"), ["r_source_file"]),
+    }
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+
+    def held(kind: str) -> DataFrame:
+        key, more = ([f"n_{c}" for c in part] for part in keys[kind])
+        rows = right.where("n_published IS NOT NULL").where(F.col(key[-1]) != "")
+        until = F.date_add("n_published", days)
+        if top:
+            later = F.lead("n_published", top).over(Window.partitionBy(*key, *more).orderBy("n_published", "n_id"))
+            until = F.least(until, F.date_sub(later, 1))
+        return rows.select(_key(kind, *key), "n_id", F.col("n_published").alias("since"), until.alias("until")).where("until >= since")
+
+    asked = {kind: rows.select(_key(kind, *key), "r_id", "r_published") for kind, (rows, key) in asks.items()}
+    dated = _dated(union(asked.values()).where("r_published IS NOT NULL"), union(held(kind) for kind in keys), days)
+    # undated rows: equal numbers, or titles at 0.9 with a near purchaser or the same package
+    asks = {"n": asks["n"], "p": (bought.where(F.col("title") >= 0.9), asks["p"][1]), "k": (packaged.where(F.col("title") >= 0.92), asks["k"][1])}
+    a = union(rows.select(_key(kind, *key), "r_id", "r_published") for kind, (rows, key) in asks.items())
+    b = union(right.where(F.col(f"n_{keys[kind][0][-1]}") != "").select(_key(kind, *[f"n_{c}" for c in keys[kind][0]]), "n_id", "n_published") for kind in asks)
+    undated = [a.where("r_published IS NULL").join(b, "key"), a.where("r_published IS NOT NULL").join(b.where("n_published IS NULL"), "key")]
+    return union([dated, *[rows.select("r_id", "n_id") for rows in undated]]).distinct()
+
+
+def candidates(results: DataFrame, notices: DataFrame, days: int = links.WINDOW_DAYS, top: int | None = None) -> DataFrame:
+    """Scored pairs that pass the recall rule: equal number or file, or titles near enough for what else agrees.
+
+    All of them, or with ``top`` at least the best ``top`` of each result by ORDER.
+    """
+    left, right = _written(_prepared(results, "r"), "results"), _written(_prepared(notices, "n"), "notices")
+    pairs = _written(_pairs(left, right, days, top), "pairs").join(left, "r_id").join(right, "n_id")
+    names = ["r_key_title", "n_key_title"]
+    told = pairs.select(*names).distinct().withColumn("title", values.title_similarity(F.col("r_key_title"), F.col("n_key_title")))
+    pairs = pairs.join(told, names)
     pairs = pairs.withColumns({
-        "title": values.title_similarity(F.col("r_key_title"), F.col("n_key_title")),
         "purchaser": text.company_similarity(F.col("r_purchaser"), F.col("n_purchaser")),
         "package_score": links.package_similarity(F.col("r_package"), F.col("n_package")),
         "number": F.when((F.col("r_key_number") != "") & (F.col("r_key_number") == F.col("n_key_number")), 1.0).otherwise(0.0),
@@ -158,7 +256,7 @@ def reusable(results: DataFrame, state: DataFrame, notices: DataFrame) -> DataFr
 
 def affected(unmatched: DataFrame, changed_notices: DataFrame) -> DataFrame:
     """id of the unmatched results for which a changed notice is a candidate."""
-    return candidates(unmatched, changed_notices).select(F.col("r_id").alias("id")).distinct()
+    return candidates(unmatched, changed_notices, top=1).select(F.col("r_id").alias("id")).distinct()
 
 
 def reasons(score: Column) -> Column:
