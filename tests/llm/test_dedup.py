@@ -100,3 +100,26 @@ def test_peeling_retries_until_all_is_recovered():
 
 def test_empty_tables(no_docs):
     assert nd.near_duplicates(no_docs).count() == 0 and nd.keep_one(no_docs).count() == 0 and fingerprints(no_docs).count() == 0
+
+
+def test_keep_one_at_another_threshold(spark):
+    rng, base = random.Random(11), [f"w{i}" for i in range(104)]  # 100 shingles
+
+    def changed(n):
+        words = list(base)
+        for k in range(n):
+            words[-1 - k] = f"x{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    # n changed words at the end: 100 - n shingles of 100 + n remain
+    rows = [(1, " ".join(base)), (2, changed(9)), (3, changed(12))]
+    like = [len(a & b) / len(a | b) for a, b in ((brute.shingles(rows[0][1]), brute.shingles(t)) for _, t in rows[1:])]
+    assert 0.80 <= like[0] < 0.85 and like[1] < 0.80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in nd.keep_one(df, 80).collect()} == {1, 3}
+    assert {r.doc_id for r in nd.keep_one(df).collect()} == {1, 2, 3}
+
+
+def test_bands_and_agreement_follow_the_threshold():
+    assert (nd.bands_for(85), nd.agree_for(85)) == (nd.BANDS, nd.AGREE)
+    assert (1 - 0.8**nd.ROWS) ** nd.bands_for(80) < 1e-6 and 360 < nd.agree_for(80) < 370

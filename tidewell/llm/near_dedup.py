@@ -4,8 +4,9 @@ Each text becomes its set of distinct 5-word shingles. A permutation gives both
 its minimum and its maximum over the set, so half as many hash evaluations fill
 a signature; bands of five values find candidates.
 
-Cost of a miss: two texts at the threshold (Jaccard 0.85) share one band with
-probability 0.85**5 = 0.44 and miss all 24 bands with (1 - 0.44)**24 < 1e-6.
+Cost of a miss: two texts at the threshold (Jaccard 0.85, or ``percent``) share one band with
+probability 0.85**5 = 0.44 and miss all 24 bands with (1 - 0.44)**24 < 1e-6. For a
+lower threshold bands are added until that holds again: 36 for 0.80.
 
 How large groups stay small work:
 
@@ -32,6 +33,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +64,27 @@ _FINE_MULTIPLY = _rng.integers(0, 1 << 63, FINE // 2, dtype=np.uint64) * np.uint
 _FINE_ADD = _rng.integers(0, 1 << 63, FINE // 2, dtype=np.uint64)
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For thresholds below PERCENT further bands follow, up to as many.
+_MORE = 1000
+_MULTIPLY = np.concatenate([_MULTIPLY, _rng.integers(0, 1 << 63, _MORE * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+_ADD = np.concatenate([_ADD, _rng.integers(0, 1 << 63, _MORE * ROWS // 2, dtype=np.uint64)])
+_BAND = np.concatenate([_BAND, _rng.integers(0, 1 << 63, (_MORE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+
+
+def bands_for(percent: int) -> int:
+    """An even number of bands, BANDS or more, that a pair at the threshold misses with a chance of less than a millionth."""
+    need = math.log(1e-6) / math.log(1 - (percent / 100) ** ROWS)
+    bands = max(BANDS, 2 * math.ceil(need / 2))
+    if bands > BANDS + _MORE:
+        raise ValueError(f"no bands for a threshold of {percent} %")
+    return bands
+
+
+def agree_for(percent: int) -> int:
+    """How many of the FINE values must agree: as many deviations below what is expected as AGREE lies below it at PERCENT."""
+    mean = lambda p: FINE * p / 100
+    spread = lambda p: math.sqrt(FINE * p * (100 - p)) / 100
+    return AGREE if percent == PERCENT else math.floor(mean(percent) - (mean(PERCENT) - AGREE) / spread(PERCENT) * spread(percent))
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -79,7 +102,7 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def signature(shingles: np.ndarray, multiply: np.ndarray = _MULTIPLY, add: np.ndarray = _ADD) -> np.ndarray:
+def signature(shingles: np.ndarray, multiply: np.ndarray = _MULTIPLY[:PERMUTATIONS], add: np.ndarray = _ADD[:PERMUTATIONS]) -> np.ndarray:
     """Minimum and maximum under each permutation, side by side."""
     out = np.empty((len(multiply), 2), np.uint64)
     step = max(1, 60_000 // len(shingles))
@@ -92,11 +115,12 @@ def signature(shingles: np.ndarray, multiply: np.ndarray = _MULTIPLY, add: np.nd
 
 def _deal(sig: np.ndarray) -> np.ndarray:
     """Band by row: a band takes values of different permutations."""
-    return sig.reshape(PERMUTATIONS, 2).T.reshape(BANDS, ROWS)
+    return sig.reshape(-1, 2).T.reshape(-1, ROWS)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], n_bands: int = BANDS) -> Iterator[pa.RecordBatch]:
     hashes, known = WordHashes(), {}
+    multiply, add = _MULTIPLY[: n_bands * ROWS // 2], _ADD[: n_bands * ROWS // 2]
     for batch in batches:
         rows = []
         for text in batch.column(1).to_pylist():
@@ -105,8 +129,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row is None:
                 s = shingle_set(text, hashes)
                 if len(s):
-                    sig = signature(s)
-                    bands = mix64((mix64(_deal(sig)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                    sig = signature(s, multiply, add)
+                    bands = mix64((mix64(_deal(sig)) * _BAND[:n_bands]).sum(axis=1, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64))
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     row = (len(s), digest, bands.view(np.int64))
                 else:
@@ -138,7 +162,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["node", "comp", "small", "large", "n", "sig"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows (a, chunk, role, b, text) in that order: a head (role 0) is followed by those to hold against it."""
     hashes, head, heads = WordHashes(), None, []
     for batch in batches:
@@ -154,22 +178,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             s = shingle_set(text[i], hashes)
             for h in heads:
-                if _linked(h, s):
+                if _linked(h, s, percent):
                     left.append(a[i])
                     right.append(b[i])
                     break
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+def _linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = sorted((len(x), len(y)))
-    if not small or 100 * small < PERCENT * large:
+    if not small or 100 * small < percent * large:
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (small + large - both)
+    return 100 * both >= percent * (small + large - both)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets reach the threshold.
 
     A node with many partners is sent once for each CHUNK of them.
@@ -183,17 +207,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     named = texts.withColumnRenamed("doc_id", "_id")
     rows = rows.join(named, rows["b"] == named["_id"]).select("a", "chunk", "role", "b", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return rows.mapInArrow(_confirm, "a long, b long").distinct()
+    return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long").distinct()
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows (group, block, key, other, node, comp, n, small, large, sig) in order of group: pairs of different components that may be linked.
 
     block is -1 for rows that meet all of their group; else a group's rows of
     block 0 meet those of block 1 only. A pair is given out once: under the
     first small bucket that it shares, else under its first two large ones.
     """
-    group, held = None, []
+    group, held, agree = None, [], agree_for(percent)
 
     def is_first(i: int, j: int) -> bool:
         key, other = held[0][1:3]
@@ -211,10 +235,10 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(held) - 1):
             rest = slice(i + 1, None)
             ok = (comp[rest] != comp[i]) & ((block[rest] != block[i]) | (block[i] < 0))
-            ok &= 100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])
+            ok &= 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
             near = np.flatnonzero(ok)
             if len(near):
-                near = near[(sig[i + 1 + near] == sig[i]).sum(axis=1) >= AGREE] + i + 1
+                near = near[(sig[i + 1 + near] == sig[i]).sum(axis=1) >= agree] + i + 1
                 near = [j for j in near if is_first(i, j)]
                 left += [min(node[i], node[j]) for j in near]
                 right += [max(node[i], node[j]) for j in near]
@@ -237,7 +261,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(*pairs())
 
 
-def _candidates(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """rows (key, node, comp) of buckets -> pairs of different components that may be linked, each once."""
     mixed = [F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
     size = rows.groupBy("key").agg(*mixed).where("lo <> hi").select("key", "c")
@@ -268,7 +292,7 @@ def _candidates(rows: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = twice.join(size, ["key", "other"]).select(F.explode(cells).alias("cell"), "key", "other", F.col("node").alias("_node"))
     dealt = dealt.join(fine, F.col("_node") == F.col("node")).select("cell.g", "cell.block", "key", "other", *columns)
     both = plain.unionByName(dealt).repartition("g").sortWithinPartitions("g")
-    return both.mapInArrow(_close, "a long, b long").distinct()
+    return both.mapInArrow(lambda batches: _close(batches, percent), "a long, b long").distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -295,11 +319,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of documents."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of documents; texts are linked from a Jaccard of percent / 100."""
+    n_bands = bands_for(percent)
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    signed = materialize(docs.mapInArrow(_signed, "doc_id long, n long, digest binary, bands array<long>"), "signed")
+    signed = materialize(docs.mapInArrow(lambda batches: _signed(batches, n_bands), "doc_id long, n long, digest binary, bands array<long>"), "signed")
     linkable = signed.where("n > 0 AND doc_id IS NOT NULL")
     narrow = linkable.select("doc_id", "digest")
     classes = materialize(narrow.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
@@ -318,13 +343,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     together = banded.join(pivots, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
     best = together.groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best"))
     tested = materialize(best.select((-F.col("best.p")).alias("a"), F.col("node").alias("b")), "pairs")
-    links = materialize(_confirmed(tested, texts), "links")
+    links = materialize(_confirmed(tested, texts, percent), "links")
     comp = _assign(nearby, links)
 
-    pairs = _candidates(banded.select("key", "node").join(comp, "node"), texts)
+    pairs = _candidates(banded.select("key", "node").join(comp, "node"), texts, percent)
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_confirmed(pairs, texts), "links")
+    more = materialize(_confirmed(pairs, texts, percent), "links")
     if not more.isEmpty():
         comp = _assign(nearby, links.unionByName(more))
 
@@ -342,8 +367,8 @@ def _assign(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comp")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents without near duplicates: of each component the row of the smallest doc_id (rows with a null doc_id stay)."""
-    gone = near_duplicates(documents).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(documents, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     rest = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     return rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
