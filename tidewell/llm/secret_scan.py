@@ -46,10 +46,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: A private key: from BEGIN to the END line if no other such line lies between; without it, header lines and lines of base64.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++){0,64}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])*+[A-Z][A-Za-z-]{2,20}+:\x20[^\r\n\\]*+){0,8}+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{20,}+){0,1000}+"
+    r"(?:(?:\s|\\[rn])++[A-Za-z0-9+/=]++[\x20\t]*+(?![^\r\n\\\"']))?+)"
+)
 #: What the scan adds to them.
 MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE_RULES + MORE_RULES
