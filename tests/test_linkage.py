@@ -68,7 +68,7 @@ def test_top_keeps_the_best_of_each_result(frames, top):
     every, some = linkage.candidates(*frames), linkage.candidates(*frames, top=top)
     best = [sorted(map(tuple, ranking.top_per_group(df, ["r_id"], order, top).select(*columns).collect())) for df in (every, some)]
     assert best[0] == best[1] and best[0]
-    assert some.count() < every.count()
+    assert top > 1 or some.count() < every.count()
 
 
 def test_the_query_s_titles_are_shared(spark):

@@ -120,7 +120,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _notices(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return orders.select(
-        F.col("o_orderkey").cast("string").alias("id"), F.concat(F.base64(F.unhex(F.sha1(F.col("o_custkey").cast("string")))), F.lit("采购公告")).alias("title"),
+        F.col("o_orderkey").cast("string").alias("id"), F.concat_ws(" ", F.col("o_orderpriority"), F.col("c_mktsegment"), F.lit("采购公告")).alias("title"),
         F.concat(F.lit("P-"), (F.col("o_custkey") * 7 + F.month("o_orderdate")).cast("string")).alias("number"), F.col("c_name").alias("purchaser"), F.lit("").alias("package"),
         F.to_date("o_orderdate").alias("published"), F.lit("").alias("source_file"),
     )
@@ -130,7 +130,7 @@ def _notices(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
 def linkage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates to merged rows with a deterministic client; counts by status."""
     results, notices = _notices(spark, sf_dir, "P"), _notices(spark, sf_dir, "O")
-    scored = linkage.candidates(results, notices)
+    scored = linkage.candidates(results, notices, top=5)
     _, best = linkage.matched(scored)
     path = work_folder(spark, "best")  # both passes and the decision read what was scored once
     best.write.parquet(path)
