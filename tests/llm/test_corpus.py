@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import json
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -50,7 +52,9 @@ def test_archive_round_trip(spark, pages, tmp_path):
 
 def test_pieces_are_the_tokenizers(docs, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
+    more = ["hello <|endoftext|> world <|startoftext|>", "<|endoftext|>", "x<|ENDOFTEXT|>y <|endoftext|", "a<|endoftext|>b " * 3000]
+    rows = [*rows, *[(900 + i, t, *rows[0][2:]) for i, t in enumerate(more)]]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(rows[-len(more) :], docs.schema))
     want = Counter()
     for doc, text, *_ in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -59,6 +63,25 @@ def test_pieces_are_the_tokenizers(docs, rows):
     out = pk.pack_documents(docs).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
     check_packing(out)
+    with_ids = pk.pack_documents(docs, with_ids=True).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in with_ids) == want
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in with_ids)
+
+
+def test_bulk_merges_are_the_vocabularys():
+    """Each token, built from its bytes by lower-ranked tokens alone, ends in the pair that the vocabulary merges: so both merge alike."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = json.loads(Path(path).read_text())["model"]
+    rank = {}
+    for i, (a, b) in enumerate(model["merges"]):
+        assert rank.setdefault(a + b, i) == i and rank.get(a, -1) < i and rank.get(b, -1) < i
+        assert i == 0 or model["vocab"][a + b] > model["vocab"]["".join(model["merges"][i - 1])]
+        token, end = (a + b).removesuffix("</w>"), (a + b).endswith("</w>")
+        parts = [*token[:-1], token[-1] + "</w>"] if end else [*token]
+        while len(parts) > 2:
+            k = min(range(len(parts) - 1), key=lambda k: (rank.get(parts[k] + parts[k + 1], i), k))
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert parts == [a, b]
 
 
 def test_words_of_many_kinds():
@@ -70,8 +93,33 @@ def test_words_of_many_kinds():
     ):
         words = text.encode().split()
         known.learn(set(words))
-        assert np.frombuffer(known.of(words), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+        whole = known.whole(text)
+        assert (whole if known.special.search(text) else known.of(words)) == whole
     assert known.trusted
+    rng = np.random.default_rng(1)
+    letters = np.array([*"etaoinshrdlucmfwypvbgkjqxz", *"éäßÉÄÑñ"])
+    plain = ["".join(rng.choice(letters, rng.integers(1, 14))) + rng.choice(["", ".", ",", "):", "?!"]) for _ in range(20_000)]
+    known.learn({w.encode() for w in plain})
+    assert known.of([w.encode() for w in plain]) == known.whole(" ".join(plain))
+
+
+@pytest.mark.parametrize("low, high", [(400, 900), (300, 700)])
+def test_pools_stay_bounded(spark, monkeypatch, low, high):
+    """Lengths whose bound no packing reaches: every partition stays open, and no group of any round is much larger than asked."""
+    seen, plain = [], pk.materialize
+
+    def watched(df, label):
+        out = plain(df, label)
+        if label.startswith("packed"):
+            seen.append(out.groupBy("grp").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(pk, "materialize", watched)
+    sizes = np.random.default_rng(8).integers(low, high, 20_000).tolist()
+    cut = spark.createDataFrame([(i, 0, 0, n, 1, i) for i, n in enumerate(sizes)], pk.PIECE)
+    out = pk.pack_pieces(cut, group=200).collect()
+    assert len(out) == len(sizes) and len(seen) >= 3 and max(seen) <= 200 + pk.FAN_IN * (2048 // low)
+    check_packing(out)
 
 
 def check_packing(out):

@@ -6,16 +6,20 @@
    partition packs its own best-fit decreasing.
 3. Dual-feasible functions give each partition a lower bound on its bins. A
    partition at its bound is certified and done. From the others, the pieces of
-   their emptiest bins (those that the gap and the free room put in question)
-   are exchanged: up to ``FAN_IN`` partitions pool theirs, and a pool packs
-   anew. A pool's new packing is taken where it needs fewer bins. Rounds go on
-   while pools merge, so the last one holds what all partitions left.
+   their emptiest bins (those that the gap and the free room put in question,
+   but no more than ``GROUP / FAN_IN`` pieces and one bin) are exchanged: up to
+   ``FAN_IN`` partitions pool theirs, and a pool packs anew. A pool's new
+   packing is taken where it needs fewer bins. Rounds go on while pools merge:
+   as many as the logarithm of the partitions' number.
 
-No task holds more than about GROUP pieces at a time, whatever the input.
+A partition holds GROUP pieces, and a pool at most as many and FAN_IN bins, so
+no task holds more than about GROUP pieces, whatever the input. All rounds pass
+numbers only; token ids stay in the table of pieces.
 
 Defined cases: null texts are empty and give one piece, of the end token alone;
-rows with null or repeated doc_id are packed each; an empty table gives no rows;
-further columns are ignored.
+texts that hold a special token of the vocabulary as written get its id, as the
+tokenizer gives it; rows with null or repeated doc_id are packed each; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,9 +72,11 @@ class WordIds(dict):
     """White-space separated word (UTF-8) -> its ids as little-endian 32-bit numbers.
 
     No token of the vocabulary spans white space, so a text's ids are those of
-    its words in order. Plain words of new texts are encoded in bulk by _merger,
-    whose first words are held against the tokenizer; all others by the
-    tokenizer. Of the words known, the last ``limit`` to twice as many met are kept.
+    its words in order; only a special token as written in a text may lie across
+    words, so such texts are encoded whole. Plain words of new texts are encoded in
+    bulk by _merger, of which a sample of every batch is held against the tokenizer;
+    all others by the tokenizer. Of the words known, the last ``limit`` to twice as
+    many met are kept.
     """
 
     def __init__(self, tokenizer_path: str, limit: int = 250_000):
@@ -78,7 +84,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)", re.I)
         self.limit, self.old = limit, {}
         self.merger, self.trusted = _merger(self.tokenizer), False
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -113,12 +120,15 @@ class WordIds(dict):
         data = ids.tobytes()
         found = [data[begin:end] for begin, end in zip([0, *cuts[:-1]], cuts, strict=True)]
         plain = [(a + b).encode() for a, b in plain]
-        if not self.trusted:
-            sample = self.tokenizer.encode(b" ".join(plain[:500]).decode(), add_special_tokens=False).ids
-            if np.array(sample, "<u4").tobytes() != b"".join(found[:500]):
-                self.merger = None  # a vocabulary of another kind
-                return
-            self.trusted = True
+        # the first batch by 500 words, each later one by some ten
+        step = max(1, len(plain) // (10 if self.trusted else 500))
+        sample = self.tokenizer.encode(b" ".join(plain[::step]).decode(), add_special_tokens=False).ids
+        if np.array(sample, "<u4").tobytes() != b"".join(found[::step]):
+            if self.trusted:
+                raise RuntimeError("bulk encoding departs from the tokenizer, after rows were given out")
+            self.merger = None  # a vocabulary of another kind
+            return
+        self.trusted = True
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -127,6 +137,9 @@ class WordIds(dict):
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 _known: dict[str, WordIds] = {}
 
@@ -140,31 +153,40 @@ def word_ids(tokenizer_path: str) -> WordIds:
 
 def _pieces(tokenizer_path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, slot, width = word_ids(tokenizer_path), TaskContext.get().partitionId(), 4 * capacity
+        known, slot, width = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33, 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            texts = [t.encode().split() if t else [] for t in batch.column(1).to_pylist()]
+            parts: list[bytes] = []
+            whole = [t if t and known.special.search(t) else None for t in batch.column(1).to_pylist()]
+            texts = [t.encode().split() if t and w is None else [] for t, w in zip(batch.column(1).to_pylist(), whole, strict=True)]
             known.learn(set().union(*texts))
-            for doc, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = known.of(words) + END.to_bytes(4, "little")
+            for doc, words, text in zip(batch.column(0).to_pylist(), texts, whole, strict=True):
+                ids = (known.of(words) if text is None else known.whole(text)) + END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     slot += 1
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), slot, *([part] if with_ids else [])))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "slot", *(["ids"] if with_ids else [])]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), slot))
+                    if with_ids:
+                        parts.append(part)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "slot"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *columns[3]], dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
 def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, piece, start, length, ids_crc32, slot (to deal them evenly), and ids on request."""
+    """Pieces of all documents: doc_id, piece, start, length, ids_crc32, slot (the piece's own number), and ids on request."""
     small_batches(documents.sparkSession)
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pieces(str(path), capacity, with_ids), PIECE + (", ids binary" if with_ids else ""))
+    return docs.mapInArrow(_pieces(str(path), capacity, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -218,8 +240,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset
 
 
-def _pack(capacity: int, round_no: int):
-    """Pack one group's pieces; open = 1 marks those that go to the next exchange."""
+def _pack(capacity: int, round_no: int, most: int):
+    """Pack one group's pieces; open = 1 marks those that go to the next exchange, ``most`` and one bin at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "slot"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -239,7 +261,8 @@ def _pack(capacity: int, round_no: int):
             # emptiest bins first, until their free room could save the gap and one bin more
             order = np.argsort(fill, kind="stable")
             room = np.cumsum(capacity - fill[order])
-            take = int(np.searchsorted(room, (gap + 1) * capacity)) + 1
+            held = np.cumsum(np.bincount(where, minlength=used)[order])
+            take = min(int(np.searchsorted(room, (gap + 1) * capacity)), int(np.searchsorted(held, most))) + 1
             open_bins[order[:take]] = True
         pdf["open"] = open_bins[where].astype(np.int32)
         pdf["used"], pdf["bound"] = used, used - gap
@@ -253,18 +276,21 @@ PACKED = PIECE + ", grp long, sequence_id long, offset long, open int, used long
 
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """cut (see pieces, written) with sequence_id and offset."""
-    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32", "slot"]
+    cut = cut.select(*keys)
     whole = cut.where(F.col("length") == capacity)
     # ids of whole pieces lie below those of packed bins, and are apart by the row's place
     done = [whole.select(*keys, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = cut.where(F.col("length") < capacity)
     n = rest.count()
     groups = max(1, -(-n // group))
-    todo = rest.withColumn("grp", F.pmod("slot", F.lit(groups)).cast("long"))
+    # dealt in turn within each task, from a start of its own
+    turn = F.col("slot").bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright("slot", 33)
+    todo = rest.withColumn("grp", F.pmod(turn, F.lit(groups)).cast("long"))
     todo = todo.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     round_no = 0
     while True:
-        packed = materialize(todo.repartition(min(groups, 4000), "grp").groupBy("grp").applyInPandas(_pack(capacity, round_no), PACKED), f"packed{round_no}")
+        packed = materialize(todo.repartition(min(groups, 4000), "grp").groupBy("grp").applyInPandas(_pack(capacity, round_no, max(1, group // FAN_IN)), PACKED), f"packed{round_no}")
         done.append(packed.where("open = 0").select(*keys, "sequence_id", "offset"))
         left = packed.where("open = 1")
         if groups == 1 or left.isEmpty():
@@ -279,6 +305,12 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
     return out
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
-    return pack_pieces(materialize(pieces(documents, tokenizer_path, capacity), "pieces"), capacity)
+def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request: one row for each piece."""
+    cut = materialize(pieces(documents, tokenizer_path, capacity, with_ids), "pieces")
+    packed = pack_pieces(cut, capacity)
+    if with_ids:
+        places = packed.select(F.col("slot").alias("_slot"), "sequence_id", "offset")
+        packed = cut.join(places, F.col("slot") == F.col("_slot"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    return packed.select(*names)
