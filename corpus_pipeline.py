@@ -7,7 +7,7 @@ one's input. All but the last return the columns of documents:
 2. near_dedup: of each group of near duplicates the smallest doc_id stays;
 3. secrets: the spans found are masked in the text;
 4. mixing: documents as often as the source weights take them, cut to the words taken;
-5. packing: the pieces of all that is left, in sequences of 2048 tokens.
+5. packing: the pieces of all that is left with their token ids, in sequences of 2048 tokens.
 
 Rows are kept with nulls in any column: a null doc_id can't be told apart and
 passes the first two stages, a null text has no words and ends with mixing.
@@ -42,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
