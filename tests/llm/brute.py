@@ -1,7 +1,11 @@
 """Plain-Python definitions that the tests hold the operators against."""
 
 import hashlib
+import math
 import re
+from collections import Counter
+
+import xxhash
 
 KINDS = (
     ("assign", re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -64,3 +68,42 @@ def components(rows):
                 a2, b2 = root(a), root(b)
                 parent[max(a2, b2)] = min(a2, b2)
     return {d: root(d) for d, _ in sets}
+
+
+def mixed(x):
+    """The 64-bit finalizer, on one integer."""
+    for _ in range(2):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+    return x ^ (x >> 32)
+
+
+def ngram_buckets(text, buckets):
+    """Number of each bucket's single tokens and pairs."""
+    tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+", (text or "").encode())
+    h = [xxhash.xxh3_64_intdigest(t) for t in tokens]
+    pairs = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+    return Counter(mixed(x) % buckets for x in [*h, *pairs])
+
+
+def importance(rows, good, bad, folds, buckets, prior):
+    """rows: (doc_id, text); good, bad: labelled doc_ids; folds: doc_id -> fold. Log weights of rows, and the best cut's two sides."""
+    grams = [ngram_buckets(t, buckets) for _, t in rows]
+    raw = sum(grams, Counter())
+    total = sum(raw.values())
+    p = lambda b: (raw[b] + 1) / (total + buckets)
+
+    def log_weight(i, without=None):
+        target = sum((grams[j] for j, (d, _) in enumerate(rows) if d in good and folds[d] != without), Counter())
+        size = sum(target.values())
+        return sum(n * math.log((target[b] + prior * p(b)) / (size + prior) / p(b)) for b, n in grams[i].items())
+
+    held = [(log_weight(i, folds[d]), d in good) for i, (d, _) in enumerate(rows) if d in good or d in bad]
+    n_good, n_bad = sum(g for _, g in held), sum(not g for _, g in held)
+    share = lambda cut: sum(g and w >= cut for w, g in held) / n_good + sum(not g and w < cut for w, g in held) / n_bad
+    best = max(share(w) for w, _ in held)
+    return [log_weight(i) for i in range(len(rows))], share, best
+
+
+def gumbel(doc, text, seed):
+    u = ((xxhash.xxh3_64_intdigest(f"{doc}\0{text or ''}", seed=seed) >> 11) + 0.5) / 2**53
+    return -math.log(-math.log(u))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-EXTRA = "digest string, spans string, node long, key long, size long, kept boolean, _h long, h long, bytes long, p string, n long"
+EXTRA = "digest string, spans string, node long, key long, size long, kept boolean, _h long, h long, bytes long, p string, n long, _key string, _hit boolean, _n long, _gone long, `row` string, mark long, id long, own long, gone long, th long"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + EXTRA
 
 
@@ -16,7 +16,7 @@ def _rows():
     texts += [" ".join(prose) * 12]  # long
     rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 4}", None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, prose[5], None, None, None), (None, None, None, None, None)]
-    return [(*r, "x", "y", 1, 2, 3, True, 4, 5, 6, "z", 7) for r in rows]
+    return [(*r, "x", "y", 1, 2, 3, True, 4, 5, 6, "z", 7, "k", False, i, 8, "r", 9, i, 10, 11, 12) for i, r in enumerate(rows)]
 
 
 @pytest.fixture(scope="session")

@@ -11,9 +11,11 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import tidewell.llm.packing as pk
+import tidewell.llm.quality_model as qm
 from tidewell.llm.language_id import identify
 from tidewell.llm.mixing import WEIGHTS, mix, mixed_documents, sainte_lague
 from tidewell.llm.quality_model import cutoff, resample, top_k_threshold
@@ -210,6 +212,68 @@ def test_classifier_parts_labelled_kinds(spark):
     assert resample(docs, labels, k=17).where("kept").count() == 17
 
 
+def test_classifier_equals_plain_python(spark, docs, rows):
+    once = {d: t for d, t, *_ in rows if d is not None}
+    good, bad = set(range(0, 30)), {*range(43, 58)}
+    labels = spark.createDataFrame([*((d, 1, 0) for d in good), *((d, 0, 0) for d in bad), (40, 1, 1)], "doc_id long, quality int, toxic int")
+    scored, cut = qm.score_documents(docs, labels)
+    folds = {r[0]: r[1] for r in spark.range(60).select("id", F.pmod(F.xxhash64("id", F.lit(qm.SEED + 1)), F.lit(qm.FOLDS))).collect()}
+    texts = [r[:2] for r in rows]
+    assert len(once) == len({r[:2] for r in texts if r[0] is not None})
+    # a repeated doc_id fits the models once, but counts in the raw model as often as it stands
+    again = [i for i, r in enumerate(texts) if r in texts[:i] and r[0] in good]
+    weights, share, best = brute.importance(texts, good, bad, folds, qm.BUCKETS, qm.PRIOR) if not again else (None,) * 3
+    if again:  # leave the repeats' own target counts out
+        marked = [(d if i not in again else -1 - i, t) for i, (d, t) in enumerate(texts)]
+        weights, share, best = brute.importance(marked, good, bad, folds, qm.BUCKETS, qm.PRIOR)
+    got = {(r.doc_id, round(r.log_weight, 6)) for r in scored.collect()}
+    assert got == {(d, round(w, 6)) for (d, _), w in zip(texts, weights, strict=True)}
+    assert abs(share(cut) - best) < 1e-9
+    k = sum(w >= cut for w in weights)
+    keys = [w + brute.gumbel(d, t, qm.SEED) for (d, t), w in zip(texts, weights, strict=True)]
+    least = sorted(keys, reverse=True)[k - 1]
+    out = resample(docs, labels).collect()
+    want = Counter((d, round(key, 6), key >= least - 1e-9) for (d, _), key in zip(texts, keys, strict=True))
+    assert Counter((r.doc_id, round(r.key, 6), r.kept) for r in out) == want and 0 < k < len(rows)
+    # the noise decides: some documents below the cutoff are drawn, or some above it aren't, for one of these seeds
+    assert any({(r.kept, r.log_weight >= cut) for r in resample(docs, labels, seed=s).collect()} - {(True, True), (False, False)} for s in range(20, 26))
+    left = qm.keep_good(docs, labels)
+    assert left.columns == docs.columns
+    kept = Counter((d, t) for (d, t), key in zip(texts, keys, strict=True) if key >= least - 1e-9)
+    full = {(r.doc_id, r.text): r for r in docs.collect()}
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == kept
+    assert all(tuple(r)[5:18] == tuple(full[r.doc_id, r.text])[5:18] for r in left.collect())
+
+
+def test_rows_of_one_doc_id_are_judged_each(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join(rng.choice(["river", "stone", "garden", "letter", "window"], 60))
+    junk = lambda: " ".join(rng.choice(["@@@", "click", "$$$", "buy", "!!!"], 60))
+    rows = [(i, prose() if i % 2 else junk()) for i in range(60)] + [(7, junk()), (None, prose()), (None, junk())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = Counter(map(tuple, qm.keep_good(df, labels).collect()))
+    assert out == Counter(r for r in rows if "river" in r[1])
+
+
+def test_labelled_rows_are_bounded(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    seen, plain = {}, qm.materialize
+
+    def watched(df, label):
+        out = plain(df, label)
+        seen[label] = out.count()
+        return out
+
+    qm.materialize = watched
+    try:
+        many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+        qm.score_documents(many, labels, labelled=10)
+    finally:
+        qm.materialize = plain
+    assert seen["marks"] == seen["known"] == 10
+
+
 def test_classifier_edges(spark, docs, rows, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resample(docs, none).where("kept").count() == len(rows)

@@ -3,25 +3,26 @@
 Two generative models over hashed n-grams (single tokens and pairs): the target
 is fitted on the documents labelled good (quality 1, not toxic) with the raw
 model as its prior, the raw model on every document. A document's log importance
-weight is the mean log ratio of its n-grams times ``EVIDENCE`` or their number,
-whichever is less: n-grams of one text aren't independent, and a sum would be ruled
-by length. Gumbel noise on the log weights and a top-k make that a sample
-without replacement by weight.
+weight is the log ratio of both models for all its n-grams, at every length.
+Gumbel noise on the log weights and a top-k make that a sample without
+replacement by weight.
 
-k follows from the labels: the cutoff on log weights that best parts labelled
-good from labelled bad (quality 0) rows, each good row weighed by a target model
-without its own fold of the labels, and the number of all documents whose noisy weight
-is at or above it. The k-th largest is found by counting in ever finer bins, so no task
-sorts or holds all documents.
+k follows from the labels, before any noise is drawn: the cutoff on log weights
+that best parts labelled good from labelled bad (quality 0) rows, each good row
+weighed by a target model without its own fold of the labels, gives k as the number
+of documents whose log weight is at or above it. Which k those are, the noisy weights
+decide. The k-th largest is found by counting in ever finer bins, so no task sorts or
+holds all documents.
 
 Parameters with bounds: ``buckets`` n-gram buckets a model; ``labelled`` labelled
-rows at most to fit on, chosen by hash of doc_id. The raw model's counts cover all
-documents.
+doc_ids at most to fit on, chosen by hash of doc_id, of each its least text. The raw
+model's counts cover all documents.
 
 Defined cases: null and empty texts have log weight 0; null and repeated doc_id
 are scored row by row, with noise from doc_id and text, so equal rows get equal
-results; without labels of both kinds every document is kept; an empty table gives
-no rows; further columns are ignored.
+results, and all rows that tie with the k-th are kept; without labels of both kinds
+every document is kept; an empty table gives no rows; further columns are ignored by
+``resample`` and given back by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import WordHashes, materialize, mix64, small_batches
@@ -40,8 +41,7 @@ from tidewell.llm.common import WordHashes, materialize, mix64, small_batches
 BUCKETS = 1 << 13
 FOLDS = 5
 PRIOR = 10_000
-EVIDENCE = 200
-LABELLED = 20_000
+LABELLED = 50_000
 SEED = 11
 BINS = 4096
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
@@ -86,7 +86,7 @@ def ngram_counts(documents: DataFrame, folds: int, buckets: int = BUCKETS) -> np
 
 
 def _scores(ratios: np.ndarray, seed: int):
-    """Batches (doc_id, text, fold): fold -1 is scored with the last row of ratios."""
+    """Batches (doc_id, text, fold, mark): fold -1 is scored with the last row of ratios; mark is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -94,10 +94,11 @@ def _scores(ratios: np.ndarray, seed: int):
             weights, noise = [], []
             for doc, text, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = ngrams(text, hashes, ratios.shape[1])
-                weights.append(float(ratios[fold][found].sum()) * min(1.0, EVIDENCE / max(1, len(found))))
+                weights.append(float(ratios[fold][found].sum()))
                 u = (xxhash.xxh3_64_intdigest(f"{doc}\0{text or ''}", seed=seed) >> 11) + 0.5
                 noise.append(float(-np.log(-np.log(u / (1 << 53)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64()), pa.array(noise, pa.float64())], ["doc_id", "log_weight", "noise"])
+            columns = [batch.column(0), batch.column(3), pa.array(weights, pa.float64()), pa.array(noise, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "log_weight", "noise"])
 
     return run
 
@@ -142,8 +143,13 @@ def top_k_threshold(scored: DataFrame, column: str, k: int) -> float:
     return low
 
 
+def _mark(doc_id: Column, text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED, seed: int = SEED) -> tuple[DataFrame, float]:
-    """(doc_id, log_weight, noise) of every document, written, and the labelled rows' cutoff."""
+    """(doc_id, mark, log_weight, noise) of every document, written, and the labelled rows' cutoff."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # a doc_id labelled twice counts as its worst label; toxic rows are neither kind
@@ -152,32 +158,37 @@ def score_documents(documents: DataFrame, labels: DataFrame, buckets: int = BUCK
     marks = marks.groupBy("_id").agg(F.min("good").alias("good"))
     marks = marks.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int"))
     marks = materialize(marks.orderBy(F.xxhash64("_id", F.lit(seed))).limit(labelled), "marks")
-    # ``labelled`` rows of three numbers at most: sent to every task, so that no text is shuffled
-    known = materialize(docs.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id"), "known")
+    # ``labelled`` rows of three numbers at most: sent to every task, so that only labelled texts are shuffled
+    known = docs.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "good", "fold").agg(F.min("text").alias("text"))
+    known = materialize(known, "known")
     raw = ngram_counts(docs.withColumn("fold", F.lit(0)), 1, buckets)[0]
     good = ngram_counts(known.where("good = 1"), FOLDS, buckets)
     p = (raw + 1) / (raw.sum() + buckets)
     model = lambda n: np.log((n + PRIOR * p) / (n.sum() + PRIOR) / p)
     ratios = np.stack([*(model(good.sum(axis=0) - part) for part in good), model(good.sum(axis=0))])
-    scores = lambda rows: rows.select("doc_id", "text", "fold").mapInArrow(_scores(ratios, seed), "doc_id long, log_weight double, noise double")
-    scored = materialize(scores(docs.withColumn("fold", F.lit(-1))), "scores")
+    scores = lambda rows: rows.mapInArrow(_scores(ratios, seed), "doc_id long, mark long, log_weight double, noise double")
+    scored = materialize(scores(docs.select("doc_id", "text", F.lit(-1), _mark(F.col("doc_id"), F.col("text")))), "scores")
     # ``labelled`` rows at most
-    weights = [np.array([r[0] for r in scores(known.where(f"good = {g}")).select("log_weight").collect()]) for g in (0, 1)]
-    return scored, cutoff(np.concatenate(weights), np.repeat([False, True], [len(w) for w in weights]))
+    found = scores(known.select("doc_id", "text", "fold", F.col("good").cast("long"))).select("mark", "log_weight").collect()
+    return scored, cutoff(np.array([r[1] for r in found]), np.array([r[0] == 1 for r in found], bool))
 
 
-def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, key (log weight with Gumbel noise), kept (among the k largest keys; k by the cutoff if None)."""
+def _resampled(documents: DataFrame, labels: DataFrame, k: int | None, seed: int) -> DataFrame:
     scored, cut = score_documents(documents, labels, seed=seed)
-    key = F.col("log_weight") + F.col("noise")
-    scored = scored.select("doc_id", "log_weight", key.alias("key"))
     if k is None:
-        k = scored.where(F.col("key") >= cut).count() if np.isfinite(cut) else scored.count() if cut < 0 else 0
+        k = scored.where(F.col("log_weight") >= cut).count()
+    scored = scored.select("doc_id", "mark", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
     least = top_k_threshold(scored, "key", k)
     return scored.withColumn("kept", F.col("key") >= least)
 
 
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents whose rows all are kept by resample (rows with a null doc_id stay)."""
-    gone = resample(documents, labels).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, log_weight, key (log weight with Gumbel noise), kept (among the k largest keys; k by the cutoff if None)."""
+    return _resampled(documents, labels, k, seed).drop("mark")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of documents that resample keeps."""
+    gone = _resampled(documents, labels, k, seed).where("NOT kept").select(F.col("doc_id").alias("gone"), "mark").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _mark(F.col("doc_id"), F.col("text")).alias("own"))
+    return rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone")) & (F.col("own") == F.col("mark")), "left_anti").select("row.*")
