@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import tidewell.llm.packing as pk
 import tidewell.llm.quality_model as qm
+import tidewell.llm.web_archive as wa
 from tidewell.llm.language_id import identify
 from tidewell.llm.mixing import WEIGHTS, mix, mixed_documents, sainte_lague
 from tidewell.llm.quality_model import cutoff, resample, top_k_threshold
@@ -52,6 +53,33 @@ def test_archive_round_trip(spark, pages, tmp_path):
     assert archive_report(pages.limit(0)).count() == 0
 
 
+def test_hot_payloads_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """One body on half of the pages: no part of its records is much larger than asked, and every record comes back."""
+    rows = [(None if i < 5 else i // 2, f"http://h/{i}", "page was not found" if i % 2 else f"<p>{i}</p>") for i in range(2_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    write = wa.write_archive
+    monkeypatch.setattr(wa, "write_archive", lambda pages, folder: write(pages, folder, spread=50))
+    before = {t.name for t in spark.catalog.listTables()}
+    folder = f"file://{tmp_path}/archive"
+    out = archive_report(pages, folder).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    headers = spark.read.parquet(f"{folder}/headers")
+    sizes = [r["count"] for r in headers.where("part IS NOT NULL").groupBy("digest", "part").count().collect()]
+    assert sum(sizes) == 1_000 and len(sizes) == 20 and max(sizes) <= 3 * 50
+    first = {}
+    for page, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        first.setdefault(html, page)
+    want = Counter()
+    for page, _, html in rows:
+        want[page, len(html)] += 1
+    assert Counter((r.page_id, r.payload_bytes) for r in out) == want
+    hot = [r for r in out if r.payload_bytes == len("page was not found")]
+    assert sum(r.record_type == "response" for r in hot) == 1
+    assert {r.refers_to for r in hot if r.record_type == "revisit"} == {first["page was not found"]}
+    ids = [parse_warc(bytes(r.record)).__next__()[0]["WARC-Record-ID"] for r in to_warc(read_archive(spark, folder)).collect()]
+    assert len(set(ids)) == len(rows)
+
+
 def test_pieces_are_the_tokenizers(docs, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     more = ["hello <|endoftext|> world <|startoftext|>", "<|endoftext|>", "x<|ENDOFTEXT|>y <|endoftext|", "a<|endoftext|>b " * 3000]

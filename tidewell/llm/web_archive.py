@@ -7,11 +7,20 @@ payload an earlier page holds become revisit records that refer to it.
 ``verify`` digests the stored payloads anew. ``to_warc`` and ``parse_warc``
 turn records to and from the bytes of a WARC file.
 
-The payload table is bucketed by digest, so reading back shuffles headers only.
+The payload table is bucketed by digest, so reading back shuffles headers only. A
+digest of more than ``SPREAD`` records (an empty body, an error page), or of more than
+a ten-thousandth of all, has its records dealt to parts of about that many; its payload
+is read once for each part. Such digests are ten thousand at most, so their list is
+broadcast. Which record is a response is decided by numbers, without payloads.
+
+Record ids hold the page's id and the record's own number, so that they are unique
+where page ids repeat or are null. The block of a response is the payload alone: pages
+hold no HTTP header lines.
 
 Defined cases: null payloads are empty; a null url is an empty target URI; pages
-with equal ids and payloads are all written, each as a record: the first by id is
-the response and the rest of the same id revisit it; rows with a null page_id sort last; an
+with equal ids and payloads are all written, each as a record: the first by id, then
+by url, is the response and the rest revisit it; rows with a null page_id come last (where
+all are null, one of them is the response, and what revisits it refers to null); an
 empty table gives no rows; further columns are ignored. No payload is too small
 to be stored once.
 """
@@ -24,7 +33,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import fresh_folder, materialize, small_batches
@@ -32,6 +41,10 @@ from tidewell.llm.common import fresh_folder, materialize, small_batches
 CRLF = "\r\n"
 #: Record dates are a parameter, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
+#: Records of one digest that one task reads, about.
+SPREAD = 2_000
+#: Digests with more records than SPREAD that are broadcast, at most.
+HOT = 10_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -45,26 +58,29 @@ def base32_of_hex(hexed: Column) -> Column:
     return F.concat(*letters)
 
 
-def _header(kind: Column, uri: Column, page: Column, digest: Column, length: Column, refers: Column) -> Column:
+def _record_id(page: Column, number: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), number.cast("string"), F.lit(">"))
+
+
+def _header(kind: Column, uri: Column, record: Column, digest: Column, length: Column, refers: Column) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    record_id = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", record_id(page)),
+        line("WARC-Record-ID", record),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        F.when(kind == "revisit", F.concat(line("WARC-Refers-To", record_id(refers)), line("WARC-Profile", F.lit(profile)))).otherwise(F.lit("")),
+        F.when(kind == "revisit", F.concat(line("WARC-Refers-To", refers), line("WARC-Profile", F.lit(profile)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(kind == "revisit", F.lit("0")).otherwise(length.cast("string"))),
         F.lit(CRLF),
     )
 
 
-def write_archive(pages: DataFrame, folder: str, least: int = 0) -> str:
-    """Archive pages (page_id, url, html) under folder/payloads and folder/headers; the payloads' table is given back.
+def write_archive(pages: DataFrame, folder: str, least: int = 0, spread: int = SPREAD) -> str:
+    """Archive pages (page_id, url, html) under folder/payloads and folder/headers; the name of the payloads' table is given back.
 
     Payloads of fewer than ``least`` bytes are not looked up: their records are
     all responses (and still share the stored bytes).
@@ -72,25 +88,36 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0) -> str:
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    records = keyed.select("page_id", "url", "digest", F.sha1("payload").alias("_sha1"), F.octet_length("payload").cast("long").alias("n"))
+    records = records.withColumn("sha1", base32_of_hex(F.col("_sha1"))).drop("_sha1").withColumn("number", F.monotonically_increasing_id())
+    records = materialize(records, "records")
+    order = F.struct(F.col("page_id").isNull().alias("null"), "page_id", "url", "number")
+    first = records.groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("_count"), F.min(order).alias("_first"))
+    first = materialize(first, "first")
+    total = first.agg(F.sum("_count")).first()[0] or 0
+    most = max(spread, total // HOT)
+    # fewer than HOT rows, as each counts more than a ten-thousandth of all records
+    hot = first.where(F.col("_count") > most).select(F.col("_d").alias("_hot"), F.ceil(F.col("_count") / most).cast("int").alias("copies"))
+
+    def parted(rows: DataFrame, digest: str) -> DataFrame:
+        return rows.join(F.broadcast(hot), F.col(digest) == F.col("_hot"), "left").drop("_hot").withColumn("copies", F.coalesce("copies", F.lit(1)))
+
     # one row a task and digest reaches the shuffle
-    stored = keyed.groupBy("digest").agg(F.first("payload").alias("payload"))
+    stored = parted(keyed.groupBy("digest").agg(F.first("payload").alias("payload")), "digest")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tidewell_payloads_{uuid.uuid4().hex}"
     stored.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").option("path", f"{folder}/payloads").saveAsTable(table)
 
-    records = keyed.select("page_id", "url", "digest", F.sha1("payload").alias("_sha1"), F.octet_length("payload").cast("long").alias("n"))
-    records = materialize(records.withColumn("sha1", base32_of_hex(F.col("_sha1"))).drop("_sha1"), "records")
-    first = records.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id")).withColumnRenamed("digest", "_d")
-    first = materialize(first, "first")
-    out = records.join(first, F.col("digest") == F.col("_d"), "left").drop("_d")
-    # of repeated rows of the first id, one is the response
-    repeat = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    own = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    out = out.withColumn("_own", own).withColumn("_nth", repeat)
-    is_response = (F.col("n") < least) | (F.col("_own") & (F.col("_nth") == 1))
+    own = parted(records, "digest").withColumn("part", F.pmod("number", "copies").cast("int"))
+    firsts = parted(first, "_d").select("_d", "_first", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_part"))
+    out = own.join(firsts, (F.col("digest") == F.col("_d")) & (F.col("part") == F.col("_part")))
+    is_response = (F.col("n") < least) | (F.col("number") == F.col("_first.number"))
     kind = F.when(is_response, F.lit("response")).otherwise(F.lit("revisit"))
-    header = _header(kind, F.col("url"), F.col("page_id"), F.col("sha1"), F.col("n"), F.col("first_id"))
-    out.select("page_id", "digest", header.alias("header")).write.parquet(f"{folder}/headers")
+    record, refers = _record_id(F.col("page_id"), F.col("number")), _record_id(F.col("_first.page_id"), F.col("_first.number"))
+    header = _header(kind, F.col("url"), record, F.col("sha1"), F.col("n"), refers)
+    # the part matters for digests of several only
+    part = F.when(F.col("copies") > 1, F.col("part"))
+    out.select("page_id", "digest", part.alias("part"), header.alias("header")).write.parquet(f"{folder}/headers")
     return table
 
 
@@ -101,8 +128,12 @@ def read_archive(spark: SparkSession, folder: str, table: str | None = None) ->
     """
     headers = spark.read.parquet(f"{folder}/headers")
     payloads = spark.table(table) if table else spark.read.parquet(f"{folder}/payloads")
-    stored = payloads.withColumnRenamed("digest", "_d")
-    return headers.join(stored, F.col("digest") == F.col("_d")).drop("_d")
+    stored = payloads.where("copies = 1").select(F.col("digest").alias("_d"), "payload")
+    names = ["page_id", "header", "digest", "payload"]
+    plain = headers.where("part IS NULL").join(stored, F.col("digest") == F.col("_d")).select(names)
+    spread = payloads.where("copies > 1").select(F.col("digest").alias("_d"), "payload", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_part"))
+    split = headers.where("part IS NOT NULL").join(spread, (F.col("digest") == F.col("_d")) & (F.col("part") == F.col("_part"))).select(names)
+    return plain.unionByName(split)
 
 
 def field(header: Column, name: str) -> Column:
@@ -138,8 +169,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             if fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or not revisit and block != payload:
                 raise ValueError(f"page {page}: record doesn't match its payload")
-            refers = fields.get("WARC-Refers-To", "")
-            rows.append((page, len(payload), sha1, fields["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers.strip("<>urn:page") else None))
+            refers = fields.get("WARC-Refers-To", "").removeprefix("<urn:page:").split(":")[0]
+            rows.append((page, len(payload), sha1, fields["WARC-Type"], int(refers) if refers else None))
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -153,4 +184,7 @@ def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or fresh_folder(spark, "archive")
     table = write_archive(pages, folder)
     records = read_archive(spark, folder, table).select(F.col("page_id").cast("long").alias("page_id"), "header", "digest", "payload")
-    return records.mapInArrow(_read_back, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = records.mapInArrow(_read_back, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = materialize(out, "report")
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay
+    return out
