@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -54,11 +55,24 @@ def test_keep_one(docs, rows):
     out = nd.keep_one(docs)
     want = brute.components([(d, t) for d, t, *_ in {r[:2] for r in rows if r[0] is not None}])
     assert out.columns == docs.columns
+    full = Counter(map(tuple, docs.collect()))
+    assert all(full[tuple(r)] for r in out.collect())  # whole rows, of whatever column names
     ids = sorted((r.doc_id for r in out.collect() if r.doc_id is not None))
     assert ids == sorted({d for d, c in want.items() if d == c})
     assert out.where("doc_id IS NULL").count() == 2
 
 
+def test_rows_of_one_doc_id_are_judged_each(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    near = text(1).replace("w1x39", "other")
+    rows = [(1, text(1)), (1, text(2)), (1, text(3)), (1, text(3)), (2, text(4)), (2, near), (3, text(2).upper()), (3, text(2)), (4, ""), (4, None), (None, text(1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, text(1)), (1, text(2)), (1, text(3)), (2, text(4)), (4, ""), (4, None), (None, text(1))]
+    assert Counter(map(tuple, nd.keep_one(df).collect())) == Counter(want)
+    # in the report, a doc_id stands for all of its texts
+    assert {(r.doc_id, r.component_id) for r in nd.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+
+
 def test_min_max_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 1 << 63, 850, dtype=np.uint64)
@@ -122,4 +136,7 @@ def test_keep_one_at_another_threshold(spark):
 
 def test_bands_and_agreement_follow_the_threshold():
     assert (nd.bands_for(85), nd.agree_for(85)) == (nd.BANDS, nd.AGREE)
-    assert (1 - 0.8**nd.ROWS) ** nd.bands_for(80) < 1e-6 and 360 < nd.agree_for(80) < 370
+    assert 360 < nd.agree_for(80) < 370
+    for percent in (80, 85, 90):  # the chance to share no band, or one
+        n, p = nd.bands_for(percent), (percent / 100) ** nd.ROWS
+        assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) < 1e-6

@@ -4,14 +4,16 @@ Each text becomes its set of distinct 5-word shingles. A permutation gives both
 its minimum and its maximum over the set, so half as many hash evaluations fill
 a signature; bands of five values find candidates.
 
-Cost of a miss: two texts at the threshold (Jaccard 0.85, or ``percent``) share one band with
-probability 0.85**5 = 0.44 and miss all 24 bands with (1 - 0.44)**24 < 1e-6. For a
-lower threshold bands are added until that holds again: 36 for 0.80.
+Cost of a miss: two texts at the threshold (Jaccard 0.85, or ``percent``) share one given band
+with probability 0.85**5 = 0.44, and fewer than two of the 30 bands with less than 1e-6.
+Every pair that shares two bands is held together, in buckets of all sizes, so a link at
+the threshold is missed with less than that and one above it with less still. For a
+lower threshold bands are added until that holds again: 44 for 0.80.
 
 How large groups stay small work:
 
-1. Texts with equal shingle sets are one class, whose smallest doc_id (its node)
-   stands for it; only nodes go on.
+1. Texts with equal shingle sets are one class, which a number (its node) stands
+   for, with the text of its smallest doc_id; only nodes go on.
 2. A star round: each node is held against one pivot of the buckets it shares,
    not against the whole bucket. The pivot of a bucket is the node that meets
    most others in all its buckets: of a group of copies, the original, which
@@ -20,15 +22,16 @@ How large groups stay small work:
    pairs of different components are confirmed too, if their sizes and longer
    signatures (``FINE`` values, made for these nodes only) allow the threshold. A
    pair is told apart once, in the smallest of the buckets it shares. A bucket over
-   ``BLOCK`` nodes is first split by each second band (two linked nodes share about
-   eleven bands, so a second shared band is missed with probability of some 1.5e-5),
-   and what is still larger is compared in blocks of ``BLOCK``.
+   ``BLOCK`` nodes is dealt by each second band that its nodes share, and
+   what is still larger is compared in blocks of ``BLOCK``.
 
 Defined cases: null or blank texts have an empty set and are linked with
 nothing; texts under five words are one shingle; rows with a null doc_id have
-component null and are kept; repeated rows get the same result each; one doc_id
-with several texts stands for all of them; an empty table gives no rows;
-further columns are ignored.
+component null and are kept; an empty table gives no rows. ``near_duplicates``:
+repeated rows get the same result each; one doc_id with several texts stands for
+all of them; further columns are ignored. ``keep_one``: rows of one doc_id with
+unlike texts are judged each by its own text, of equal rows one stays (any, where only further
+columns differ), further columns are given back whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ from tidewell.llm.common import WordHashes, ascii_lower_words, materialize, mix6
 
 SHINGLE = 5
 PERCENT = 85
-BANDS = 24
+BANDS = 30
 ROWS = 5
 #: Each permutation gives two of a signature's values.
 PERMUTATIONS = BANDS * ROWS // 2
@@ -72,12 +75,12 @@ _BAND = np.concatenate([_BAND, _rng.integers(0, 1 << 63, (_MORE, ROWS), dtype=np
 
 
 def bands_for(percent: int) -> int:
-    """An even number of bands, BANDS or more, that a pair at the threshold misses with a chance of less than a millionth."""
-    need = math.log(1e-6) / math.log(1 - (percent / 100) ** ROWS)
-    bands = max(BANDS, 2 * math.ceil(need / 2))
-    if bands > BANDS + _MORE:
-        raise ValueError(f"no bands for a threshold of {percent} %")
-    return bands
+    """An even number of bands, BANDS or more, of which a pair at the threshold shares fewer than two with a chance of less than a millionth."""
+    p = (percent / 100) ** ROWS
+    for bands in range(BANDS, BANDS + _MORE + 1, 2):
+        if (1 - p) ** (bands - 1) * (1 - p + bands * p) < 1e-6:
+            return bands
+    raise ValueError(f"no bands for a threshold of {percent} %")
 
 
 def agree_for(percent: int) -> int:
@@ -123,7 +126,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n_bands: int = BANDS) -> Iterator
     multiply, add = _MULTIPLY[: n_bands * ROWS // 2], _ADD[: n_bands * ROWS // 2]
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             key = xxhash.xxh3_128_digest(text.encode()) if text else b""
             row = known.get(key)
             if row is None:
@@ -142,10 +145,10 @@ def _signed(batches: Iterator[pa.RecordBatch], n_bands: int = BANDS) -> Iterator
         n, digest, bands = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
             ],
-            ["doc_id", "n", "digest", "bands"],
+            ["doc_id", "th", "n", "digest", "bands"],
         )
 
 
@@ -178,14 +181,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Itera
                 continue
             s = shingle_set(text[i], hashes)
             for h in heads:
-                if _linked(h, s, percent):
+                if _alike(h, s, percent):
                     left.append(a[i])
                     right.append(b[i])
                     break
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+def _alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = sorted((len(x), len(y)))
     if not small or 100 * small < percent * large:
         return False
@@ -204,7 +207,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
     heads = dealt.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b")).distinct()
     rows = dealt.unionByName(heads)
-    named = texts.withColumnRenamed("doc_id", "_id")
+    named = texts.withColumnRenamed("node", "_id")
     rows = rows.join(named, rows["b"] == named["_id"]).select("a", "chunk", "role", "b", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
     return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long").distinct()
@@ -269,7 +272,7 @@ def _candidates(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     small = F.col("c") <= BLOCK
     key_if = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("key"))))
     nodes = rows.groupBy("node", "comp").agg(key_if(small).alias("small"), key_if(~small).alias("large"))
-    named = texts.withColumnRenamed("doc_id", "_id")
+    named = texts.withColumnRenamed("node", "_id")
     nodes = nodes.join(named, nodes["node"] == named["_id"]).select("node", "comp", "small", "large", "text")
     fine = materialize(nodes.mapInArrow(_fine, "node long, comp long, small array<long>, large array<long>, n long, sig binary"), "fine")
     columns = ["node", "comp", "n", "small", "large", "sig"]
@@ -319,24 +322,27 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots).distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of documents; texts are linked from a Jaccard of percent / 100."""
+def _linked(documents: DataFrame, percent: int, by_doc_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(signed, many): every row's doc_id, th (its text's hash), n; and, for the rows (doc_id, th) that aren't the
+    first of their component, the first (by doc_id, then th) as rep."""
     n_bands = bands_for(percent)
     small_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    signed = materialize(docs.mapInArrow(lambda batches: _signed(batches, n_bands), "doc_id long, n long, digest binary, bands array<long>"), "signed")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    signed = docs.mapInArrow(lambda batches: _signed(batches, n_bands), "doc_id long, th long, n long, digest binary, bands array<long>")
+    signed = materialize(signed, "signed")
     linkable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    narrow = linkable.select("doc_id", "digest")
-    classes = materialize(narrow.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    first = classes.select("digest", F.col("node").alias("doc_id"))
-    nodes = linkable.join(first, ["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "bands").distinct()
+    narrow = linkable.select("doc_id", "th", "digest")
+    classes = narrow.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first.*"), "classes")
+    nodes = linkable.join(classes, ["digest", "doc_id", "th"]).select("node", "bands").distinct()
 
     banded = materialize(nodes.select("node", F.explode("bands").alias("key")), "banded")
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     banded = materialize(banded.join(shared, "key"), "shared")
     nearby = materialize(banded.groupBy("node").agg(F.sum("c").alias("met")), "nearby")
-    found = docs.join(nearby.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    texts = materialize(found.select("doc_id", "text"), "texts")
+    firsts = classes.join(nearby, "node").select("node", F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    found = docs.join(firsts, (F.col("doc_id") == F.col("_doc")) & (F.col("th") == F.col("_th")))
+    texts = materialize(found.groupBy("doc_id", "th", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
 
     met = banded.select("key", "node").join(nearby, "node")
     pivots = met.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("by"), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
@@ -350,14 +356,25 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_confirmed(pairs, texts, percent), "links")
+    of_class = narrow.join(classes.select("node", "digest"), "digest").select("doc_id", "th", "node").distinct()
+    if by_doc_id:  # texts of one doc_id belong together
+        several = of_class.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_max")).where("a <> _max").select("doc_id", "a")
+        more = materialize(more.unionByName(of_class.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")), "links")
     if not more.isEmpty():
-        comp = _assign(nearby, links.unionByName(more))
+        comp = _assign(nearby.select("node").unionByName(more.select(F.col("a").alias("node"))).unionByName(more.select(F.col("b").alias("node"))).distinct(), links.unionByName(more))
+
+    # classes of one row and without links need no join
+    least = classes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.struct("doc_id", "th").alias("first"))
+    reps = least.join(least.groupBy("comp").agg(F.min("first").alias("rep")), "comp").select("node", "rep")
+    many = of_class.join(reps, "node").where("doc_id <> rep.doc_id OR th <> rep.th").select("doc_id", "th", "rep")
+    return signed.select("doc_id", "th", "n"), many
 
-    # classes of one member and without links need no join
-    of_class = narrow.join(classes, "digest").select("doc_id", "node").distinct()
-    many = of_class.join(comp, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")).where("doc_id <> comp")
-    many = many.groupBy("doc_id").agg(F.min("comp").alias("comp")).withColumnRenamed("doc_id", "_id")
-    out = signed.select("doc_id", "n").join(many, F.col("doc_id") == F.col("_id"), "left")
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of documents; texts are linked from a Jaccard of percent / 100."""
+    signed, many = _linked(documents, percent, by_doc_id=True)
+    many = many.where("doc_id <> rep.doc_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("rep.doc_id").alias("comp"))
+    out = signed.join(many, F.col("doc_id") == F.col("_id"), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -368,7 +385,12 @@ def _assign(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """documents without near duplicates: of each component the row of the smallest doc_id (rows with a null doc_id stay)."""
-    gone = near_duplicates(documents, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """documents without near duplicates: of each component of texts the row of the smallest doc_id (rows with a null doc_id stay)."""
+    signed, many = _linked(documents, percent, by_doc_id=False)
+    gone = many.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    rest = rows.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left_anti")
+    repeated = signed.where("doc_id IS NOT NULL").groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1")
+    if not repeated.isEmpty():
+        rest = rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "th"]))
+    return rest.select("row.*")
