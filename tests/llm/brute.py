@@ -1,6 +1,7 @@
 """Plain-Python definitions that the tests hold the operators against."""
 
 import hashlib
+import html as html_lib
 import math
 import re
 from collections import Counter
@@ -107,3 +108,66 @@ def importance(rows, good, bad, folds, buckets, prior):
 def gumbel(doc, text, seed):
     u = ((xxhash.xxh3_64_intdigest(f"{doc}\0{text or ''}", seed=seed) >> 11) + 0.5) / 2**53
     return -math.log(-math.log(u))
+
+
+def paragraphs(text):
+    """Lines as tuples of words, cut after each word whose hash ends in three zero bits."""
+    out = []
+    for line in text.encode().split(b"\n"):
+        part = []
+        for word in line.split():
+            part.append(word)
+            if xxhash.xxh3_64_intdigest(word) % 8 == 0:
+                out.append(tuple(part))
+                part = []
+        if part:
+            out.append(tuple(part))
+    return out
+
+
+HIDDEN = re.compile(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+
+
+def text_grams(text, buckets):
+    data = (" " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " ").encode()
+    return [mixed(int.from_bytes(data[i : i + 4], "little")) % buckets for i in range(len(data) - 3)]
+
+
+def languages(pages, docs, buckets, evidence, strength):
+    """pages: (page_id, url, html); docs: (lang, text). [(page_id, language, its probability)] of each page."""
+    langs = sorted({lang for lang, _ in docs})
+    counts = [Counter(g for lang2, t in docs if lang2 == lang for g in text_grams(t, buckets)) for lang in langs]
+    size = [sum(c.values()) for c in counts]
+
+    def soft(ll):
+        e = [math.exp(x - max(ll)) for x in ll]
+        return [x / sum(e) for x in e]
+
+    rows = []
+    for page, url, html in pages:
+        found = text_grams(html_lib.unescape(HIDDEN.sub(" ", html or "")), buckets)
+        scale = min(1, evidence / max(1, len(found)))
+        ll = [scale * sum(math.log((c[g] + 0.5) / (n + 0.5 * buckets)) for g in found) for c, n in zip(counts, size, strict=True)]
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = m[1].lower() if m else ""
+        parts = host.split(".")
+        said = re.search(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,8})""", html or "")
+        at = {"host": host, "domain": ".".join(parts[-2:]) if len(parts) > 1 and all(parts[-2:]) else "", "suffix": parts[-1], "declared": said[1].lower() if said else ""}
+        rows.append((page, ll, soft(ll), at))
+    out = []
+    for i, (page, ll, _, at) in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != i]
+        total = lambda by, value: [sum(r[2][k] for r in others if by is None or r[3][by] == value) for k in range(len(langs))]  # noqa: B023, E731
+        every = total(None, None)
+        prior = [(x + 1) / (sum(every) + len(langs)) for x in every]
+        for by in ("suffix", "domain", "host"):
+            if at[by]:
+                n = total(by, at[by])
+                prior = [(x + strength * q) / (sum(n) + strength) for x, q in zip(n, prior, strict=True)]
+        fused = [x + math.log(q) for x, q in zip(ll, prior, strict=True)]
+        if at["declared"]:
+            n = total("declared", at["declared"])
+            fused = [x + math.log((a + 0.5) / (b + 1)) for x, a, b in zip(fused, n, every, strict=True)]
+        p = soft(fused)
+        out.append((page, langs[p.index(max(p))], round(max(p), 6)))
+    return out

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import html as html_lib
 import json
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -14,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import tidewell.llm.language_id as li
 import tidewell.llm.packing as pk
 import tidewell.llm.quality_model as qm
 import tidewell.llm.web_archive as wa
@@ -210,7 +213,11 @@ def test_mix_meets_its_targets(docs, rows):
         taken[by_size[r.source_size]] += r.taken
     assert all(abs(taken[s] - target[s]) <= 128 for s in target)
     texts = Counter()
-    for r in mixed_documents(docs).collect():
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    further = [c for c in docs.columns if c not in ("text", "n_chars")]
+    assert {tuple(r) for r in mixed.select(further).collect()} <= {tuple(r) for r in docs.select(further).collect()}
+    for r in mixed.collect():
         texts[r.doc_id] += len(brute.words(r.text))
         assert r.n_chars == len(r.text)
     want = Counter()
@@ -332,6 +339,48 @@ def test_language_of_pages(spark):
     assert identify(odd.limit(0), docs).count() == 0 and identify(odd, docs.limit(0)).where("lang IS NULL").count() == 5
 
 
+LANGUAGE_WORDS = {
+    "de": "der die und nicht haus strasse gestern wieder", "en": "the and not house street yesterday again over",
+    "fr": "le la et pas maison hier encore toujours",
+}
+
+
+def test_language_equals_plain_python(spark):
+    """Text, declared language, suffix, domain and host evidence, with ties, repeats and clashing names, against plain Python."""
+    rng = np.random.default_rng(9)
+    say = lambda lang, n: " ".join(rng.choice(LANGUAGE_WORDS[lang].split(), n))
+    docs = [(i, lang, say(lang, 30)) for i, lang in enumerate(["de", "en", "fr"] * 5)]
+    pages = []
+    for i in range(60):
+        lang = ["de", "en", "fr"][i % 3]
+        tag = f'<html lang="{["de", "en", "xx"][i % 3]}-x">' if i % 4 else "<html>"
+        host = ["www.a.de", "b.example.com", "c.example.com", "", "d.org"][i % 5]
+        pages.append((i, f"http://{host}/x" if host else None, f"{tag}<head>{say('en', 9)}</head><p>{say(lang, int(rng.integers(0, 12)))}</p>"))
+    pages += [(100, "http://www.a.de/y", "<p></p>"), (100, "http://www.a.de/y", "<p></p>"), (101, None, None), (102, "http://x@d.org:80/", '<html lang="de">' + say("fr", 3))]
+    df = spark.createDataFrame([(*p, "z", 1.0, [1.0], "h") for p in pages], "page_id long, url string, html string, lang string, p double, text_ll array<double>, host string")
+    known = spark.createDataFrame([(*d, "h", 1.0) for d in docs], "doc_id long, lang string, text string, _h string, n double")
+    want = Counter(brute.languages(pages, [d[1:] for d in docs], li.BUCKETS, li.EVIDENCE, li.STRENGTH))
+    out = identify(df.repartition(5), known)
+    assert Counter((r.page_id, r.lang, round(r.confidence, 6)) for r in out.collect()) == want
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, identify(df.repartition(2), known).collect()))
+
+
+def test_visible_text_is_linear_and_equals_the_pattern():
+    odd = ["a<b>c</b>", "<script>x</script >y", "<script>never", "<nav><nav>x</nav>y</nav>", "<!-- a --> b <!-- c", "x < y", "<header>h</header>", "<<<a>>", "a<style>b</STYLE>&amp;c", "<head", "p<br", "<!--><p>q"]
+    for page in odd:
+        assert li.visible_text(page) == html_lib.unescape(brute.HIDDEN.sub(" ", page)), page
+    begin = time.perf_counter()
+    for part in ("<script>", "<!--", "<nav", "<"):
+        li.visible_text(part * 200_000)
+    assert time.perf_counter() - begin < 10
+
+
+def test_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"l{i:03}", f"word{chr(97 + i % 26)} {chr(97 + i // 26)}other") for i in range(210)], "doc_id long, lang string, text string")
+    pages = spark.createDataFrame([(i, "http://a.b/", f"word{chr(97 + i % 26)} {chr(97 + i // 26)}other") for i in (3, 205)], "page_id long, url string, html string")
+    assert {(r.page_id, r.text_lang) for r in identify(pages, docs).collect()} == {(3, "l003"), (205, "l205")}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

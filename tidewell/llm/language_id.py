@@ -13,9 +13,12 @@ The tables of the last two kinds come from the pages themselves, as grouped sums
 of the text's posteriors, less the page's own share, so that a page is no
 evidence for itself. Hot hosts and suffixes are sums, one row a task.
 
+Posteriors are summed as whole numbers of 2**-40, so sums don't depend on the order
+of rows, and reruns agree to the last digit.
+
 Bounds: the text model is fitted on at most ``LABELLED`` documents, those with the
-smallest hash of doc_id; it has ``BUCKETS`` buckets a language. Languages are those
-with at least one such document; there must be at most ``MOST`` of them.
+smallest hash of doc_id (of a repeated one, all rows are in or out); it has ``BUCKETS`` buckets a language, of which it holds those
+that occur. Languages are those with at least one such document, so there may be as many.
 
 Defined cases: null or unreadable url, null html and pages without text leave the
 other evidence; with none at all, the prior of all pages decides (ties: first
@@ -28,6 +31,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +42,52 @@ from tidewell.llm.common import materialize, mix64, small_batches
 
 BUCKETS = 1 << 14
 LABELLED = 5_000
-MOST = 200
 #: Text counts as so many independent 4-grams at most: they overlap, and are far from independent.
 EVIDENCE = 60.0
 #: Pages that a level's prior counts for.
 STRENGTH = 4.0
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: One unit of the posteriors' sums.
+UNIT = 1 << 40
+_OPEN = re.compile(r"(?i)<(?:(script|style|nav|head)\b|!--)?")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav", "head")}
 
 
 def visible_text(page: str | None) -> str:
-    """Text outside of tags, comments, scripts, styles, head and navigation, entities decoded."""
-    return html_lib.unescape(_HIDDEN.sub(" ", page)) if page else ""
+    """Text outside of tags, comments, scripts, styles, head and navigation, entities decoded.
+
+    What is opened and never closed hides nothing but its tag. Each kind of end is
+    searched for no further once it is known to come no more, so time is linear.
+    """
+    if not page:
+        return ""
+    out, at, ended = [], 0, set()
+
+    def end_of(kind: str, begin: int) -> int:
+        if kind in ended:
+            return -1
+        if kind in _CLOSE:
+            m = _CLOSE[kind].search(page, begin)
+            end = m.end() if m else -1
+        else:
+            end = page.find(kind, begin) + len(kind)
+            end = -1 if end < begin + len(kind) else end
+        if end < 0:
+            ended.add(kind)
+        return end
+
+    while (m := _OPEN.search(page, at)) is not None:
+        out.append(page[at : m.start()])
+        kind = m[1].lower() if m[1] else "-->" if m[0] == "<!--" else None
+        end = end_of(kind, m.end()) if kind else -1
+        if end < 0:
+            end = end_of(">", m.start() + 1)
+        if end < 0:  # no further tag can end
+            out[-1] += page[m.start() :]
+            break
+        at = end
+    else:
+        out.append(page[at:])
+    return html_lib.unescape(" ".join(out))
 
 
 def grams(text: str) -> np.ndarray:
@@ -73,30 +112,58 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "bucket", "n"])
 
 
-def fit_text_model(documents: DataFrame, labelled: int = LABELLED) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood of each bucket by language) from documents (doc_id, text, lang)."""
+def fit_text_model(documents: DataFrame, labelled: int = LABELLED) -> tuple[list[str], TextModel]:
+    """(languages, their model) from documents (doc_id, text, lang)."""
     small_batches(documents.sparkSession)
     known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(3)).alias("_h"))
-    least = known.select("_h").orderBy("_h").limit(labelled).agg(F.max("_h")).first()[0]
-    chosen = known.where(F.col("_h") <= F.lit(least)).select("lang", "text")
+    # of one doc_id, or of one hash, all rows are in or out together: whole below the last hash that fits
+    by_hash = known.groupBy("_h").agg(F.count("*").alias("n")).orderBy("_h").limit(labelled + 1).collect()
+    cut, held = None, 0
+    for h, n in by_hash:
+        held += n
+        if held > labelled and cut is not None:
+            break
+        cut = h
+    chosen = known.where(F.col("_h") <= F.lit(cut)).select("lang", "text")
     rows = chosen.mapInArrow(_gram_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
-    if len(langs) > MOST:
-        raise ValueError(f"{len(langs)} languages; the model holds {MOST}")
-    counts = np.zeros((len(langs), BUCKETS))
-    for lang, bucket, n in rows:
-        counts[langs.index(lang), bucket] = n
-    return langs, np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)) if langs else counts
-
-
-def _texts(model: np.ndarray):
+    place = {lang: i for i, lang in enumerate(langs)}
+    bucket = np.array([r["bucket"] for r in rows], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    lang = np.array([place[r["lang"]] for r in rows], np.int64)[order]
+    n = np.array([r["n"] for r in rows], float)[order]
+    total = np.bincount(lang, weights=n, minlength=len(langs)) + 0.5 * BUCKETS
+    return langs, TextModel(
+        start=np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), lang=lang, more=np.log((n + 0.5) / 0.5), least=np.log(0.5 / total)
+    )
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Log likelihoods by language: ``least`` for any bucket, and ``more`` for those that occur (bucket b's from start[b] to start[b + 1])."""
+
+    start: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+    least: np.ndarray
+
+    def log_likelihood(self, found: np.ndarray) -> np.ndarray:
+        bucket, times = np.unique(found, return_counts=True)
+        size = self.start[bucket + 1] - self.start[bucket]
+        # the places of all found buckets' entries, side by side
+        at = np.arange(size.sum()) + np.repeat(self.start[bucket] - np.cumsum(size) + size, size)
+        weights = self.more[at] * np.repeat(times, size)
+        return self.least * len(found) + np.bincount(self.lang[at], weights=weights, minlength=len(self.least))
+
+
+def _texts(model: TextModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for page in batch.column(1).to_pylist():
                 found = grams(visible_text(page))
                 weight = min(1.0, EVIDENCE / max(1, len(found)))
-                ll = model[:, found].sum(axis=1) * weight
+                ll = model.log_likelihood(found) * weight
                 out.append(ll - ll.max() if len(ll) else ll)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in (0, 2, 3, 4, 5)), pa.array([x.tolist() for x in out], pa.list_(pa.float64()))],
@@ -137,23 +204,24 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", declared_language(F.col("html")).alias("declared"), *[c.alias(n) for n, c in address(F.col("url")).items()])
     schema = "page_id long, declared string, host string, domain string, suffix string, text_ll array<double>"
-    scored = rows.mapInArrow(_texts(model), schema).withColumn("p", _softmax(F.col("text_ll")))
+    scored = rows.mapInArrow(_texts(model), schema).withColumn("p", F.transform(_softmax(F.col("text_ll")), lambda x: F.round(x * UNIT).cast("long")))
     scored = materialize(scored, "pages")
 
     def sums(*by: str) -> DataFrame:
         """Sum of the pages' posteriors for each value, an array by language."""
-        total = scored.groupBy(*by).agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)])
+        # decimals: a long would pass its range beyond eight million pages
+        total = scored.groupBy(*by).agg(*[F.sum(F.col("p")[i].cast("decimal(15,0)")).alias(f"s{i}") for i in range(k)])
         return total.select(*[F.col(c).alias(f"_{c}") for c in by], F.array(*[F.col(f"s{i}") for i in range(k)]).alias("_" + "_".join(by) + "_n"))
 
     whole = sums().first()
-    whole = list(whole[0]) if whole and whole[0] and whole[0][0] is not None else [0.0] * k
+    whole = list(whole[0]) if whole and whole[0] and whole[0][0] is not None else [0] * k
     out = scored
     for by in ("host", "domain", "suffix", "declared"):
         # a page belongs to one value of each; hot values are split among tasks by the join
         out = out.join(materialize(sums(by), by), F.col(by) == F.col(f"_{by}")).drop(f"_{by}")
         out = materialize(out, f"with_{by}") if by == "host" else out
-    base = F.array(*[F.lit(float(x)) for x in whole])
-    less = lambda n: F.zip_with(n, F.col("p"), lambda x, own: F.greatest(x - own, F.lit(0.0)))
+    base = F.array(*[F.lit(x) for x in whole])
+    less = lambda n: F.zip_with(n, F.col("p"), lambda x, own: (x - own).cast("double") / UNIT)
     total = lambda n: F.aggregate(n, F.lit(0.0), lambda s, x: s + x)
 
     def smoothed(n: Column, prior: Column) -> Column:
