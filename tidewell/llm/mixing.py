@@ -18,7 +18,8 @@ the arithmetic meets whole, and they are grouped, not gathered.
 
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a
 source of its own; repeated rows are dealt like others; sources without words
-have target 0; an empty table gives no rows; further columns are ignored. Reruns
+have target 0; an empty table gives no rows; further columns are ignored by ``mix``
+and given back by ``mixed_documents``, whatever their names. Reruns
 agree, as all choices hash doc_id and text with the seed.
 """
 
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import SPACE, materialize, small_batches
 
@@ -149,8 +151,8 @@ def mix(documents: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> Dat
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def _cut(block: int):
-    """Batches whose last columns are _n, _quota, _s, _begin: rows repeated, or cut to the chosen blocks."""
+def _cut(block: int, text_at: int, n_chars_at: int | None):
+    """Batches whose last columns are _n, _quota, _s, _begin: rows repeated, or cut to the chosen blocks. Columns are told by their places."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
     def again(text: str, n: int, r: int, s: int, begin: int) -> str:
@@ -169,9 +171,9 @@ def _cut(block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names[:-4]
+            width = batch.num_columns - 4
             at, texts = [], []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_n", "_quota", "_s", "_begin")]
+            columns = [batch.column(i).to_pylist() for i in (text_at, *range(width, width + 4))]
             for i, (text, n, quota, s, begin) in enumerate(zip(*columns, strict=True)):
                 if not n or not text or not text.strip(" \t\n\r\x0b\x0c"):
                     continue
@@ -180,10 +182,9 @@ def _cut(block: int):
                     copies.append(more)
                 at += [i] * len(copies)
                 texts += copies
-            out = batch.take(pa.array(at, pa.int64())).select(names)
-            for c, values in (("text", texts), ("n_chars", [len(t) for t in texts])):
-                if c in names:
-                    k = names.index(c)
+            out = batch.take(pa.array(at, pa.int64())).select(list(range(width)))
+            for k, values in ((text_at, texts), (n_chars_at, [len(t) for t in texts])):
+                if k is not None:
                     out = out.set_column(k, out.schema.field(k), pa.array(values, out.schema.field(k).type))
             yield out
 
@@ -198,8 +199,13 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK_WORDS, seed: int =
     # equal rows lie side by side in the shard: they pair off by number, so that no place is used twice
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[-1]))
     places = places.withColumn("_nth", nth("_doc", "_h")).withColumnRenamed("_h", "_hash")
-    keyed = documents.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed)))
+    # documents' columns go by their places, as they may have any names
+    names = documents.columns
+    row = [F.col("row")[c].alias(f"c{i}") for i, c in enumerate(names)]
+    keyed = documents.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
     keyed = keyed.withColumn("_k", nth("doc_id", "_h"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")) & (F.col("_k") == F.col("_nth"))
-    rows = keyed.join(places, same).select(*documents.columns, "_n", "_quota", "_s", "_begin")
-    return rows.mapInArrow(_cut(block), documents.schema)
+    rows = keyed.join(places, same).select(*row, "_n", "_quota", "_s", "_begin")
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, True, f.metadata) for i, f in enumerate(documents.schema)])
+    cut = _cut(block, names.index("text"), names.index("n_chars") if "n_chars" in names else None)
+    return rows.mapInArrow(cut, schema).toDF(*names)
