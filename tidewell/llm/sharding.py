@@ -24,7 +24,7 @@ from tidewell.llm.common import materialize
 
 #: Bits that the directory can use; 2**40 shards.
 MAX_BITS = 40
-LIMIT = 4 << 20
+LIMIT = 512 << 10
 
 
 def hash_bits(key: Column) -> Column:
@@ -79,12 +79,14 @@ def assign_shards(documents: DataFrame, limit: int = LIMIT, key: str = "doc_id",
     rows = rows.join(shards.withColumnRenamed("bytes", "_all"), ["depth", "prefix"])
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
     rows = rows.select(key, "h", "bytes", "depth", name.alias("shard"), (F.col("_all") > limit).alias("_over"))
-    over = materialize(rows.where("_over").withColumn("_part", F.spark_partition_id()), "over")
+    # numbered once and written, so that a task run again finds the same order
+    over = rows.where("_over").withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    over = materialize(over, "over")
     kept = rows.where("NOT _over").select(key, "bytes", "depth", "shard")
     if over.isEmpty():
         return kept
     # rows that no bit parts: numbered by bytes before them, within their task and then across tasks
-    task = Window.partitionBy("shard", "_part").orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, 0)
+    task = Window.partitionBy("shard", "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = over.withColumn("_at", F.sum("bytes").over(task) - F.col("bytes"))
     sums = over.groupBy("shard", "_part").agg(F.sum("bytes").alias("_bytes"), F.max("bytes").alias("_m"))
     of = Window.partitionBy("shard")
@@ -97,7 +99,8 @@ def assign_shards(documents: DataFrame, limit: int = LIMIT, key: str = "doc_id",
 
 
 def write_shards(documents: DataFrame, folder: str, limit: int = LIMIT, key: str = "doc_id") -> None:
-    """Write documents below folder, one subfolder a shard; keys must not repeat."""
-    where = assign_shards(documents, limit, key).select(F.col(key).alias("_key"), "shard")
-    rows = documents.join(where, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    """Write documents (no column of which is called shard) below folder, one subfolder a shard; keys must not repeat."""
+    where = assign_shards(documents, limit, key).select(F.col(key).alias("own"), "shard")
+    rows = documents.select(F.struct("*").alias("row"), F.col(key).alias("key"))
+    rows = rows.join(where, F.col("key").eqNullSafe(F.col("own"))).select("row.*", "shard")
     rows.repartition("shard").write.partitionBy("shard").parquet(folder)
