@@ -145,7 +145,7 @@ def encoded(digests: list[np.ndarray]) -> list[str]:
     """The fingerprint of each set: number of paragraphs, then each cell's count, digest and check, in base64."""
     owner = np.repeat(np.arange(len(digests)), [len(d) for d in digests])
     count, key, check = _sketches(np.concatenate(digests) if digests else np.empty(0, np.uint64), owner, len(digests), CELLS)
-    cell = np.empty(len(count), [("n", "<i2"), ("key", "<u8"), ("check", "<u2")])
+    cell = np.empty(len(count), [("n", "<i4"), ("key", "<u8"), ("check", "<u2")])
     cell["n"], cell["key"], cell["check"] = count, key, check >> np.uint64(48)
     body = cell.reshape(len(digests), CELLS)
     return [f"{len(d)}:{base64.b64encode(row.tobytes()).decode()}" for d, row in zip(digests, body, strict=True)]
