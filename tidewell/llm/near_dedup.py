@@ -205,6 +205,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(chunks, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CHUNK)).cast("int").alias("chunk"), F.lit(1).alias("role"), "b"
     )
+    dealt = materialize(dealt, "dealt")  # read twice
     heads = dealt.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b")).distinct()
     rows = dealt.unionByName(heads)
     named = texts.withColumnRenamed("node", "_id")
@@ -332,8 +333,10 @@ def _linked(documents: DataFrame, percent: int, by_doc_id: bool) -> tuple[DataFr
     signed = materialize(signed, "signed")
     linkable = signed.where("n > 0 AND doc_id IS NOT NULL")
     narrow = linkable.select("doc_id", "th", "digest")
-    classes = narrow.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first.*"), "classes")
+    classes = materialize(narrow.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("digest", "first.*"), "firsts")
+    # numbered in order of doc_id: among equals, the earlier text becomes the pivot, which is the likelier original
+    classes = classes.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = linkable.join(classes, ["digest", "doc_id", "th"]).select("node", "bands").distinct()
 
     banded = materialize(nodes.select("node", F.explode("bands").alias("key")), "banded")
