@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.catalog import flows
-from tidewell.functions import values
+from tidewell.functions import text, values
 from tidewell.operators import ranking
 from tidewell.plans import linkage
 
@@ -29,7 +30,7 @@ def _rows(prefix, n, rng, titles):
 def _company(a, b, x, y):
     if not x or not y:
         return 0.0
-    if a == b:
+    if re.sub(text.SIGNS, "", a) == re.sub(text.SIGNS, "", b):
         return 1.0
     return 0.9 if x == y else 0.82 if len(x) >= 4 and y.startswith(x) or len(y) >= 4 and x.startswith(y) else 0.0
 

@@ -103,10 +103,10 @@ def test_gates(spark):
     [
         (text.strip_suffixes, "某系统采购项目（中标公告）", "某系统采购项目（中标公告）"),
         (text.strip_suffixes, "（某系统）中标公告", "某系统"),
-        (text.strip_suffixes, "某系统 招标公告 更正公告", "某系统"),
-        (text.project_key, "关于某系统采购的 公告", "某系统采购"),
+        (text.strip_suffixes, "某系统 招标公告 取消公告", "某系统"),
+        (text.project_key, "关于某系统采购的 招标公告", "某系统采购"),
         (text.number_key, "ab－01/2（x）", "AB012X"),
-        (text.company_short, "某某证券股份有限公司", "某某证券"),
+        (text.company_short, "某某证券股份有限公司", "某某"),
         (text.chinese_number, "十", 10),
         (text.chinese_number, "二十三", 23),
         (text.chinese_number, "007", 7),

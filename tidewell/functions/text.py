@@ -8,13 +8,23 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Notice suffixes, legal suffixes, delimiters.
+#: Notice suffixes, legal suffixes, signs that keys leave out.
 NOTICE_SUFFIXES = (
-    "中标候选人公示", "中标结果公告", "成交结果公告", "候选人公示", "中标公告", "成交公告", "结果公告", "结果公示", "采购公告", "招标公告",
-    "竞价公告", "磋商公告", "谈判公告", "询价公告", "比选公告", "终止公告", "流标公告", "废标公告", "更正公告", "公告",
+    "中标候选人公示", "成交候选人公示", "中标结果公告", "成交结果公告", "采购结果公告", "结果公告", "招标公告", "采购公告", "询价公告", "竞争性磋商公告",
+    "竞争性谈判公告", "磋商公告", "谈判公告", "比选公告", "中标公告", "成交公告", "流标公告", "废标公告", "终止公告", "取消公告",
 )
-LEGAL_SUFFIXES = ("股份有限公司", "有限责任公司", "有限公司", "集团公司", "公司")
-_EDGES = " -_（）()[]【】"
+LEGAL_SUFFIXES = ("股份有限公司", "有限责任公司", "有限公司", "证券股份有限公司", "证券有限责任公司")
+SIGNS = r"""[\s,，.。;；:：!！?？、/\\|·`'"“”‘’\[\]【】{}<>《》\-＿_+＝=~～]+"""
+#: What a result notice's text must and must not hold to be classified by its own.
+NOT_FINTECH = ("工程装修", "物业", "保洁", "法律服务", "审计服务", "办公用品", "员工活动", "餐饮", "车辆", "驾驶", "印刷", "广告制作")
+SYSTEM_OBJECTS = ("系统", "平台", "软件", "应用", "数据库", "接口", "引擎", "网关", "终端", "内核", "数据")
+BUSINESS = (
+    "风控", "风险管理", "合规", "反洗钱", "监管", "行情", "金融数据", "资讯", "研报", "投研", "交易", "柜台", "清算", "结算", "估值", "订单", "投行", "资本市场", "质控",
+)
+ACTIONS = (("续签|续约|续订|延续", "续采续约"), ("升级|改造|适配|优化", "升级改造"), ("扩容", "扩容"), ("维保|维护|运维", "维保"))
+#: Terms of the category that was renamed.
+LEGACY_BUSINESS = ("投行", "资本市场", "质控", "风控")
+LEGACY_OBJECTS = ("系统", "平台", "软件", "内核", "数据库", "接口")
 #: Chinese digits one to ten.
 DIGITS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十")
 
@@ -41,10 +51,10 @@ def strip_suffixes(c: Column, suffixes: tuple[str, ...] = NOTICE_SUFFIXES) -> Co
 
 
 def project_key(c: Column) -> Column:
-    """Name without suffixes, leading 关于/有关, trailing 的, and signs; lower case."""
-    x = F.lower(strip_suffixes(F.trim(c)))
-    x = F.regexp_replace(F.regexp_replace(x, "^(?:关于|有关)+", ""), "的$", "")
-    return F.regexp_replace(x, r"[\s\p{Punct}，。、；：？！“”‘’（）【】《》·—]+", "")
+    """Name without suffixes, a leading 关于 or 有关, a trailing 的, and signs; lower case, round brackets alike."""
+    x = F.translate(F.lower(strip_suffixes(F.trim(c))), "（）", "()")
+    x = F.regexp_replace(F.regexp_replace(x, "^(?:关于|有关)", ""), "的$", "")
+    return F.regexp_replace(x, SIGNS, "")
 
 
 def number_key(c: Column) -> Column:
@@ -52,17 +62,22 @@ def number_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.translate(c, "－—–", "---")), r"[\s\-_/\\.:：（）()\[\]【】]+", "")
 
 
+def company_key(c: Column) -> Column:
+    """Company name without signs."""
+    return F.regexp_replace(c, SIGNS, "")
+
+
 def company_short(c: Column) -> Column:
     """Company name without signs and its longest legal suffix."""
-    bare = F.regexp_replace(c, r"[\s\p{Punct}（）【】·]+", "")
-    return F.regexp_replace(bare, "(?:" + "|".join(LEGAL_SUFFIXES) + ")$", "")
+    return F.regexp_replace(company_key(c), "(?:" + "|".join(sorted(LEGAL_SUFFIXES, key=len, reverse=True)) + ")$", "")
 
 
 def company_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0.9 if short names are, 0.82 if one of four or more characters begins the other, else 0."""
+    """1 if equal but for signs, 0.9 if short names are, 0.82 if one of four or more characters begins the other, else 0."""
     x, y = company_short(a), company_short(b)
     begins = (F.length(x) >= 4) & F.startswith(y, x) | (F.length(y) >= 4) & F.startswith(x, y)
-    return F.when((x == "") | (y == ""), 0.0).when(a == b, 1.0).when(x == y, 0.9).when(begins, 0.82).otherwise(0.0)
+    none = (company_key(a) == "") | (company_key(b) == "")
+    return F.when(none, 0.0).when(company_key(a) == company_key(b), 1.0).when((x != "") & (x == y), 0.9).when(begins, 0.82).otherwise(0.0)
 
 
 def chinese_number(c: Column) -> Column:
@@ -91,14 +106,43 @@ def ordered_classifier(c: Column, rules: list[tuple[str, str]], other: str) -> C
     return out.otherwise(other)
 
 
+def contains_any(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether c holds one of the words."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
+
+
+def standalone_class(title: Column, context: Column) -> Column:
+    """Struct of category, subcategory, action and scope for a result without a notice; null where its text doesn't tell.
+
+    The text (title and body) must name a line of business and a system, and nothing that rules it out.
+    """
+    said = F.lower(context)
+    known = (title != "") & ~contains_any(said, NOT_FINTECH) & contains_any(said, BUSINESS) & contains_any(said, SYSTEM_OBJECTS)
+    fields = F.struct(
+        F.lit("IT软硬件").alias("category"), F.lit("业务系统与软件").alias("subcategory"), ordered_classifier(title, list(ACTIONS), "").alias("action"), title.alias("scope")
+    )
+    return F.when(known, fields)
+
+
+def legacy_category(category: Column, subcategory: Column, name: Column, scope: Column) -> Column:
+    """Struct of category and subcategory, the renamed one replaced where name, scope or subcategory tell of a business system."""
+    said = F.concat_ws(" ", *[F.trim(F.coalesce(c, F.lit(""))) for c in (name, scope, subcategory)])
+    renamed = (F.trim(category) == "专业及金融服务") & (F.trim(subcategory) == "投行与资本市场") & contains_any(said, LEGACY_BUSINESS) & contains_any(said, LEGACY_OBJECTS)
+    new = F.struct(F.lit("IT软硬件").alias("category"), F.lit("业务系统与软件").alias("subcategory"))
+    return F.when(F.coalesce(renamed, F.lit(False)), new).otherwise(F.struct(category.alias("category"), subcategory.alias("subcategory")))
+
+
 def tags(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of all patterns found in c, in rule order."""
     return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(label)) for p, label in rules]))
 
 
 def update_score(c: Column, words: tuple[str, ...], verbs: str, low_value: Column) -> Column:
-    """Length up to 180 in tens, ten for each change word found, eight for a leading verb; -100 for low value."""
-    hits = sum((F.when(F.contains(c, F.lit(w)), 10).otherwise(0) for w in words), F.lit(0))
+    """Length up to 180 in tens, ten for each change word found, eight for a verb; -100 for low value."""
+    hits = sum((F.when(F.contains(F.lower(c), F.lit(w)), 10).otherwise(0) for w in words), F.lit(0))
     score = F.floor(F.least(F.length(c), F.lit(180)) / 10).cast("int") + hits + F.when(c.rlike(verbs), 8).otherwise(0)
     return F.when(low_value, -100).otherwise(score)
 

@@ -36,7 +36,11 @@ SHORT = 8
 def _written(df: DataFrame, label: str) -> DataFrame:
     """df by way of Parquet in the shared folder: what several joins read is computed once."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
     path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -46,7 +50,9 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 def _prepared(df: DataFrame, prefix: str) -> DataFrame:
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c != "published" else F.to_date("published").alias(c) for c in FIELDS])
+    rows = rows.withColumns({c: text.nfkc(F.col(c)) for c in ("title", "number", "purchaser", "package")})
     title, number, buyer = text.project_key(F.col("title")), text.number_key(F.col("number")), text.company_short(F.col("purchaser"))
+    buyer = F.when(buyer == "", text.company_key(F.col("purchaser"))).otherwise(buyer)  # nothing but a legal form
     rows = rows.withColumns({"key_title": title, "key_number": number, "key_buyer": buyer})
     return rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns])
 
