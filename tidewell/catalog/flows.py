@@ -18,6 +18,8 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
@@ -93,11 +95,7 @@ SELECT strftime(hour, '%Y-%m-%d %H') AS hour, event_type, n FROM h""")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the reference: windowed counts as a stream that runs until its input is used up."""
     stream, path = flows.hourly_counts(event_stream(spark, sf_dir)), work_folder(spark, "hourly")
-    # complete mode keeps windows that no later event has closed
-    name = f"hourly_{uuid.uuid4().hex}"
-    sink = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    sink.start().awaitTermination()
-    return spark.table(name).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+    return flows.run_complete(stream, f"{path}/rows", f"{path}/checkpoint").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
@@ -143,9 +141,9 @@ def linkage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def research_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as search results of fifty searches, resolved, aged out and capped."""
+    """Pages as search results, fifty a search, resolved, aged out and capped."""
     rows = table(spark, sf_dir, "pages").select(
-        (F.col("page_id") % 50).cast("string").alias("execution"), F.col("page_id").cast("int").alias("rank"), F.lit("").alias("provider_id"), "url",
+        F.floor(F.col("page_id") / 50).cast("string").alias("execution"), F.col("page_id").cast("int").alias("rank"), F.lit("").alias("provider_id"), "url",
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit("").alias("site"), F.date_sub(F.lit("2024-06-01").cast("date"), (F.col("page_id") % 500).cast("int")).alias("published"),
     )
     sources = research.resolved_sources(rows)

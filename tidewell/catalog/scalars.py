@@ -16,7 +16,7 @@ SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)anodized|plated') THEN '
        array_to_string(list_filter([CASE WHEN regexp_matches(p_type, '(?i)brass|copper') THEN 'warm' END, CASE WHEN regexp_matches(p_type, '(?i)steel|nickel|tin') THEN 'cold' END, CASE WHEN regexp_matches(p_name, '(?i)e') THEN 'e' END], lambda x: x IS NOT NULL), ',') AS tags
 FROM part""")
 def stage_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First rule that fits, and all rules that fit."""
+    """X16, X17, X18, X31, X32, X47, X54 (the form of their rules): first rule that fits, and all rules that fit."""
     rules = [("(?i)brass|copper", "warm"), ("(?i)steel|nickel|tin", "cold")]
     tags = F.concat(text.tags(F.col("p_type"), rules), text.tags(F.col("p_name"), [("(?i)e", "e")]))
     return table(spark, sf_dir, "part").select("p_partkey", text.ordered_classifier(F.col("p_type"), STAGES, "other").alias("stage"), F.array_join(tags, ",").alias("tags"))
@@ -43,7 +43,7 @@ SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-
   lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', ''), ':(80|443)$', '')
   || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
-       lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'spm', 'from', 'ref', 'share'], lower(string_split(p, '=')[1])))), '&'), ''), '') AS canonical
+       lambda p: p <> '' AND NOT list_contains(['bd_vid', 'from', 'mkt', 'spm', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'], lower(string_split(p, '=')[1])))), '&'), ''), '') AS canonical
 FROM pages""")
 def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that lead to one page become equal."""
@@ -72,16 +72,6 @@ def json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "int").alias("k"), parsed.isNotNull().alias("valid"))
 
 
-@query("""
-WITH s AS (SELECT s_suppkey, s_name, regexp_replace(s_name, '[#\\s]', '', 'g') AS k FROM supplier), c AS (SELECT c_custkey, c_name, regexp_replace(c_name, '[#\\s]', '', 'g') AS k FROM customer)
-SELECT s_suppkey, c_custkey, CASE WHEN s_name = c_name THEN 1.0 WHEN right(s.k, 4) = right(c.k, 4) THEN 0.9 ELSE 0.0 END::DOUBLE AS similarity FROM s JOIN c ON right(s.k, 4) = right(c.k, 4)""")
-def purchaser_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names compared within blocks of one key."""
-    key = lambda c: F.right(F.regexp_replace(c, r"[#\s]", ""), F.lit(4)).alias("k")
-    left, right = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", key("s_name")), table(spark, sf_dir, "customer").select("c_custkey", "c_name", key("c_name"))
-    return left.join(right, "k").select("s_suppkey", "c_custkey", F.when(F.col("s_name") == F.col("c_name"), 1.0).otherwise(0.9).alias("similarity"))
-
-
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, epoch_ms(o_orderdate) AS epoch_ms,
        CASE WHEN g < 0 THEN 0.0 WHEN g <= 45 THEN 1.0 WHEN g <= 120 THEN 0.75 WHEN g <= 240 THEN 0.45 ELSE 0.15 END::DOUBLE AS gap_score
@@ -110,7 +100,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, n_words, n_words < 20 OR regexp_matches(text, '[!*$%&#]{3}') AS low_value FROM
   (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n_words FROM documents)""")
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that make a text worthless."""
+    """documents too short or too odd to be valid."""
     n = F.size(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), ((n < 20) | F.col("text").rlike(r"[!*$%&#]{3}")).alias("low_value"))
 
@@ -124,9 +114,11 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and benchmark items that begin with the same three letters, by the sequence matcher on their first 80 characters."""
-    first = lambda c: F.lower(F.substring(c, 1, 3))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), first("text").alias("k"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("b"), first("text").alias("k"))
-    pairs = docs.join(items, "k").select("doc_id", "item_id", values.title_similarity(F.col("a"), F.col("b")).alias("ratio"))
-    return pairs.where("ratio >= 0.32")
+    """Whole names of parts of one brand and size, all pairs whose sequence matcher's ratio is 0.32 or more.
+
+    Distinct names meet; pairs whose lengths or characters rule the ratio out are not matched in full.
+    """
+    names = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_name").distinct()
+    other = names.select("p_brand", "p_size", F.col("p_name").alias("other"))
+    pairs = names.join(other, ["p_brand", "p_size"]).where("p_name < other")
+    return pairs.withColumn("ratio", values.title_similarity_from(F.col("p_name"), F.col("other"), 0.32)).where("ratio >= 0.32")

@@ -43,6 +43,21 @@ def facet_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def self_excluding(df: DataFrame, column: str, others: Column, selected: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, options) of a facet with several choices.
+
+    Options are the column's values, with their counts, under all other filters but not its own;
+    of what is selected, values that are no option any more don't count; rows are those under the other
+    filters and, if some selection is left, with one of the selected values. Blank values are no options.
+    """
+    under = df.where(others)
+    options = under.where(F.trim(F.col(column)) != "").groupBy(column).agg(F.count("*").alias("n"))
+    options = options.withColumn("selected", F.col(column).isin(selected) if selected else F.lit(False))
+    # as many rows as values selected, at most
+    left = [r[0] for r in options.where("selected").select(column).collect()]
+    return (under.where(F.col(column).isin(left)) if left else under), options
+
+
 def folded_tail(counts: DataFrame, name: str, n: str, most: int, keep: int, other: str) -> DataFrame:
     """name, n, percent: if there are over ``most`` names, the ``keep`` largest and the rest as one.
 

@@ -2,27 +2,142 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import text
+from tidewell.functions import text, values
 
-#: Words of change, leading verbs, platforms.
-CHANGE_WORDS = ("新增", "优化", "修复", "升级", "支持", "调整", "上线")
-VERBS = "^(?:新增|优化|修复|升级|上线)"
-LOW_VALUE = (r"^\s*$", r"(?i)^https?://\S+$", r"^[0-9a-fA-F]{32,}$", r"^(?:版本|更新|下载)[：:]?\s*[\d.]*$")
+#: Words of change, verbs, words and patterns of metadata, platforms.
+CHANGE_WORDS = (
+    "新增", "增加", "新功能", "全新", "新版本", "上线", "推出", "支持", "优化", "提升", "改进", "升级", "修复", "解决", "调整", "完善", "改版", "适配", "兼容", "重构", "增强", "恢复",
+    "移除", "下线", "更新", "改造", "替换", "补充", "修正", "安全", "合规", "风控", "体验", "提速", "流畅", "稳定", "性能", "卡顿", "崩溃", "焕新",
+    "add", "support", "improv", "fix", "upgrad", "enhanc", "compatib", "refactor", "remove",
+)
+VERBS = "(?i)(?:修复|解决|新增|上线|支持|优化|升级|适配|改进|enhanc|fix|add|support|improv)"
+METADATA_WORDS = (
+    "运行环境", "系统要求", "支持语言", "适用客户", "文件大小", "下载地址", "下载链接", "md5", "开发者", "官方网站", "官方微信", "热线电话", "联系电话", "联系方式",
+)
+LOW_VALUE = (
+    r"(?i)^(?:[-*•]\s*)?(?:运行环境|系统要求|支持语言|适用客户|文件大小|下载地址|下载链接|md5(?:值)?|开发者|官方网站|官网|官方微信|热线电话|联系电话|联系方式)\s*[：:]",
+    r"(?i)^(?:需要|支持)\s*(?:ios|android|安卓|苹果|鸿蒙|harmonyos)\s*[\d.]+", r"(?i)^(?:https?://|ftp://|www\.)",
+    r"(?i)^(?:[-*•]\s*)?(?:本软件|本产品|本应用).{0,40}(?:是一款|为用户提供|致力于|专注于提供)", r"(?i)(?:手机版智能炒股软件|股票交易平台|一站式服务|专注于提供|欢迎.*联系)",
+)
+#: What a client shows as it is.
+SHOWN_LOW_VALUE = (
+    r"(?i)^(?:[-*]\s*)?(?:运行环境|系统要求|支持语言|适用客户|文件大小|下载地址|下载链接|md5|开发者|官方网站|官方微信|热线电话)\s*[：:]",
+    r"(?i)^(?:需要|支持)\s*(?:iOS|Android|安卓|鸿蒙|HarmonyOS)\s*[\d.]+", r"(?i)(?:手机版智能炒股软件|股票交易平台|一站式服务|专注于提供|欢迎.*联系)",
+)
+#: Lines of a source that are metadata or promotion, and those that tell of a change.
+SOURCE_LOW_VALUE = (
+    "运行环境", "系统要求", "系统版本", "发布日期", "发布时间", "更新时间", "更新日期", "支持语言", "适用客户", "适用对象", "文件大小", "下载地址", "下载链接", "安装包", "校验码", "联系方式",
+    "联系电话", "客服电话", "客服热线", "邮箱", "二维码", "截图", "产品介绍", "软件介绍", "本应用", "本软件", "该应用", "该软件", "是一款", "为您提供", "为投资者提供", "为客户提供", "服务平台",
+    "一站式", "集交易", "足不出户", "丰富功能", "始终坚持", "以客户为中心", "让投资更简单", "邀您体验", "全新投资工具", "福利已就位", "财富赢家", "欢迎使用", "致力于",
+)
+SOURCE_CHANGES = (
+    "新增", "新功能", "增加", "上线", "推出", "发布", "优化", "提升", "改进", "升级", "增强", "调整", "修复", "解决", "修正", "纠正", "已知问题", "安全", "合规", "风控", "加固", "漏洞", "性能",
+)
+SOURCE_GENERIC = (
+    "新增功能", "版本升级", "优化体验", "问题修复", "更新内容", "其他若干优化", "若干优化", "多项细节优化", "优化多项细节体验", "功能使用体验优化", "安全版本", "修复已知问题", "修复线上问题",
+    "技术优化及线上问题修复",
+)
+SOURCE_SYSTEM = (
+    r"^(?:运行环境|系统要求|需要|支持|兼容)?[^。；;]{0,24}(?:ios|android|harmonyos|安卓|苹果)[^。；;]{0,24}(?:版本|以上|以下|及更高|及以上|[0-9]+(?:\.[0-9]+){0,2})"
+)
 PLATFORMS = {"ios": "iOS", "iphone": "iOS", "android": "Android", "安卓": "Android", "harmonyos": "HarmonyOS", "鸿蒙": "HarmonyOS"}
 
 
+def canonical_text(c: Column) -> Column:
+    """Spaces collapsed, leading list signs off."""
+    bare = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(bare, r"^(?:[-*•]\s*)+", ""))
+
+
 def low_value(c: Column) -> Column:
-    """Too short, nothing but an address, a hash or a version, or without any word of change."""
-    said = F.lit(False)
+    """Too short, metadata or promotion, or without any word of change."""
+    x = canonical_text(c)
+    said = F.length(x) < 2
     for p in LOW_VALUE:
-        said = said | c.rlike(p)
-    changes = F.lit(False)
-    for w in CHANGE_WORDS:
-        changes = changes | F.contains(c, F.lit(w))
-    return said | (F.length(c) < 4) | ~changes
+        said = said | x.rlike(p)
+    return said | ~text.contains_any(F.lower(x), CHANGE_WORDS)
+
+
+def update_score(c: Column) -> Column:
+    return text.update_score(canonical_text(c), CHANGE_WORDS, VERBS, low_value(c))
+
+
+def shown(c: Column) -> Column:
+    """Whether a client shows a text: there is one, and no pattern of metadata fits."""
+    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    said = x == ""
+    for p in SHOWN_LOW_VALUE:
+        said = said | x.rlike(p)
+    return ~said
+
+
+def source_line(c: Column) -> Column:
+    """A line without its list marker, spaces collapsed."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*(?:[-*•·]\s*|\d+[.)、]\s*)", "")), r"\s+", " ")
+
+
+def source_low_value(c: Column) -> Column:
+    """A source's line of metadata or promotion, or what is left of unreadable signs."""
+    x = source_line(c)
+    low = F.lower(x)
+    meaning = F.regexp_replace(x, r"[^A-Za-z0-9\u3400-\u9fff]", "")
+    others = F.length(x) - F.length(meaning)
+    return (
+        (x == "") | text.contains_any(low, tuple(w.lower() for w in SOURCE_LOW_VALUE)) | low.rlike(SOURCE_SYSTEM)
+        | low.rlike(r"https?://|www\.|(?:^|[：:]|\s)md5(?:$|[：:]|\s)") | (low.rlike(r"[0-9a-f]{24,}") & ~low.rlike(r"(?<![\p{L}\p{N}_])\d+(?:\.\d+){1,3}(?![\p{L}\p{N}_])"))
+        | (F.length(meaning) < 2) | meaning.rlike(r"^(.)\1*$") | ((others > 2 * F.length(meaning)) & (F.length(x) > 8))
+    )
+
+
+def tells_change(c: Column) -> Column:
+    """Whether a source's line tells of a change: a word of change, or a short sentence on what is now supported."""
+    x = source_line(c)
+    supports = (F.length(x) <= 120) & x.rlike("^(?:支持|现已支持|现在支持|正式支持)") & ~text.contains_any(x, ("系统", "语言", "客户", "版本"))
+    return ~source_low_value(c) & ~x.isin(*SOURCE_GENERIC) & (text.contains_any(x, SOURCE_CHANGES) | supports)
+
+
+RELEASE_TEXTS = ("app_name", "app_version", "platform", "publish_date", "update_type", "update_summary")
+RELEASE_LISTS = ("feature_tags", "highlights")
+RELEASE_DEFAULTS = {"platform": "未知", "update_type": "其他"}
+
+
+def release_items(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """rows with a model's answer -> one row an item: the other columns, item (from 0), the release's fields, error.
+
+    An answer is a list of items, an object that holds them under releases, or one item. An
+    item that is no object gives an error row, as does an answer of another kind (item null); what
+    can be read beside it stays. Fields that are missing take their defaults, null texts are "".
+    """
+    kept = [c for c in rows.columns if c != answer]
+    read = rows.select(F.struct(*kept).alias("row"), values.outermost_json(F.col(answer)).alias("v"))
+    kind = F.schema_of_variant(F.col("v"))
+    is_list, is_object = F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)), F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
+    inner = F.try_variant_get("v", "$.releases", "variant")
+    inner_list = F.coalesce(F.startswith(F.schema_of_variant(inner), F.lit("ARRAY")), F.lit(False))
+    items = (
+        F.when(is_list, F.try_variant_get("v", "$", "array<variant>")).when(is_object & inner_list, F.try_variant_get("v", "$.releases", "array<variant>"))
+        .when(is_object & inner.isNull(), F.array("v"))
+    )
+    good = read.withColumn("items", items).where("items IS NOT NULL").select("row", F.posexplode("items").alias("item", "v"))
+    bad = read.withColumn("items", items).where("items IS NULL").select("row", F.lit(None).cast("int").alias("item"), F.lit(None).cast("variant").alias("v"))
+    out = good.unionByName(bad)
+    valid = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    error = F.when(F.col("item").isNull(), F.lit("answer holds no releases")).when(~valid, F.concat(F.lit("item["), F.col("item").cast("string"), F.lit("] is no object")))
+
+    def field(name: str) -> Column:
+        there = F.exists(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")), lambda k: k == name)
+        value = F.when(there, F.trim(F.coalesce(F.try_variant_get("v", f"$.{name}", "string"), F.lit("")))).otherwise(RELEASE_DEFAULTS.get(name, ""))
+        return F.when(valid, value).alias(name)
+
+    def strings(name: str) -> Column:
+        several, one = F.try_variant_get("v", f"$.{name}", "array<string>"), F.trim(F.coalesce(F.try_variant_get("v", f"$.{name}", "string"), F.lit("")))
+        parts = F.transform(F.coalesce(several, F.array(one)), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+        return F.when(valid, F.filter(parts, lambda x: x != "")).alias(name)
+
+    return out.select("row.*", "item", *map(field, RELEASE_TEXTS), *map(strings, RELEASE_LISTS), error.alias("error"))
 
 
 def platform(c: Column) -> Column:
@@ -43,16 +158,18 @@ def folded(rows: DataFrame, most: int = 5) -> DataFrame:
     """
     v = version_key(F.coalesce("version", F.lit("")))
     own = F.when(v != "", v).otherwise(F.concat_ws("|", F.lit("no version"), platform(F.col("platform")), F.coalesce(F.col("published").cast("string"), F.lit(""))))
-    score = lambda c: text.update_score(c, CHANGE_WORDS, VERBS, low_value(c))
     rows = rows.withColumns({
-        "release_key": F.concat_ws("|", F.lower("broker"), F.lower("app"), own), "_s": score(F.coalesce("summary", F.lit(""))), "_p": platform(F.col("platform")),
-        "_h": F.transform(F.coalesce("highlights", F.array().cast("array<string>")), lambda h: F.struct((-score(h)).alias("s"), h.alias("t"))),
+        "release_key": F.concat_ws("|", F.lower("broker"), F.lower("app"), own), "_s": update_score(F.col("summary")), "_p": platform(F.col("platform")),
     })
     best = F.struct("_s", "published", "summary")
     known = F.array_remove(F.sort_array(F.collect_set("_p")), "未知")
-    sorted_h = F.array_distinct(F.transform(F.sort_array(F.flatten(F.collect_list("_h"))), lambda x: x["t"]))
-    return rows.groupBy("release_key").agg(
+    # highlights are ranked as rows, so that only the few that stay meet in one
+    told = rows.select("release_key", F.explode("highlights").alias("_t")).distinct().withColumn("_r", F.struct((-update_score(F.col("_t"))).alias("s"), F.col("_t").alias("t")))
+    told = told.withColumn("_k", F.row_number().over(Window.partitionBy("release_key").orderBy("_r"))).where(F.col("_k") <= most)
+    told = told.groupBy("release_key").agg(F.transform(F.sort_array(F.collect_list("_r")), lambda r: r["t"]).alias("highlights"))
+    folds = rows.groupBy("release_key").agg(
         F.max_by("broker", best).alias("broker"), F.max_by("app", best).alias("app"), F.max_by("version", best).alias("version"), F.max_by("summary", best).alias("summary"),
-        F.max("published").alias("published"), F.slice(sorted_h, 1, most).alias("highlights"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
+        F.max("published").alias("published"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
         F.when(F.size(known) > 1, "全平台").when(F.size(known) == 1, F.element_at(known, 1)).otherwise("未知").alias("platform"), F.count("*").alias("n_merged"),
     )
+    return folds.join(told, "release_key", "left").withColumn("highlights", F.coalesce("highlights", F.array().cast("array<string>")))

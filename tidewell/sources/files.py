@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,42 @@ def csv_text(spark: SparkSession, path: str, header: list[str] | None = None, re
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
+def contract_csv(spark: SparkSession, path: str, contracts: dict[str, list[str]], flag: str, implied: set[str] = frozenset()) -> DataFrame:
+    """CSV whose header is one of the contracts (name -> columns), in the columns of the first contract; blank rows are left out.
+
+    ``flag`` is a column of true or false: contracts named in ``implied`` lack it, and their rows count as true; elsewhere
+    another value is an error, as is a file without rows. Columns that a contract lacks are "".
+    """
+    df = csv_text(spark, path)
+    name = next((k for k, columns in contracts.items() if df.columns == list(columns)), None)
+    if name is None:
+        raise InputError(f"columns {df.columns} are those of no contract")
+    rows, columns = without_blank_rows(df), next(iter(contracts.values()))
+    said = F.lit("true") if name in implied else F.lower(F.trim(F.regexp_replace(flag, r"\s+", " ")))
+    out = rows.select(*[(said if c == flag else F.col(c) if c in df.columns else F.lit("")).alias(c) for c in columns])
+    bad, n = out.agg(F.sum((~F.col(flag).isin("true", "false")).cast("long")), F.count("*")).first()
+    if not n or bad:
+        raise InputError(f"{bad or 'no'} rows" + (f" with another {flag} than true or false" if bad else ""))
+    return out
+
+
+def typed_csv(spark: SparkSession, path: str, columns: list[str], lists: list[str], strict: bool = False) -> DataFrame:
+    """CSV of these columns (all, in this order, if strict), missing ones "", with ``lists`` read from JSON arrays, blanks left out.
+
+    A cell of a list that is neither blank nor a JSON array is an error of the whole file.
+    """
+    df = csv_text(spark, path)
+    if strict and df.columns != list(columns) or set(df.columns) - set(columns):
+        raise InputError(f"columns {df.columns}, not {list(columns)}")
+    rows = df.select(*[(F.col(c) if c in df.columns else F.lit("")).alias(c) for c in columns])
+    parsed = {c: F.from_json(F.when(F.trim(c) == "", F.lit("[]")).otherwise(F.col(c)), "array<string>") for c in lists}
+    is_list = lambda c: (F.trim(c) == "") | (F.trim(c).rlike(r"(?s)^\[.*\]$") & parsed[c].isNotNull())
+    if not rows.where(~reduce(lambda a, b: a & b, [is_list(c) for c in lists], F.lit(True))).isEmpty():
+        raise InputError(f"a cell of {lists} is no JSON array")
+    tidy = {c: F.filter(F.transform(parsed[c], lambda x: F.trim(x)), lambda x: x != "") for c in lists}
+    return rows.select(*[(tidy[c] if c in lists else F.col(c)).alias(c) for c in columns])
+
+
 def without_blank_rows(df: DataFrame) -> DataFrame:
     """Rows with some cell that isn't blank."""
     return df.where(F.exists(F.array(*[F.col(c).cast("string") for c in df.columns]), lambda x: F.trim(x) != ""))

@@ -39,6 +39,21 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_complete(stream: DataFrame, root: str, checkpoint: str) -> DataFrame:
+    """Use up what the source holds, and give back the whole result after it: windows that no later event has closed too.
+
+    Each batch writes the result as a table of its own below root; a batch that is run again writes it again.
+    """
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/{number}")
+        batches.append(number)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/{max(batches)}")
+
+
 def upsert_into(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: list[str]) -> DataFrame:
     """A keyed table as versions below root: each batch writes the next version from the last one and its own rows.
 
