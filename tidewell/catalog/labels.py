@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog.flows import work_folder
 from tidewell.catalog.registry import query, table
-from tidewell.functions import text
-from tidewell.operators import facets
+from tidewell.functions import text, values
+from tidewell.operators import facets, keyed, links
 from tidewell.plans import linkage, releases
 from tidewell.sources import files, publish
 
@@ -230,3 +230,69 @@ def release_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     publish.write_csv(rows, path, RELEASE_COLUMNS)
     read = files.typed_csv(spark, path, RELEASE_COLUMNS, ["feature_tags", "highlights"], strict=True)
     return read.select("broker_code", "broker_name", "app_version", F.array_join("feature_tags", ",").alias("tags"), F.size("highlights").alias("n_highlights"))
+
+
+SHOWN_NAMES = ["ＡＢ１（二期）  系统采购公告", "采购公告", " 平台 招标公告 ", "机房中标候选人公示", "ｘｙｚ 结果公示采购公告", "无后缀", ""]
+SUPPLIERS = ['["甲公司", " 乙 ", "", null]', "丙  公司", '{"a": 1}', "[1, 2]", "[broken", "", "[]"]
+CANDIDATES = ["甲；乙;  丙", ";;", "单一", "甲; ；乙 ", ""]
+_WIDE = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ（）"
+_PLAIN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz()"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, {picked_sql('p_partkey', SHOWN_NAMES, 1)} AS name, {picked_sql('p_partkey', SUPPLIERS, 3)} AS supplier, {picked_sql('p_partkey', CANDIDATES, 2)} AS candidates FROM part)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(translate(trim(name), '{_WIDE}', '{_PLAIN}'), '\\s+', ' ', 'g'), '^(.+)(采购公告|招标公告|结果公告|结果公示|中标公告|成交公告|流标公告|废标公告|候选人公示)$', '\\1')) AS name,
+       CASE supplier WHEN '["甲公司", " 乙 ", "", null]' THEN '甲公司、乙' WHEN '[1, 2]' THEN '1、2' WHEN '[]' THEN '' ELSE regexp_replace(supplier, '\\s+', ' ', 'g') END AS supplier,
+       array_to_string(list_filter(list_transform(string_split_regex(candidates, '[;；]\\s*'), lambda x: trim(x)), lambda x: x <> ''), '; ') AS candidates FROM t""")
+def shown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, suppliers and candidates as they are shown."""
+    name, supplier, candidates = picked("p_partkey", SHOWN_NAMES, 1), picked("p_partkey", SUPPLIERS, 3), picked("p_partkey", CANDIDATES, 2)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.display_name(name).alias("name"), values.supplier_text(supplier).alias("supplier"), values.candidate_text(candidates).alias("candidates")
+    )
+
+
+@query("""
+SELECT n_nationkey, i, CASE WHEN n_nationkey % 3 = 2 THEN 'all' WHEN i = 0 THEN n_name WHEN i = 1 THEN 'Other app' ELSE 'all' END AS app,
+       CASE WHEN n_nationkey % 3 = 2 THEN 'no heading ' || n_name WHEN i = 0 THEN '## Shop·' || n_name || chr(10) || 'one' || chr(10) || chr(10) || 'two' WHEN i = 1 THEN '##  Other app ' || chr(10) || '### three' ELSE '## Shop·' END AS body
+FROM nation, (SELECT unnest(range(3))::INT AS i) WHERE i = 0 OR n_nationkey % 3 <> 2""")
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at their headings, each part named by its app."""
+    name = F.col("n_name")
+    document = F.when(F.col("n_nationkey") % 3 == 2, F.concat(F.lit("no heading "), name)).otherwise(
+        F.concat(F.lit("intro\n## Shop·"), name, F.lit("\none\n\ntwo\n\n##  Other app \n### three\n## Shop·\n"))
+    )
+    parts = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(text.sections(document, F.lit("all"))).alias("i", "part"))
+    return parts.select("n_nationkey", "i", "part.app", "part.body")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, ['pending', 'running', 'succeeded', 'failed'][o_orderkey % 4 + 1] AS status, ['succeeded', 'running', NULL][o_orderkey % 3 + 1] AS search_status,
+             CASE WHEN o_orderkey % 5 = 0 THEN 'kept' END AS completed_at FROM orders)
+SELECT o_orderkey, CASE WHEN status IN ('pending', 'running') THEN 'failed' ELSE status END AS status,
+       CASE WHEN status IN ('pending', 'running') AND search_status IS DISTINCT FROM 'succeeded' THEN 'failed' ELSE search_status END AS search_status,
+       CASE WHEN status NOT IN ('pending', 'running') THEN 'was' WHEN search_status = 'succeeded' THEN 'failed' ELSE 'not_run' END AS analysis_status,
+       CASE WHEN status IN ('pending', 'running') THEN coalesce(completed_at, 'now') ELSE completed_at END AS completed_at FROM t""")
+def stale_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stopped process left open, marked as failed by two rules that exclude each other."""
+    pick = lambda options: F.element_at(F.array(*[F.lit(x) for x in options]), (F.col("o_orderkey") % len(options) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", pick(["pending", "running", "succeeded", "failed"]).alias("status"), pick(["succeeded", "running", None]).alias("search_status"),
+        F.lit("was").alias("analysis_status"), F.when(F.col("o_orderkey") % 5 == 0, "kept").alias("completed_at"),
+    )
+    return keyed.stale_recovered(rows, F.lit("now"))
+
+
+@query("""
+SELECT * FROM (VALUES ('nation_7', 'exact', 'NATION_7'), ('N6', 'exact', 'NATION_6'), (' land-c ', 'prefix', 'NATION_2'), ('nation_', 'ambiguous', NULL), ('zz', 'unknown', NULL)) AS t(selector, status, name)""")
+def name_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names chosen by alias or by how they begin, with ambiguous and unknown ones told."""
+    nations = table(spark, sf_dir, "nation")
+    names = nations.select(F.col("n_name").alias("name"), F.explode(F.array("n_name", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("Land-"), F.char(F.col("n_nationkey") + 65), F.lit("x")))).alias("alias"))
+    return links.resolved_selectors(["nation_7", "N6", " land-c ", "nation_", "zz", " ", "nation_7"], names)
+
+
+@query("SELECT o_orderkey, (o_orderdate - INTERVAL 3 MONTH)::DATE AS since FROM orders")
+def look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three months before a date, at that month's last day where it is shorter."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.add_months("o_orderdate", -3).alias("since"))

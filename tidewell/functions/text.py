@@ -22,6 +22,8 @@ BUSINESS = (
     "风控", "风险管理", "合规", "反洗钱", "监管", "行情", "金融数据", "资讯", "研报", "投研", "交易", "柜台", "清算", "结算", "估值", "订单", "投行", "资本市场", "质控",
 )
 ACTIONS = (("续签|续约|续订|延续", "续采续约"), ("升级|改造|适配|优化", "升级改造"), ("扩容", "扩容"), ("维保|维护|运维", "维保"))
+#: What a shown name loses at its end.
+STAGE_SUFFIXES = ("采购公告", "招标公告", "结果公告", "结果公示", "中标公告", "成交公告", "流标公告", "废标公告", "候选人公示")
 #: Terms of the category that was renamed.
 LEGACY_BUSINESS = ("投行", "资本市场", "质控", "风控")
 LEGACY_OBJECTS = ("系统", "平台", "软件", "内核", "数据库", "接口")
@@ -180,3 +182,21 @@ def markdown_title(document: Column) -> Column:
 def portable_name(c: Column, most: int = 72) -> Column:
     """A file name without signs that some system refuses, at most ``most`` characters."""
     return F.substring(F.trim(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f]+', "_")), 1, most)
+
+
+def display_name(c: Column) -> Column:
+    """A name as it is shown: full-width letters, digits and round brackets as ASCII, spaces collapsed, one stage suffix off, unless nothing else is left."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94) if chr(0x21 + i).isalnum()) + "（）"
+    plain = "".join(chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum()) + "()"
+    x = F.regexp_replace(F.translate(F.trim(c), wide, plain), r"\s+", " ")
+    return F.trim(F.regexp_replace(x, f"^(.+)(?:{'|'.join(STAGE_SUFFIXES)})$", "$1"))
+
+
+def sections(document: Column, default: Column) -> Column:
+    """array<struct<app, body>>: a document's parts from one ## heading to the next; what stands after a · names the app. Without headings, all of it."""
+    parts = F.filter(F.split(document, r"(?m)(?=^##\s+\S)"), lambda x: x.rlike(r"^##\s+\S"))
+    heading = lambda x: F.trim(F.regexp_extract(x, r"^##\s+(.+?)\s*(?:\n|$)", 1))
+    named = lambda h: F.when(F.contains(h, F.lit("·")), F.trim(F.regexp_replace(h, "^[^·]*·", ""))).otherwise(h)
+    app = lambda x: F.coalesce(F.nullif(named(heading(x)), F.lit("")), default)
+    found = F.transform(parts, lambda x: F.struct(app(x).alias("app"), F.regexp_replace(x, r"\s+$", "").alias("body")))
+    return F.when(F.size(parts) > 0, found).otherwise(F.array(F.struct(default.alias("app"), document.alias("body"))))

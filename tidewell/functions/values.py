@@ -93,6 +93,19 @@ def json_strings(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).when(is_array, parsed).otherwise(F.array(F.trim(c)))
 
 
+def supplier_text(c: Column) -> Column:
+    """The names of a JSON array joined by 、, or the text with spaces collapsed."""
+    x = F.coalesce(F.trim(c), F.lit(""))
+    names = F.filter(F.transform(F.from_json(x, "array<string>"), lambda n: F.trim(n)), lambda n: n != "")
+    return F.when(x.rlike(r"^\[") & names.isNotNull(), F.array_join(names, "、")).otherwise(F.regexp_replace(x, r"\s+", " "))
+
+
+def candidate_text(c: Column) -> Column:
+    """Candidates between semicolons of either width, trimmed, blanks left out, joined by one kind."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[;；]\s*"), lambda x: F.trim(x))
+    return F.array_join(F.filter(parts, lambda x: x != ""), "; ")
+
+
 def outermost_json(c: Column) -> Column:
     """The JSON of a model's answer: code fences off, then the whole, else from the first bracket to its last counterpart; null if unreadable."""
     bare = F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$", ""))

@@ -90,3 +90,17 @@ def collision_safe_ids(df: DataFrame, id_col: str, content: list[str], tie: str)
     rows = rows.withColumn("_n", nth)
     safe = F.when(F.col("n_same") == 1, F.col(id_col).cast("string")).otherwise(F.concat(F.col(id_col).cast("string"), suffix))
     return rows.withColumn("safe_id", safe).drop("_d", "_n", "n_same")
+
+
+def stale_recovered(rows: DataFrame, now: Column) -> DataFrame:
+    """Executions (status, search_status, analysis_status, completed_at) that a stopped process left open, marked as failed.
+
+    Those whose search was done failed in analysis; the others in search. What is completed already keeps its time.
+    """
+    is_open = F.col("status").isin("pending", "running")
+    searched = F.coalesce(F.col("search_status") == "succeeded", F.lit(False))
+    return rows.withColumns({
+        "completed_at": F.when(is_open, F.coalesce("completed_at", now)).otherwise(F.col("completed_at")),
+        "analysis_status": F.when(is_open & searched, "failed").when(is_open, "not_run").otherwise(F.col("analysis_status")),
+        "search_status": F.when(is_open & ~searched, "failed").otherwise(F.col("search_status")), "status": F.when(is_open, "failed").otherwise(F.col("status")),
+    })

@@ -92,3 +92,20 @@ def with_history(notices: DataFrame, results: DataFrame, key: str, order: list[s
     nested = nested.select("_key", F.to_json(F.transform("_rows", lambda x: x["_body"])).alias("_json"), "_n")
     out = notices.join(nested, F.col(key) == F.col("_key"), "left")
     return out.withColumns({"history": F.coalesce("_json", F.lit("[]")), "n_results": F.coalesce("_n", F.lit(0)).cast("long")}).drop("_key", "_json", "_n")
+
+
+def resolved_selectors(selectors: list[str], names: DataFrame) -> DataFrame:
+    """selector, status, name: each selector by alias (exact, letter case aside), else by the only name that begins so.
+
+    names has name and alias, as many rows as aliases; the selectors are few and the user's. Where several
+    names begin so the status is ambiguous, where none does it is unknown, and name is null in both. Of an alias
+    that several names share, the least name counts; blank selectors are left out.
+    """
+    spark = names.sparkSession
+    asked = [(s, s.strip().lower()) for s in dict.fromkeys(selectors) if s.strip()]
+    asked = F.broadcast(spark.createDataFrame(asked, "selector string, key string"))
+    exact = names.join(asked, F.lower("alias") == F.col("key")).groupBy("selector").agg(F.min("name").alias("exact"))
+    begun = names.join(asked, F.startswith(F.lower("alias"), F.col("key"))).groupBy("selector").agg(F.countDistinct("name").alias("n"), F.min("name").alias("first"))
+    rows = asked.select("selector").join(exact, "selector", "left").join(begun, "selector", "left")
+    status = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "prefix").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
+    return rows.select("selector", status.alias("status"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("first"))).alias("name"))
