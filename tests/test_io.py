@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions import markup
+from tidewell.operators import keyed
 from tidewell.sources import files, paged, payloads, publish
 from tidewell.streaming import flows
 
@@ -104,3 +106,38 @@ def test_streams(spark, tmp_path):
     assert seen.count() == 3
     closed = flows.run_to_table(flows.sessions(stream(), late="1 hour"), f"file://{tmp_path}/sessions", f"file://{tmp_path}/mark3")
     assert {(r.user_id, r.n) for r in closed.collect()} == {(1, 3), (2, 1)}  # the last one is still open
+
+
+def test_markdown_of_odd_pages():
+    assert markup.to_markdown(None) == markup.to_markdown("<p> </p><div><b></b></div>") == ""
+    assert markup.to_markdown("<ul><li>a<ul><li>b</ul><li>c") == "- a\n\n- b\n\nc"  # an open item holds the next one
+    assert markup.to_markdown("</p>a</div><p>b") == "a\n\nb"
+    assert markup.to_markdown("<table><tr><td><table><tr><td>x</td></tr></table></td></tr></table>") == "| \\| x \\|<br>\\| --- \\| |\n| --- |"
+    deep = 5000
+    assert markup.to_markdown("<div>" * deep + "x" + "</div>" * deep) == "x"
+    assert markup.to_markdown("<style>p { }</style><a href=''>t</a><a>u</a><img src='i'>") == "t\n\nu"
+
+
+def test_source_catalog_refuses(spark, tmp_path):
+    for i, brokers in enumerate(([{"key": "a", "broker_name": "b", "collector": "c"}] * 2, [{"key": "a", "broker_name": "b"}], [])):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"brokers": brokers}))
+        with pytest.raises(files.InputError):
+            files.source_catalog(spark, f"file://{tmp_path}/{i}.json")
+
+
+def test_response_of_a_dead_build_is_made_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "b")], "i int, t string")
+    first = publish.write_response(df, f"file://{tmp_path}", None, "v1", "then").first()
+    assert first["count"] == 2 and publish.write_response(df.limit(1), f"file://{tmp_path}", None, "v2", "now").first()["count"] == 1
+    (tmp_path / first["path"].rsplit("/", 2)[1] / "meta" / "_SUCCESS").unlink()
+    again = publish.write_response(df, f"file://{tmp_path}", None, "v1", "later").first()
+    assert (again["updated_at"], again["digest"]) == ("later", first["digest"])
+    assert sorted(r.t for r in spark.read.json(first["path"]).collect()) == ["", "b"]
+
+
+def test_answers_survive_a_failed_retry(spark):
+    inputs, cache = spark.createDataFrame([(1,), (2,)], "key int"), spark.createDataFrame([(1, "{}"), (9, "[]")], "key int, answer string")
+    refuse = lambda df: df.withColumn("answer", F.lit(None).cast("string")).withColumn("error", F.lit("no"))
+    out, after = keyed.answered(inputs, cache, refuse, again=True)
+    assert {r.key: (r.answer, r.error) for r in out.collect()} == {1: ("{}", "no"), 2: (None, "no")}
+    assert {tuple(r) for r in after.where("answer IS NOT NULL").collect()} == {(1, "{}"), (9, "[]")}

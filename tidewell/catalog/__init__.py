@@ -4,7 +4,7 @@ Modules register theirs with ``@query(sql)``; ``QUERIES`` and ``ORACLE_SQL`` are
 what the driver's entry file exposes.
 """
 
-from tidewell.catalog import aggregates, flows, joins, labels, records, scalars, selections
+from tidewell.catalog import aggregates, bodies, flows, joins, labels, records, scalars, selections
 from tidewell.catalog.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "flows", "joins", "labels", "records", "scalars", "selections"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "bodies", "flows", "joins", "labels", "records", "scalars", "selections"]

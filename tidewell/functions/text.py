@@ -27,6 +27,17 @@ STAGE_SUFFIXES = ("采购公告", "招标公告", "结果公告", "结果公示"
 #: Terms of the category that was renamed.
 LEGACY_BUSINESS = ("投行", "资本市场", "质控", "风控")
 LEGACY_OBJECTS = ("系统", "平台", "软件", "内核", "数据库", "接口")
+#: A result's types and states, what its title tells of them (first match), and what its name loses at its end.
+RESULT_TYPES = ("candidate", "winning", "transaction", "failed", "terminated", "cancelled", "other")
+RESULT_STATES = ("候选人公示", "已中标", "已成交", "流标", "废标", "终止", "取消", "未知")
+TITLE_TYPES = (("候选人", "candidate"), ("成交", "transaction"), ("中标", "winning"), ("流标|失败|废标", "failed"), ("终止", "terminated"), ("取消", "cancelled"))
+TITLE_STATES = (
+    ("候选人", "candidate", "候选人公示"), ("成交", "transaction", "已成交"), ("中标", "winning", "已中标"), ("流标", "", "流标"), ("废标", "", "废标"),
+    ("终止", "terminated", "终止"), ("取消", "cancelled", "取消"),
+)
+RESULT_SUFFIXES = (
+    "中标候选人公示", "成交候选人公示", "中标结果公告", "成交结果公告", "采购结果公告", "结果公告", "中标公告", "成交公告", "流标公告", "废标公告", "终止公告", "取消公告",
+)
 #: Chinese digits one to ten.
 DIGITS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十")
 
@@ -137,6 +148,28 @@ def legacy_category(category: Column, subcategory: Column, name: Column, scope:
     return F.when(F.coalesce(renamed, F.lit(False)), new).otherwise(F.struct(category.alias("category"), subcategory.alias("subcategory")))
 
 
+def result_type(said: Column, title: Column) -> Column:
+    """A result's type: the one said if it is known, else what the title tells."""
+    x = F.lower(F.trim(F.coalesce(said, F.lit(""))))
+    return F.when(x.isin(*RESULT_TYPES), x).otherwise(ordered_classifier(title, list(TITLE_TYPES), "other"))
+
+
+def result_status(said: Column, kind: Column, title: Column) -> Column:
+    """A result's state: the one said if it is known, else what title or type tell."""
+    x = F.trim(F.coalesce(said, F.lit("")))
+    out = F.when(x.isin(*RESULT_STATES), x)
+    for word, of_type, state in TITLE_STATES:
+        out = out.when(F.contains(title, F.lit(word)) | ((kind == of_type) if of_type else F.lit(False)), state)
+    return out.otherwise("未知")
+
+
+def result_name(c: Column) -> Column:
+    """A project's name without result suffixes and the signs before each of them."""
+    edge = r"[ \-_（）()\[\]【】]*"
+    bare = F.regexp_replace(c, f"(?:{edge}(?:{'|'.join(RESULT_SUFFIXES)}))+$", "")
+    return F.when(bare == c, c).otherwise(F.regexp_replace(bare, rf"^{edge}|{edge}$", ""))
+
+
 def tags(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of all patterns found in c, in rule order."""
     return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(label)) for p, label in rules]))

@@ -7,6 +7,8 @@ that each task sends one row a key at most and a hot key stays small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,19 @@ def stale_recovered(rows: DataFrame, now: Column) -> DataFrame:
         "analysis_status": F.when(is_open & searched, "failed").when(is_open, "not_run").otherwise(F.col("analysis_status")),
         "search_status": F.when(is_open & ~searched, "failed").otherwise(F.col("search_status")), "status": F.when(is_open, "failed").otherwise(F.col("status")),
     })
+
+
+def answered(inputs: DataFrame, cache: DataFrame, ask: Callable[[DataFrame], DataFrame], again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(inputs with answer and error, the cache as it is afterwards) by a cache of (key, answer), answers being JSON.
+
+    ``ask`` gives (key, answer, error) for the inputs without a readable answer (for all of them if ``again``); keys are
+    unique. A question that failed leaves what the cache held, so a failed retry destroys nothing.
+    """
+    readable = cache.where(F.get_json_object("answer", "$").isNotNull()).select("key", "answer")
+    asked = ask(inputs if again else inputs.join(readable.select("key"), "key", "left_anti")).select("key", F.col("answer").alias("_new"), "error")
+    kept = cache.select("key", "answer").join(asked.where("error IS NULL").select("key", "_new"), "key", "full_outer")
+    after = kept.select("key", F.coalesce("_new", "answer").alias("answer"))
+    held = readable.withColumnRenamed("answer", "_held")
+    out = inputs.join(held, "key", "left").join(asked, "key", "left")
+    answer = F.coalesce(F.when(F.col("error").isNull(), F.col("_new")), F.col("_held"))
+    return out.withColumn("answer", answer).drop("_held", "_new"), after

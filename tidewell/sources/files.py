@@ -101,3 +101,29 @@ def admitted(documents: DataFrame, processed: DataFrame) -> DataFrame:
     fresh = documents.where("trim(text) <> '' AND title IS NOT NULL").join(processed.select("sha256").distinct(), "sha256", "left_anti")
     first = fresh.groupBy("sha256").agg(F.min("path").alias("_path"))
     return fresh.join(first, "sha256").where("path = _path").drop("_path")
+
+
+def notice_index(documents: DataFrame, notice_type: str, other: str = "procurement") -> DataFrame:
+    """Documents of a type by their notice_id, the first path of each; a document that names no type counts as ``other``."""
+    of = lambda key: F.coalesce(F.try_element_at(F.col("meta"), F.lit(key)), F.lit(""))
+    shown = [of(k).alias(k) for k in ("title", "publish_time", "purchaser", "region", "keyword")]
+    rows = documents.select(of("notice_id").alias("notice_id"), F.coalesce(F.nullif(of("notice_type"), F.lit("")), F.lit(other)).alias("notice_type"), F.struct("path", *shown).alias("_r"))
+    return rows.where((F.col("notice_id") != "") & (F.col("notice_type") == notice_type)).groupBy("notice_type", "notice_id").agg(F.min_by("_r", "_r.path").alias("_r")).select("notice_type", "notice_id", "_r.*")
+
+
+def source_catalog(spark: SparkSession, path: str, enabled_only: bool = True) -> DataFrame:
+    """A JSON document's brokers as a typed table: counts at least 1, the ratio within 0 and 1, defaults where a key is missing.
+
+    Keys given twice, and sources without key, broker_name or collector, are an error of the whole file.
+    """
+    schema = "brokers array<struct<key:string,broker_name:string,collector:string,enabled:boolean,pages:int,page_size:int,min_content_chars:int,min_detail_success_ratio:double,aliases:array<string>,settings:map<string,string>>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("brokers"))
+    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("min_detail_success_ratio", F.lit(0.8))))
+    out = rows.select(
+        "key", "broker_name", "collector", F.coalesce("enabled", F.lit(False)).alias("enabled"), *[F.greatest(F.lit(1), F.coalesce(c, F.lit(d))).alias(c) for c, d in (("pages", 1), ("page_size", 10), ("min_content_chars", 80))],
+        ratio.alias("min_detail_success_ratio"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "settings",
+    )
+    n, keys, bad = out.agg(F.count("*"), F.count_distinct("key"), F.count_if(F.col("key").isNull() | F.col("broker_name").isNull() | F.col("collector").isNull())).first()
+    if not n or bad or n != keys:
+        raise InputError(f"{n} sources, {keys} keys, {bad} without key, broker_name or collector")
+    return out.where("enabled") if enabled_only else out

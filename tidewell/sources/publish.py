@@ -7,9 +7,12 @@ the new one, whole. Paths go through Hadoop's file systems: nothing is local.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import gates
@@ -97,3 +100,49 @@ def broken_datasets(spark: SparkSession, path: str, schemas: dict) -> list[str]:
         if (r["n_rows"], r["digest"]) != said[name]:
             bad.add(name)
     return sorted(bad)
+
+
+def write_response(df: DataFrame, root: str, fields: list[str] | None, version: str, updated_at: str) -> DataFrame:
+    """Shown fields of df as compressed JSON lines, and their one-row meta: version, count, digest, updated_at.
+
+    A response of the same version and fields is not built again: its meta comes back. Fields that df lacks
+    are left out, nulls are "". The meta is written last, so a build that died counts as none.
+    """
+    spark = df.sparkSession
+    shown = [c for c in (fields if fields is not None else df.columns) if c in df.columns]
+    name = hashlib.sha256(json.dumps([version, shown]).encode()).hexdigest()
+    path, schema = f"{root}/{name}", "version string, count long, digest string, updated_at string"
+    fs, done = _fs(spark, f"{path}/meta/_SUCCESS")
+    if not fs.exists(done):
+        rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown])
+        rows.write.mode("overwrite").option("compression", "gzip").json(f"{path}/records")
+        meta = digest_of(spark, path, "records", rows.schema).select(F.lit(version).alias("version"), F.col("n_rows").alias("count"), "digest", F.lit(updated_at).alias("updated_at"))
+        meta.write.mode("overwrite").json(f"{path}/meta")
+    return spark.read.schema(schema).json(f"{path}/meta").withColumn("path", F.lit(f"{path}/records"))
+
+
+def write_bundle(df: DataFrame, root: str, fields: list[str], normalize: Callable[[DataFrame], DataFrame] | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Rows, made alike by ``normalize``, as CSV and JSON lines, sorted by ``order`` over all files, and a summary: n_rows, digest, and both paths.
+
+    A sheet of a spreadsheet program can't hold a large table: the CSV stands for it.
+    """
+    spark = df.sparkSession
+    rows = (df if normalize is None else df.transform(normalize)).select(*fields)
+    (rows if order is None else rows.orderBy(*order)).write.json(f"{root}/lines")
+    written = spark.read.schema(rows.schema).json(f"{root}/lines")
+    write_csv(written if order is None else written.orderBy(*order), f"{root}/csv", fields)
+    summary = digest_of(spark, root, "lines", rows.schema).select("n_rows", "digest", F.lit(f"{root}/csv").alias("csv_path"), F.lit(f"{root}/lines").alias("lines_path"))
+    summary.write.json(f"{root}/summary")
+    return summary
+
+
+def import_seed(rows: DataFrame, archive: DataFrame, root: str, flag: str) -> DataFrame:
+    """A seed that met its contract: the source as it was below archive, its rows below seed, and a manifest with count, digest and how many flags are true and false."""
+    spark = rows.sparkSession
+    archive.write.parquet(f"{root}/archive")
+    rows.write.json(f"{root}/seed")
+    is_flag = lambda x: F.count_if(F.col(flag) == x).alias(f"n_{x}")
+    n = spark.read.schema(rows.schema).json(f"{root}/seed").agg(is_flag("true"), is_flag("false")).first()
+    manifest = digest_of(spark, root, "seed", rows.schema).select("*", F.lit(n["n_true"]).alias("n_true"), F.lit(n["n_false"]).alias("n_false"))
+    manifest.write.json(f"{root}/manifest")
+    return spark.read.schema("name string, n_rows long, digest string, n_true long, n_false long").json(f"{root}/manifest")
