@@ -141,3 +141,21 @@ def test_answers_survive_a_failed_retry(spark):
     out, after = keyed.answered(inputs, cache, refuse, again=True)
     assert {r.key: (r.answer, r.error) for r in out.collect()} == {1: ("{}", "no"), 2: (None, "no")}
     assert {tuple(r) for r in after.where("answer IS NOT NULL").collect()} == {(1, "{}"), (9, "[]")}
+
+
+def test_collection_goes_on_and_probes(spark, tmp_path):
+    options = {"path": str(tmp_path), "pages": "5", "pages_a_task": "3"}
+    put = lambda i, ids: (tmp_path / f"page-{i}.json").write_text(json.dumps([{"id": x} for x in ids]))
+    for i in range(5):
+        put(i, [f"{i}a", f"{i}b"])
+    (tmp_path / "page-3.json").write_text("broken")
+    root = f"file://{tmp_path}/run"
+    assert {r.page for r in paged.collected(spark, options, root).collect()} == {0, 1, 2, 4}
+    put(0, ["changed"])
+    put(3, ["3a"])
+    again = paged.collected(spark, options, root).collect()
+    assert {r.page for r in again} == set(range(5)) and len(again) == 9 and "changed" not in {r.id for r in again}
+    known = spark.createDataFrame([("changed",), ("1a",)], "id string")
+    assert {r.page for r in paged.collected(spark, options, f"file://{tmp_path}/short", known).collect()} == {0, 1}
+    assert {r.page for r in paged.collected(spark, options, f"file://{tmp_path}/long", known.where("id = '1a'")).collect()} == {0, 1, 2, 3}
+    assert list(paged._gaps(0, 6, {1, 2, 5})) == [(0, 1), (3, 5)]

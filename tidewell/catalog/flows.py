@@ -162,3 +162,20 @@ def release_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = releases.folded(rows)
     return out.select("release_key", "summary", "platform", "n_merged", F.array_join("highlights", "；").alias("highlights"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("""
+WITH e AS (SELECT c_custkey, c_custkey % 5 AS planned, c_custkey % 3 AS more, c_custkey % 7 = 3 AS fails FROM customer),
+asked AS (
+  SELECT c_custkey, 0 AS round, unnest(range(planned)) AS q, fails FROM e
+  UNION ALL SELECT c_custkey, r AS round, planned + r - 1 AS q, fails FROM e, (SELECT unnest(range(1, 4)) AS r) WHERE r <= more AND planned + r - 1 < 3 AND NOT (fails AND planned + r - 1 > 0))
+SELECT c_custkey::VARCHAR AS execution, round::INT AS round, count(*) AS queries, count(*) FILTER (NOT (fails AND q = 0)) AS answers, count(*) FILTER (NOT (fails AND q = 0)) AS addresses, count(*) FILTER (fails AND q = 0) AS failures
+FROM asked GROUP BY ALL""")
+def search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned queries of many executions at once, then supplemental ones only where sources are too few; a failure ends an execution."""
+    key = F.col("c_custkey")
+    queries = lambda first, n: F.transform(F.slice(F.array(*[F.lit(i) for i in range(8)]), 1, n.cast("int")), lambda i: F.concat(key.cast("string"), F.lit("/"), (i + first).cast("string")))
+    executions = table(spark, sf_dir, "customer").select(key.cast("string").alias("execution"), queries(F.lit(0), key % 5).alias("planned"), queries(key % 5, key % 3).alias("supplemental"))
+    fails = (F.col("execution").cast("long") % 7 == 3) & F.col("query").endswith("/0")
+    ask = lambda df: df.select("*", F.lit(1).alias("rank"), F.when(~fails, F.col("query")).alias("url"), F.when(fails, "refused").alias("error"))
+    return research.searched(executions, ask, 3, work_folder(spark, "rounds"))[1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +65,25 @@ def grounded(items: DataFrame, known: DataFrame) -> DataFrame:
     kept = pairs.groupBy("item_id").agg(F.sort_array(F.collect_set("source_id")).alias("_ids"))
     out = items.join(kept, "item_id", "left").withColumn("source_ids", F.coalesce("_ids", F.array().cast("array<string>"))).drop("_ids")
     return out.where((F.col("kind") == "recommendation") | (F.size("source_ids") > 0))
+
+
+def searched(executions: DataFrame, ask: Callable[[DataFrame], DataFrame], minimum: int, root: str, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(answers of all rounds, counters by execution and round) of executions (execution, planned, supplemental: arrays of queries).
+
+    Round 0 asks all planned queries; each later round asks the next supplemental one of executions that have fewer than
+    ``minimum`` different addresses and no failure so far. ``ask`` takes (execution, query) and gives (execution, query,
+    rank, url, error), a failure being one row with an error. Rounds are written below root, and read again by the next.
+    """
+    spark, schema = executions.sparkSession, "execution string, query string, rank int, url string, error string, round int"
+    for i in range(rounds + 1):
+        if i == 0:
+            todo = executions.select("execution", F.explode("planned").alias("query"))
+        else:
+            so_far = spark.read.schema(schema).parquet(f"{root}/round-*").groupBy("execution").agg(F.count_distinct("url").alias("_n"), F.count("error").alias("_e"))
+            low = executions.join(so_far, "execution", "left").where((F.coalesce("_n", F.lit(0)) < minimum) & (F.coalesce("_e", F.lit(0)) == 0))
+            todo = low.select("execution", F.get("supplemental", F.lit(i - 1)).alias("query")).where("query IS NOT NULL")
+        answers = ask(todo).select("execution", "query", F.col("rank").cast("int").alias("rank"), "url", "error", F.lit(i).alias("round"))
+        answers.write.parquet(f"{root}/round-{i}")
+    out = spark.read.schema(schema).parquet(f"{root}/round-*")
+    counters = out.groupBy("execution", "round").agg(F.count_distinct("query").alias("queries"), F.count("url").alias("answers"), F.count_distinct("url").alias("addresses"), F.count("error").alias("failures"))
+    return out, counters

@@ -12,7 +12,7 @@ import importlib
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -41,13 +41,27 @@ class PageRange(InputPartition):
         self.first, self.last = first, last
 
 
+def _gaps(first: int, last: int, done: set[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of the pages from first to last that aren't done."""
+    start = None
+    for i in range(first, last + 1):
+        if i == last or i in done:
+            if start is not None:
+                yield start, i
+            start = None
+        elif start is None:
+            start = i
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def partitions(self) -> list[PageRange]:
         n, step = client_of(self.options).pages(), int(self.options.get("pages_a_task", "4"))
-        return [PageRange(i, min(n, i + step)) for i in range(0, n, step)]
+        n, first = min(n, int(self.options.get("last", n))), int(self.options.get("first", "0"))
+        done = set(json.loads(self.options.get("done", "[]")))
+        return [PageRange(a, b) for i in range(first, n, step) for a, b in _gaps(i, min(n, i + step), done)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         client = client_of(self.options)
@@ -75,3 +89,26 @@ def take_while(df: DataFrame, order: list[Column], stop: Column, groups: list[st
     """Rows before the first one that meets stop, within each group."""
     w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("_s", F.sum(F.when(stop, 1).otherwise(0)).over(w)).where("_s = 0").drop("_s")
+
+
+def collected(spark: SparkSession, options: dict[str, str], root: str, known: DataFrame | None = None, probe: int = 2) -> DataFrame:
+    """All items read so far of a paged source, kept below root as the run's checkpoint.
+
+    Pages that are there are not read again, so a run that died goes on where it was; pages that failed are not kept
+    and come again. With ``known`` (id), a run stops after the first ``probe`` pages unless each of them holds an id
+    that is not known, and then after as many more.
+    """
+    spark.dataSource.register(PagedSource)
+    n = client_of(options).pages()
+    batches = [(0, n)] if known is None else [(0, min(n, probe)), (min(n, probe), min(n, 2 * probe))]
+    schema, table = f"{PagedSource(options).schema()}, batch int", f"{root}/items"
+    have = lambda: spark.read.schema(schema).parquet(table)
+    spark.createDataFrame([], schema).write.mode("append").parquet(table)
+    for i, (first, last) in enumerate(batches):
+        if i and have().where(F.col("page") < first).join(known.select("id").distinct(), "id", "left_anti").agg(F.count_distinct("page")).first()[0] < first:
+            break
+        done = [r.page for r in have().select("page").distinct().collect()]  # a number a page of one source
+        rows = spark.read.format(PagedSource.name()).options(**options, first=str(first), last=str(last), done=json.dumps(done)).load()
+        good = rows.where("error IS NULL")
+        good.withColumn("batch", F.lit(i)).write.mode("append").parquet(table)
+    return have().drop("batch", "error")
