@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.collocations import collocations
 from tidewell.llm.common import load
 from tidewell.llm.fingerprint import fingerprints
+from tidewell.llm.hard_negatives import hard_negatives
 from tidewell.llm.language_id import identify
 from tidewell.llm.mixing import mix
 from tidewell.llm.near_dedup import near_duplicates
@@ -14,6 +16,7 @@ from tidewell.llm.quality_model import resample
 from tidewell.llm.quality_rules import quality_report
 from tidewell.llm.secret_scan import secret_report
 from tidewell.llm.sharding import LIMIT, MAX_BITS, assign_shards
+from tidewell.llm.url_filter import judge
 from tidewell.llm.web_archive import archive_report
 
 
@@ -57,11 +60,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "pages"), load(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(load(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_warc_archive, op3_best_fit_packing, op4_near_dedup, op5_mixing,
         op6_sharding, op7_quality_rules, op8_quality_model, op9_fingerprints, op10_language_id,
+        op11_hard_negatives, op12_collocations, op13_url_filter,
     )
 }
 
@@ -118,4 +134,41 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
 f AS (SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols * 2 > n_words * 3)::INT
         + 8 * (n_dup_lines * 2 > n_lines AND n_lines >= 4)::INT + 16 * (word_chars > n_words * 40)::INT)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3""",
+    "op12_collocations": """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+      FROM p, (VALUES (1), (2), (3)) AS t(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, any_value(a) AS a, min(struct_pack(score := (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f), k := k, l := x.f, r := y.f)) AS cut
+      FROM k JOIN f AS x ON x.lang = k.lang AND x.phrase = array_to_string(w[1 : k], ' ') JOIN f AS y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1 :], ' ')
+      GROUP BY k.lang, k.phrase),
+o AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+m AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY ALL),
+r AS (SELECT lang, phrase, a, cut.l AS l, cut.r AS r, cut.score::BIGINT AS score FROM s LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op13_url_filter": """
+WITH rules(rule_host, rule_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT i, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+m AS (SELECT i, max(struct_pack(labels := len(string_split(rule_host, '.')), n := length(rule_path), rule := rule_host || rule_path, verdict := verdict)) AS best
+      FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY i)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (i)""",
 }
