@@ -17,8 +17,8 @@ Posteriors are summed as whole numbers of 2**-40, so sums don't depend on the or
 of rows, and reruns agree to the last digit.
 
 Bounds: the text model is fitted on at most ``LABELLED`` documents, those with the
-smallest hash of doc_id (of a repeated one, all rows are in or out); it has ``BUCKETS`` buckets a language, of which it holds those
-that occur. Languages are those with at least one such document, so there may be as many.
+smallest hash of doc_id, language and text (repeated rows count once, and rows that share an id, or have
+none, are drawn each by itself); it has ``BUCKETS`` buckets a language, of which it holds those that occur. Languages are those with at least one such document, so there may be as many.
 
 Defined cases: null or unreadable url, null html and pages without text leave the
 other evidence; with none at all, the prior of all pages decides (ties: first
@@ -115,16 +115,10 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_text_model(documents: DataFrame, labelled: int = LABELLED) -> tuple[list[str], TextModel]:
     """(languages, their model) from documents (doc_id, text, lang)."""
     small_batches(documents.sparkSession)
-    known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(3)).alias("_h"))
-    # of one doc_id, or of one hash, all rows are in or out together: whole below the last hash that fits
-    by_hash = known.groupBy("_h").agg(F.count("*").alias("n")).orderBy("_h").limit(labelled + 1).collect()
-    cut, held = None, 0
-    for h, n in by_hash:
-        held += n
-        if held > labelled and cut is not None:
-            break
-        cut = h
-    chosen = known.where(F.col("_h") <= F.lit(cut)).select("lang", "text")
+    known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("_h"))
+    # of repeated rows, which share a hash, one counts
+    last = known.select("_h").distinct().orderBy("_h").limit(labelled).agg(F.max("_h")).first()[0]
+    chosen = known.where(F.col("_h") <= F.lit(last)).groupBy("_h").agg(F.first(F.struct("lang", "text")).alias("_row")).select("_row.*")
     rows = chosen.mapInArrow(_gram_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
     place = {lang: i for i, lang in enumerate(langs)}
