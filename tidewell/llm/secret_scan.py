@@ -54,10 +54,11 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", rank=1),
     Rule("hex", r"[0-9a-f]{16,}", rank=2),
 )
-#: A private key: from BEGIN to the END line if no other such line lies between; without it, header lines and lines of base64.
+#: A private key, however long: from BEGIN to the END line if no other such line lies between; without it, header lines and
+#: lines of base64. All loops are possessive, so a text is passed once and matching needs no stack.
 _PEM = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++){0,64}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?:(?:\s|\\[rn])*+[A-Z][A-Za-z-]{2,20}+:\x20[^\r\n\\]*+){0,8}+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{20,}+){0,1000}+"
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])*+[A-Z][A-Za-z-]{2,20}+:\x20[^\r\n\\]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{20,}+)*+"
     r"(?:(?:\s|\\[rn])++[A-Za-z0-9+/=]++[\x20\t]*+(?![^\r\n\\\"']))?+)"
 )
 #: What the scan adds to them.
