@@ -53,7 +53,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def components(rows):
+def components(rows, percent=85):
     """rows: (doc_id, text) -> doc_id: smallest reachable doc_id."""
     sets = [(d, shingles(t)) for d, t in rows]
     parent = {d: d for d, _ in sets}
@@ -65,7 +65,7 @@ def components(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 a2, b2 = root(a), root(b)
                 parent[max(a2, b2)] = min(a2, b2)
     return {d: root(d) for d, _ in sets}

@@ -128,7 +128,7 @@ def test_words_of_many_kinds():
         known.learn(set(words))
         whole = known.whole(text)
         assert (whole if known.special.search(text) else known.of(words)) == whole
-    assert known.trusted
+    assert known.merger
     rng = np.random.default_rng(1)
     letters = np.array([*"etaoinshrdlucmfwypvbgkjqxz", *"éäßÉÄÑñ"])
     plain = ["".join(rng.choice(letters, rng.integers(1, 14))) + rng.choice(["", ".", ",", "):", "?!"]) for _ in range(20_000)]
@@ -381,6 +381,37 @@ def test_many_languages(spark):
     assert {(r.page_id, r.text_lang) for r in identify(pages, docs).collect()} == {(3, "l003"), (205, "l205")}
 
 
+@pytest.mark.parametrize("repeated", [7, None])
+def test_training_set_of_repeated_and_null_ids(spark, repeated):
+    """Rows that share an id, or have none, neither crowd out the others nor pass the bound."""
+    english = [(i, f"the weather of the north {i} and what they thought of it", "en") for i in range(60)]
+    german = [(i + 60, f"das wetter im norden {i} und was sie davon hielten", "de") for i in range(60)]
+    many = [(repeated, f"immer wieder derselbe satz {i % 50}", "de") for i in range(6000)]
+    df = spark.createDataFrame(english + german + many, "doc_id long, text string, lang string")
+    for bound in (100, 5000):
+        langs, model = li.fit_text_model(df, bound)
+        assert langs == ["de", "en"]
+    pages = spark.createDataFrame([(1, "http://a.b/", "<p>what they thought of the weather</p>"), (2, None, "<p>was sie davon hielten</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text_lang for r in identify(pages, df).collect()} == {1: "en", 2: "de"}
+
+
+def test_packing_is_nearly_that_of_one_partition(spark):
+    for low, high, seed in ((1, 2048, 1), (300, 1500, 2)):
+        sizes = np.random.default_rng(seed).integers(low, high, 40_000)
+        cut = spark.createDataFrame([(i, 0, 0, n, 1, i) for i, n in enumerate(sizes.tolist())], pk.PIECE)
+        one = int(pk.best_fit_decreasing(np.sort(sizes)[::-1], 2048)[0].max()) + 1
+        assert pk.pack_pieces(cut).select("sequence_id").distinct().count() == one
+        assert pk.pack_pieces(cut, group=10_000).select("sequence_id").distinct().count() <= 1.0025 * one
+
+
+def test_other_vocabularies_are_not_merged_in_bulk():
+    spec = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    assert pk._merges_alike(spec)
+    assert not pk._merges_alike(spec | {"pre_tokenizer": None}) and not pk._merges_alike(spec | {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}})
+    merges = spec["model"]["merges"]
+    assert not pk._merges_alike(spec | {"model": spec["model"] | {"merges": [*merges[500:], *merges[:500]]}})
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
@@ -394,7 +425,7 @@ def test_pipeline(spark):
     first, kept, unique, masked, mixed, packed = ({r.doc_id: r for r in f.collect()} for f in frames)
     good = [d for d, q in labels.items() if q == 1]
     assert sum(d in kept for d in good) >= 0.95 * len(good) and set(kept) < set(first)
-    want = brute.components([(d, r.text) for d, r in kept.items()])
+    want = brute.components([(d, r.text) for d, r in kept.items()], 80)
     assert set(unique) == {d for d, c in want.items() if d == c}
     assert set(masked) == set(unique)
     for d, r in masked.items():
