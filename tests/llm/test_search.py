@@ -144,11 +144,17 @@ def test_collocations_equal_brute_force(spark):
 
 def test_collocations_of_hot_words_and_small_blocks(spark, monkeypatch):
     rows = speech()
-    for name, value in (("SAMPLE", 1.0), ("SHARE", 20), ("FLUSH", 500)):
-        monkeypatch.setattr(col, name, value)
-    hot, _ = col.hot_words(spark.createDataFrame([(lang or "und", t) for t, lang in rows], "lang string, text string"))
-    assert {b"the", b"of"} <= hot["en"]
-    assert counted(spark, rows) == brute_phrases(rows, 10)
+    monkeypatch.setattr(col, "SAMPLE", 1.0)
+    hot, total = col.hot_slots(spark.createDataFrame([(lang or "und", t) for t, lang in rows], "lang string, text string"), 400)
+    assert 3 < hot.sum() < 60 and total > 20_000
+    df = spark.createDataFrame([(t, lang) for t, lang in rows], "text string, lang string")
+    for most in (20, 400, 3000):
+        marks = np.random.default_rng(most).random(1 << 18) < min(1, 200 / most)
+        monkeypatch.setattr(col, "hot_slots", lambda docs, n, marks=marks: (marks, 100_000))
+        found = {(r.lang, r.phrase): r.f for r in col.phrase_counts(df.repartition(4), 10, flush=500).collect()}
+        monkeypatch.setattr(col, "hot_slots", lambda docs, n: (np.zeros(1 << 18, bool), 0))
+        assert found == {(r.lang, r.phrase): r.f for r in col.phrase_counts(df, 10).collect()}
+        assert Counter(tuple(r) for r in col.collocations(df).collect()) == brute_phrases(rows, 10)
 
 
 def test_longer_collocations(spark):

@@ -11,11 +11,12 @@
 3. The phrases' numbers are joined to those of the parts of each cut; the lowest-scoring
    cut counts, and a phrase goes if a longer one holds most of its occurrences.
 
-Hot prefixes: words with more than one ``SHARE``-th of a sample's words are prefixes that are too large for one
-task. A projection goes by its first word, and while that is hot by the next one too.
-What the tasks of a longer prefix count of the shorter one is summed afterwards. The sample only deals out
-work: the result is the same whatever it finds. There are less than SHARE such words in a
-language, so the list is small whatever the input.
+Hot prefixes: a word with more occurrences than a bucket should hold is a prefix too large for one
+task. A projection goes by its first word, and while that is hot by the next one too; if
+all its words are hot, it may go anywhere. What the tasks of longer prefixes count of a shorter one is summed
+afterwards. Hot words are told by ``SLOTS`` counters over the hashes of a sample's words: of fixed
+size, whatever the input, and if other words share a hot one's counter they are only dealt out
+more finely. The sample only deals out work: the result is the same whatever it finds.
 
 A bucket holds about ``BUCKET`` projections. Arithmetic is decimal: exact for numbers of
 occurrences below 10**15.
@@ -27,17 +28,17 @@ table gives no rows; further columns are ignored. A text is split whole, whateve
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.common import materialize, mix64, small_batches
+from tidewell.llm.common import WordHashes, materialize, mix64, small_batches
 
 MAX_WORDS = 3
 LEAST = 10
@@ -45,8 +46,8 @@ TOP = 2000
 #: A phrase goes if a longer one has this percentage of its occurrences or more.
 COVERED = 50
 BUCKET = 250_000
-SHARE = 1024
-#: Rows of the sample that finds hot words and the number of buckets.
+#: Counters that tell hot words, and the share of rows that they and the number of buckets are estimated from.
+SLOTS = 1 << 18
 SAMPLE = 0.02
 #: Words of a language, and distinct words, after which a task hands on what it has.
 FLUSH, DISTINCT = 2_000_000, 1 << 20
@@ -80,31 +81,32 @@ class Ids(dict):
         return value
 
 
+def slots(lang: str, hashes: np.ndarray) -> np.ndarray:
+    """The counter of each word, by its hash."""
+    return (mix64(hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))) % np.uint64(SLOTS)).astype(np.int64)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, found = WordHashes(), np.zeros(SLOTS, np.int64)
     for batch in batches:
-        found = Counter()
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.update((lang, w) for part in tokens(text) for w in part if w and w != b"\n")
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "word", "n"])
-
-
-def hot_words(docs: DataFrame) -> tuple[dict[str, set[bytes]], int]:
-    """(words of each language with a SHARE-th of its sampled words or more, about how many words all texts have)."""
-    found = docs.sample(SAMPLE, seed=12).mapInArrow(_sampled, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = materialize(found, "sampled")
-    whole = found.groupBy("lang").agg(F.sum("n").alias("total"))
-    hot: dict[str, set[bytes]] = {}
-    total = int((whole.agg(F.sum("total")).first()[0] or 0) / SAMPLE)
-    # at most SHARE words a language; of languages, those with a SHARE-th of all words
-    large = F.broadcast(whole.where(F.col("total") * SHARE / SAMPLE >= total))
-    for lang, word in found.join(large, "lang").where(F.col("n") * SHARE >= F.col("total")).select("lang", "word").collect():
-        hot.setdefault(lang, set()).add(bytes(word))
-    return hot, total
-
-
-def _project(hot: dict[str, set[bytes]], buckets: int, max_words: int):
-    def blocks(held: dict[str, list[np.ndarray]], ids: Ids) -> Iterator[tuple]:
+        parts = [(lang, part) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for part in tokens(text)]
+        here = [slots(lang, known.of([w for w in part if w and w != b"\n"])) for lang, part in parts]
+        found += np.bincount(np.concatenate(here or [np.empty(0, np.int64)]), minlength=SLOTS)
+    some = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "n"])
+
+
+def hot_slots(docs: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """(for each counter, whether its words have more than about ``most`` occurrences; about how many words all texts have)."""
+    found = docs.sample(SAMPLE, seed=12).mapInArrow(_sampled, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = materialize(found, "sampled")  # SLOTS rows at most
+    hot = np.zeros(SLOTS, bool)
+    hot[[r[0] for r in found.where(F.col("n") >= most * SAMPLE).select("slot").collect()]] = True
+    return hot, int((found.agg(F.sum("n")).first()[0] or 0) / SAMPLE)
+
+
+def _project(hot: np.ndarray, buckets: int, max_words: int, flush: int):
+    def blocks(held: dict[str, list[np.ndarray]], ids: Ids, rng: np.random.Generator) -> Iterator[tuple]:
         words = list(ids)[2:]
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         bits = max(1, int(len(words)).bit_length())
@@ -128,13 +130,12 @@ def _project(hot: dict[str, set[bytes]], buckets: int, max_words: int):
                 columns = list(rows)
             if not len(count):
                 continue
-            is_hot = np.zeros(len(words) + 1, bool)
-            is_hot[[ids[w] for w in hot.get(lang, ()) if w in ids]] = True
+            is_hot = np.concatenate([[True], hot[slots(lang, hashes)]])  # the end of a piece tells nothing apart
             where, more = np.full(len(count), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64), np.ones(len(count), bool)
             for c in columns:
-                h = hashes[np.maximum(c, 1) - 1]
-                where = np.where(more & (c > 0), mix64(where ^ h) + np.uint64(1), where)
-                more &= (c > 0) & is_hot[c]
+                where = np.where(more & (c > 0), mix64(where ^ hashes[np.maximum(c, 1) - 1]) + np.uint64(1), where)
+                more &= is_hot[c]
+            where[more] = mix64(where[more] ^ np.uint64(rng.integers(1 << 63)))
             where = (where % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -150,11 +151,12 @@ def _project(hot: dict[str, set[bytes]], buckets: int, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         ids, size, end = Ids(), 0, np.zeros(1, np.int64)
+        rng = np.random.default_rng(TaskContext.get().partitionId())
 
         def told() -> Iterator[pa.RecordBatch]:
             # a few blocks at a time
             rows: list[tuple] = []
-            for row in blocks(held, ids):
+            for row in blocks(held, ids, rng):
                 rows.append(row)
                 if len(rows) == 64:
                     yield batch_of(rows)
@@ -167,7 +169,7 @@ def _project(hot: dict[str, set[bytes]], buckets: int, max_words: int):
                 for found in tokens(text):
                     held.setdefault(lang, []).extend((np.fromiter(map(ids.__getitem__, found), np.int64, len(found)), end))
                     size += len(found)
-                    if size >= FLUSH or len(ids) >= DISTINCT:
+                    if size >= flush or len(ids) >= DISTINCT:
                         yield from told()
                         held, ids, size = {}, Ids(), 0
         yield from told()
@@ -183,7 +185,7 @@ def grown(columns: list[np.ndarray], count: np.ndarray, least: int, whole: np.nd
     """(phrase as numbers, occurrences), depth-first, from projections in order of all columns.
 
     A phrase with ``least`` occurrences comes and is extended; one that has others in further
-    tasks, as all its words are hot (``whole`` tells of each number whether it isn't), comes whatever it has here.
+    tasks, as all its words are hot (``whole``: those that are not), comes whatever it has here.
     """
     sums = np.concatenate([[0], np.cumsum(count)])
 
@@ -204,7 +206,7 @@ def grown(columns: list[np.ndarray], count: np.ndarray, least: int, whole: np.nd
         yield from extend((), 0, len(count), True)
 
 
-def _grow(hot: dict[str, set[bytes]], least: int, max_words: int):
+def _grow(hot: np.ndarray, least: int, max_words: int):
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
         langs = table["lang"].to_pylist()
@@ -217,9 +219,8 @@ def _grow(hot: dict[str, set[bytes]], least: int, max_words: int):
                 counts.append(np.frombuffer(table["counts"][i].as_py(), np.uint32).astype(np.int64))
             block, count = np.concatenate(parts, axis=1), np.concatenate(counts)
             order = np.lexsort(block[::-1])
-            words = [w.decode() for w in ids]
-            whole = np.ones(len(words), bool)
-            whole[[ids[w] for w in hot.get(lang, ()) if w in ids]] = False
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, list(ids)[2:]), np.uint64, len(ids) - 2)
+            words, whole = [w.decode() for w in ids], np.concatenate([[True], ~hot[slots(lang, hashes)]])
             out.append((lang, "", 0, int(count.sum())))
             for phrase, f in grown([c[order] for c in block], count[order], least, whole):
                 out.append((lang, " ".join([words[i + 1] for i in phrase]), len(phrase), f))
@@ -229,13 +230,13 @@ def _grow(hot: dict[str, set[bytes]], least: int, max_words: int):
     return run
 
 
-def phrase_counts(documents: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, bucket: int = BUCKET) -> DataFrame:
+def phrase_counts(documents: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, bucket: int = BUCKET, flush: int = FLUSH) -> DataFrame:
     """lang, phrase, size (words), f: all phrases with f >= least, and with size 0 the number of all words of each language."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    hot, total = hot_words(docs)
+    hot, total = hot_slots(docs, bucket)
     buckets = max(64, -(-total // bucket))
-    sent = docs.mapInArrow(_project(hot, buckets, max_words), "bucket long, lang string, words binary, rows binary, counts binary")
+    sent = docs.mapInArrow(_project(hot, buckets, max_words, flush), "bucket long, lang string, words binary, rows binary, counts binary")
     found = sent.groupBy("bucket").applyInArrow(_grow(hot, least, max_words), COUNTED)
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(f"size = 0 OR f >= {int(least)}")
 
