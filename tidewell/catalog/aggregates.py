@@ -167,7 +167,7 @@ def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS tag FROM part) WHERE tag <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8""")
 def tag_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of all rows, the commonest eight."""
+    """Tags of all rows, the commonest eight."""
     tags = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("tag")).where("tag <> ''")
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(8)
 

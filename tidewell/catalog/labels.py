@@ -122,7 +122,7 @@ SELECT p_partkey, low_value, NOT low_value AND NOT list_contains({listed(release
          AND (len(list_filter({listed(releases.SOURCE_CHANGES)}, lambda w: contains(x, w))) > 0 OR
               length(x) <= 120 AND regexp_matches(x, '^(支持|现已支持|现在支持|正式支持)') AND NOT regexp_matches(x, '系统|语言|客户|版本')) AS tells_change FROM l""")
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a source that are metadata, and those that tell of a change."""
+    """lines of a source that are metadata, and those that tell of a change."""
     return _notes(spark, sf_dir).select("p_partkey", releases.source_low_value(F.col("note")).alias("low_value"), releases.tells_change(F.col("note")).alias("tells_change"))
 
 

@@ -16,7 +16,7 @@ SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)anodized|plated') THEN '
        array_to_string(list_filter([CASE WHEN regexp_matches(p_type, '(?i)brass|copper') THEN 'warm' END, CASE WHEN regexp_matches(p_type, '(?i)steel|nickel|tin') THEN 'cold' END, CASE WHEN regexp_matches(p_name, '(?i)e') THEN 'e' END], lambda x: x IS NOT NULL), ',') AS tags
 FROM part""")
 def stage_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X16, X17, X18, X31, X32, X47, X54 (the form of their rules): first rule that fits, and all rules that fit."""
+    """First rule that fits, and all rules that fit."""
     rules = [("(?i)brass|copper", "warm"), ("(?i)steel|nickel|tin", "cold")]
     tags = F.concat(text.tags(F.col("p_type"), rules), text.tags(F.col("p_name"), [("(?i)e", "e")]))
     return table(spark, sf_dir, "part").select("p_partkey", text.ordered_classifier(F.col("p_type"), STAGES, "other").alias("stage"), F.array_join(tags, ",").alias("tags"))
@@ -28,7 +28,7 @@ SELECT o_orderkey, (CASE WHEN o_totalprice > 200000 THEN 30 ELSE 0 END + CASE WH
          + CASE WHEN b.d - o_orderdate::DATE <= 30 THEN 20 ELSE 0 END)::INT AS score,
        CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN b.d - o_orderdate::DATE <= 30 THEN 'recent' ELSE '' END AS reason FROM orders, b""")
 def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points for what a row has, some relative to the latest date, and the first reason."""
+    """Points for what a row has, some relative to the latest date, and the first reason."""
     orders = table(spark, sf_dir, "orders")
     latest = orders.agg(F.to_date(F.max("o_orderdate")).alias("d"))
     large, urgent, recent = F.col("o_totalprice") > 200000, F.startswith("o_orderpriority", F.lit("1")), F.datediff("d", F.to_date("o_orderdate")) <= 30
@@ -61,7 +61,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))), ',') AS emails,
        array_to_string(list_sort(list_distinct(regexp_extract_all(text, '1[3-9][0-9]{9}|0[0-9]{2,3}-[0-9]{7,8}'))), ',') AS phones FROM documents""")
 def phone_email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All distinct matches in each text."""
+    """All distinct matches in each text."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.emails(F.col("text")), ",").alias("emails"), F.array_join(text.phones(F.col("text")), ",").alias("phones"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, values
+from tidewell.functions.keywords import let
 
 #: Words of change, verbs, words and patterns of metadata, platforms.
 CHANGE_WORDS = (
@@ -81,22 +82,27 @@ def source_line(c: Column) -> Column:
 
 def source_low_value(c: Column) -> Column:
     """A source's line of metadata or promotion, or what is left of unreadable signs."""
-    x = source_line(c)
-    low = F.lower(x)
-    meaning = F.regexp_replace(x, r"[^A-Za-z0-9\u3400-\u9fff]", "")
-    others = F.length(x) - F.length(meaning)
-    return (
-        (x == "") | text.contains_any(low, tuple(w.lower() for w in SOURCE_LOW_VALUE)) | low.rlike(SOURCE_SYSTEM)
-        | low.rlike(r"https?://|www\.|(?:^|[：:]|\s)md5(?:$|[：:]|\s)") | (low.rlike(r"[0-9a-f]{24,}") & ~low.rlike(r"(?<![\p{L}\p{N}_])\d+(?:\.\d+){1,3}(?![\p{L}\p{N}_])"))
-        | (F.length(meaning) < 2) | meaning.rlike(r"^(.)\1*$") | ((others > 2 * F.length(meaning)) & (F.length(x) > 8))
-    )
+
+    def of(x: Column, low: Column, meaning: Column) -> Column:
+        others = F.length(x) - F.length(meaning)
+        return (
+            (x == "") | text.contains_any(low, tuple(w.lower() for w in SOURCE_LOW_VALUE)) | low.rlike(SOURCE_SYSTEM)
+            | low.rlike(r"https?://|www\.|(?:^|[：:]|\s)md5(?:$|[：:]|\s)") | (low.rlike(r"[0-9a-f]{24,}") & ~low.rlike(r"(?<![\p{L}\p{N}_])\d+(?:\.\d+){1,3}(?![\p{L}\p{N}_])"))
+            | (F.length(meaning) < 2) | meaning.rlike(r"^(.)\1*$") | ((others > 2 * F.length(meaning)) & (F.length(x) > 8))
+        )
+
+    bare = lambda x: F.regexp_replace(x, r"[^A-Za-z0-9\u3400-\u9fff]", "")
+    return let(source_line(c), lambda x: let(F.struct(F.lower(x).alias("low"), bare(x).alias("meaning")), lambda s: of(x, s["low"], s["meaning"])))
 
 
 def tells_change(c: Column) -> Column:
     """Whether a source's line tells of a change: a word of change, or a short sentence on what is now supported."""
-    x = source_line(c)
-    supports = (F.length(x) <= 120) & x.rlike("^(?:支持|现已支持|现在支持|正式支持)") & ~text.contains_any(x, ("系统", "语言", "客户", "版本"))
-    return ~source_low_value(c) & ~x.isin(*SOURCE_GENERIC) & (text.contains_any(x, SOURCE_CHANGES) | supports)
+
+    def of(x: Column) -> Column:
+        supports = (F.length(x) <= 120) & x.rlike("^(?:支持|现已支持|现在支持|正式支持)") & ~text.contains_any(x, ("系统", "语言", "客户", "版本"))
+        return ~source_low_value(x) & ~x.isin(*SOURCE_GENERIC) & (text.contains_any(x, SOURCE_CHANGES) | supports)
+
+    return let(source_line(c), of)
 
 
 RELEASE_TEXTS = ("app_name", "app_version", "platform", "publish_date", "update_type", "update_summary")
