@@ -31,37 +31,6 @@ def test_fuzzy_pairs_are_all_pairs_at_the_ratio(spark):
     assert Counter(map(tuple, got)) == want and want
 
 
-WORDS = [w for w in releases.CHANGE_WORDS]
-
-
-def score(note):
-    x = re.sub(r"^(?:[-*•]\s*)+", "", re.sub(r"\s+", " ", note or "").strip()).strip()
-    hits = sum(w in x.lower() for w in WORDS)
-    if len(x) < 2 or not hits or any(re.search(p, x) for p in releases.LOW_VALUE):
-        return -100
-    return min(len(x), 180) // 10 + 10 * hits + 8 * bool(re.search(releases.VERBS, x))
-
-
-def test_release_fold_equals_plain_python(spark):
-    notes = ["新增行情", "优化体验，修复问题", "下载", "- 修复  崩溃", "Fix it", "", None]
-    rows = []
-    for i in range(200):
-        highlights = [notes[(i * k) % 7] for k in (1, 2, 3, 5)]
-        rows.append((f"B{i % 3}", "App", [f"v 1.{i % 4}", "", None][i % 3], ["ios", "安卓", "Web", ""][i % 4], f"2024-01-{i % 9 + 1:02}", notes[i % 7], [h for h in highlights if h is not None], [f"t{i % 5}"]))
-    schema = "broker string, app string, version string, platform string, published string, summary string, highlights array<string>, tags array<string>"
-    names = {"ios": "iOS", "安卓": "Android", "Web": "Web", "": "未知"}
-    groups = defaultdict(list)
-    for r in rows:
-        version = re.sub(r"^[vV]\s*", "", r[2] or "").strip().lower()
-        groups["|".join([r[0].lower(), "app", version or f"no version|{names[r[3]]}|{r[4]}"])].append(r)
-    want = {}
-    for key, held in groups.items():
-        best = max(held, key=lambda r: (score(r[5]), r[4], r[5] is not None, r[5] or ""))
-        told = sorted({h for r in held for h in r[6]}, key=lambda h: (-score(h), h))[:5]
-        platforms = {names[r[3]] for r in held} - {"未知"}
-        want[key] = (best[5], told, sorted({t for r in held for t in r[7]}), "全平台" if len(platforms) > 1 else min(platforms, default="未知"), len(held))
-    out = releases.folded(spark.createDataFrame(rows, schema)).collect()
-    assert {r.release_key: (r.summary, r.highlights, r.tags, r.platform, r.n_merged) for r in out} == want
 
 
 def test_contracts_refuse(spark, tmp_path):

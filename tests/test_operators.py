@@ -134,7 +134,19 @@ def test_gates(spark):
         (values.json_strings, " ", []),
         (values.html_text, "<p>a&amp;b</p><script>x</script><ul><li>c</ul>", "a&b\n- c"),
         (values.unescaped, "&lt;x&gt;", "<x>"),
-        (releases.version_key, "版本号：V 1.2", "v1.2"),
+        (releases.version_key, "版本号：V 1.2", "1.2"),
+        (releases.version_key, " 版本 Ｖ１．２ b", "1.2b"),
+        (releases.platform, "ＩＯＳ", "iOS"),
+        (releases.platform, "i pad", "iOS"),
+        (releases.platform, "苹果", "iOS"),
+        (releases.platform, "H5", "Web"),
+        (releases.platform, " 电 视", "电 视"),
+        (releases.platform, None, "未知"),
+        (releases.broker, " 国泰 君安", "国泰海通证券"),
+        (releases.package_url, "http://a.b/-/app/x", ""),
+        (releases.package_url, "http://a.b/app/x", "http://a.b/app/x"),
+        (releases.package_date, "2024年3月1日", "2024-03-01"),
+        (releases.package_date, "2024-01-01T00:30:00+08:00", "2023-12-31"),
         (releases.platform, "iPhone", "iOS"),
         (releases.platform, " ", "未知"),
         (releases.low_value, "下载：1.2", True),
@@ -215,14 +227,3 @@ def test_sources_join_the_first_that_agrees(spark):
     items = spark.createDataFrame([("i", "fact", ["1", "9"]), ("j", "fact", ["9"]), ("k", "recommendation", [])], "item_id string, kind string, source_ids array<string>")
     got = {r.item_id: r.source_ids for r in research.grounded(items, spark.createDataFrame([("1",)], "source_id string")).collect()}
     assert got == {"i": ["1"], "k": []}
-
-
-def test_release_fold(spark):
-    schema = "broker string, app string, version string, platform string, published date, summary string, highlights array<string>, tags array<string>"
-    df = spark.createDataFrame(
-        [("B", "app", "V1.0", "ios", D(2024, 1, 1), "修复问题", ["优化体验"], ["t"]), ("b", "APP", "v1.0", "安卓", D(2024, 1, 2), "新增行情并优化体验", ["优化体验", "下载"], ["s"]), ("b", "app", None, "ios", D(2024, 1, 1), "下载", None, None)],
-        schema,
-    )
-    out = {r.release_key: r for r in releases.folded(df).collect()}
-    first = out["b|app|v1.0"] if "b|app|v1.0" in out else out["b|app|1.0"]
-    assert len(out) == 2 and first.summary.startswith("新增") and first.platform == "全平台" and list(first.tags) == ["s", "t"] and first.highlights[0] == "优化体验"

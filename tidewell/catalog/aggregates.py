@@ -242,7 +242,7 @@ SELECT l_orderkey, max(l_partkey) FILTER (k = 1) AS best_part, max(score) AS bes
        count(*) AS merged, array_to_string(list_slice(list(l_partkey ORDER BY score DESC, l_partkey DESC, l_linenumber DESC), 1, 5), ',') AS highlights
 FROM r GROUP BY 1""")
 def release_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a release: the representative by score, at most five highlights, the union of tags."""
+    """One row a release: the representative by score, at most five highlights, the union of tags."""
     rows = table(spark, sf_dir, "lineitem").withColumn("tag", F.concat("l_returnflag", "l_linestatus"))
     score = F.col("l_quantity") * 2 + F.col("l_linenumber")
     order = F.struct(score.alias("s"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"))

@@ -150,20 +150,6 @@ def research_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.funnel(rows, sources, research.selected(sources, "2024-06-01"))
 
 
-@query()
-def release_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as release notes of apps, folded."""
-    words = F.array(*[F.lit(w) for w in ("新增行情", "优化体验", "修复问题", "下载", "v1")])
-    pick = lambda c, k: F.element_at(words, (F.pmod(c, F.lit(k)) + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("b"), (F.col("user_id") % 12).cast("string")).alias("broker"), F.lit("app").alias("app"), F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("v"), (F.col("event_id") % 30).cast("string"))).alias("version"),
-        F.when(F.col("event_id") % 2 == 0, "ios").otherwise("安卓").alias("platform"), F.to_date("ts").alias("published"), pick(F.col("event_id"), 5).alias("summary"),
-        F.array(pick(F.col("event_id"), 3), pick(F.col("event_id"), 4)).alias("highlights"), F.array("event_type").alias("tags"),
-    )
-    out = releases.folded(rows)
-    return out.select("release_key", "summary", "platform", "n_merged", F.array_join("highlights", "；").alias("highlights"), F.array_join("tags", ",").alias("tags"))
-
-
 @query("""
 WITH e AS (SELECT c_custkey, c_custkey % 5 AS planned, c_custkey % 3 AS more, c_custkey % 7 = 3 AS fails FROM customer),
 asked AS (

@@ -175,13 +175,6 @@ def tags(c: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(label)) for p, label in rules]))
 
 
-def update_score(c: Column, words: tuple[str, ...], verbs: str, low_value: Column) -> Column:
-    """Length up to 180 in tens, ten for each change word found, eight for a verb; -100 for low value."""
-    hits = sum((F.when(F.contains(F.lower(c), F.lit(w)), 10).otherwise(0) for w in words), F.lit(0))
-    score = F.floor(F.least(F.length(c), F.lit(180)) / 10).cast("int") + hits + F.when(c.rlike(verbs), 8).otherwise(0)
-    return F.when(low_value, -100).otherwise(score)
-
-
 def emails(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))))
 
