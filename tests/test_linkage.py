@@ -22,7 +22,7 @@ def _rows(prefix, n, rng, titles):
         title = rng.choice(titles)
         title = title if rng.random() < 0.6 else "".join(rng.choice("行情系统机房建设办公家具采购云平台数据") if rng.random() < 0.4 else c for c in title)
         day = None if rng.random() < 0.05 else dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(0, 500))
-        number, package, file = rng.choice(["", "", f"P-{rng.randrange(30)}"]), rng.choice(["", "", "1", "2"]), rng.choice(["", "", "", f"f{rng.randrange(9)}"])
+        number, package, file = rng.choice(["", "", f"P-{rng.randrange(30)}"]), rng.choice(["", "", "第一包", "包件02"]), rng.choice(["", "", "", f"f{rng.randrange(9)}"])
         out.append((f"{prefix}{i}", title, number, rng.choice(BUYERS), package, day, file))
     return out
 
@@ -75,3 +75,20 @@ def test_top_keeps_the_best_of_each_result(frames, top):
 def test_the_query_s_titles_are_shared(spark):
     titles = flows._notices(spark, "/root/testdata/sf0.001", "O").groupBy("title").count()
     assert titles.count() <= 25 and titles.agg(F.max("count")).first()[0] > 10
+
+
+def test_titles_meet_by_rare_characters(spark):
+    """20,000 distinct titles: all near pairs of a sample of them are there, from a small part of all pairs."""
+    rng = random.Random(11)
+    signs, common = [chr(0x4E00 + i) for i in range(1500)], "系统项目采购"
+    base = ["".join(rng.choice(signs) if rng.random() < 0.7 else rng.choice(common) for _ in range(rng.randrange(5, 18))) for _ in range(19_000)]
+    base += ["".join(rng.choice(signs) if rng.random() < 0.3 else c for c in rng.choice(base)) for _ in range(1000)]
+    titles = sorted(set(base))
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    rows = rows.withColumn("t", linkage._rarest_first(rows)("title")).repartition(8).cache()
+    met = linkage.similar(rows, rows, [], 0.45).distinct().cache()
+    assert met.count() < len(titles) ** 2 / 1000
+    some = rng.sample(titles, 12) + base[-12:]
+    want = {(a, b) for a in some for b in titles if values.title_ratio_from(a, b, 0.45) >= 0.45}
+    got = {(r.a, r.b) for r in met.where(F.col("a").isin(some)).collect()}
+    assert want <= got and len(want) > len(set(some))

@@ -114,6 +114,17 @@ def test_gates(spark):
         (text.package_number, "项目第二包", 2),
         (text.package_number, "标段12", 12),
         (text.package_number, "项目", None),
+        (text.package_number, "一包", 1),
+        (text.package_number, "二标段", 2),
+        (text.package_number, "包件03", 3),
+        (text.package_number, "第两包", 2),
+        (text.package_number, "000包", 0),
+        (text.package_number, "2024包", 24),
+        (text.package_number, "标段 三十一", 31),
+        (text.package_number, "零一包", None),
+        (text.chinese_number, "两", 2),
+        (text.chinese_number, "十十", 20),
+        (text.chinese_number, "九十〇", 90),
         (text.markdown_title, "x\n#  A b \ny", "A b"),
         (text.nfkc, " ＡＢ①", "AB1"),
         (text.portable_name, 'a/b:c"d', "a_b_c_d"),
@@ -159,6 +170,7 @@ def test_scalars(spark, f, value, want):
 
 def test_amounts_and_json(spark):
     amount = lambda v: one(spark, values.amount_with_units, v)
+    assert str(amount("-5万")) == "-50000.00" and str(amount("约5.2（亿元）")) == "520000000.00" and amount(None) is None
     assert str(amount("约1,234.5万元")) == "12345000.00" and str(amount("2亿")) == "200000000.00" and amount("无") is None
     df = spark.createDataFrame([("1,000", "inf", "-1", "3")], "a string, b string, c string, d string")
     assert df.select(values.positive_amount(*[F.col(c) for c in "abcd"])).first()[0] == 3.0

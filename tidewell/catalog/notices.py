@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog.labels import NOTES, listed, picked, picked_sql
 from tidewell.catalog.registry import query, table
+from tidewell.functions import text, values
 from tidewell.plans import notices, releases
 
 #: Neutral phrases, then the words of all tables: titles hold one or two of them.
@@ -148,3 +149,23 @@ def note_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version, platform and date that a note names, and what a model is given of it."""
     rows = _contents(spark, sf_dir).select("p_partkey", notices.evidence(F.col("content")).alias("e"), notices.prepared_content(F.col("content")).alias("prepared"))
     return rows.select("p_partkey", "e.version", "e.platform", "e.published", "prepared")
+
+
+PACKAGES = ["第一包", "二标段", "包件03", "第两包", "标段 12", "包十二", "三十一包", "2024包", "第〇包", "百包", "包件", "某项目", "十包件", "第零一标段", "000包", "", "包 九十"]
+AMOUNTS = ["-5万", "约5.2（亿元）", "1,234.5元", "万", "null", "3 亿 2 万", "-0.5", "12.345678亿", "0", ""]
+NUMERAL_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.NUMERALS.items())
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, {picked_sql('p_partkey', PACKAGES, 3)} AS package, {picked_sql('p_partkey', AMOUNTS, 7)} AS amount FROM part),
+n AS (SELECT *, ltrim(coalesce(nullif(regexp_extract(package, '第?([0-9]{{1,3}}|[零〇一二两三四五六七八九十]{{1,3}})(?:包|标段)', 1), ''),
+                               nullif(regexp_extract(package, '(?:包件|包|标段)\\s*([0-9]{{1,3}}|[零〇一二两三四五六七八九十]{{1,3}})', 1), '')), '0') AS said,
+        nullif(regexp_extract(replace(amount, ',', ''), '-?[0-9]+(?:\\.[0-9]+)?'), '') AS number FROM t)
+SELECT p_partkey, CASE WHEN said = '' THEN 0 WHEN regexp_matches(said, '^[0-9]+$') THEN try_cast(said AS INT) WHEN length(said) = 1 THEN CASE said {NUMERAL_SQL} END
+         WHEN length(said) = 2 AND said[1] = '十' THEN 10 + CASE said[2] {NUMERAL_SQL} END WHEN length(said) = 2 AND said[2] = '十' THEN 10 * CASE said[1] {NUMERAL_SQL} END
+         WHEN length(said) = 3 AND said[2] = '十' THEN 10 * CASE said[1] {NUMERAL_SQL} END + CASE said[3] {NUMERAL_SQL} END END AS package_number,
+       (number::DECIMAL(28, 6) * CASE WHEN contains(amount, '亿') THEN 100000000 WHEN contains(amount, '万') THEN 10000 ELSE 1 END)::DECIMAL(20, 2)::VARCHAR AS amount FROM n""")
+def package_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of packages in digits or Chinese, amounts with sign and unit."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", picked("p_partkey", PACKAGES, 3).alias("package"), picked("p_partkey", AMOUNTS, 7).alias("amount"))
+    return rows.select("p_partkey", text.package_number(F.col("package")).alias("package_number"), values.amount_with_units(F.col("amount")).cast("string").alias("amount"))

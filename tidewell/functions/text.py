@@ -38,8 +38,8 @@ TITLE_STATES = (
 RESULT_SUFFIXES = (
     "中标候选人公示", "成交候选人公示", "中标结果公告", "成交结果公告", "采购结果公告", "结果公告", "中标公告", "成交公告", "流标公告", "废标公告", "终止公告", "取消公告",
 )
-#: Chinese digits one to ten.
-DIGITS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十")
+#: Chinese digits.
+NUMERALS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
@@ -94,21 +94,22 @@ def company_similarity(a: Column, b: Column) -> Column:
 
 
 def chinese_number(c: Column) -> Column:
-    """Digits, or 一 to 九十九, as an integer; anything else is null."""
-    ones = F.create_map(*[x for i, d in enumerate(DIGITS[:9], 1) for x in (F.lit(d), F.lit(i))])
-    tens, rest = F.regexp_extract(c, "^([一二三四五六七八九]?)十([一二三四五六七八九]?)$", 1), F.regexp_extract(c, "^([一二三四五六七八九]?)十([一二三四五六七八九]?)$", 2)
-    value = F.coalesce(F.try_element_at(ones, tens), F.lit(1)) * 10 + F.coalesce(F.try_element_at(ones, rest), F.lit(0))
-    return F.when(c.rlike("^[0-9]{1,9}$"), c.cast("int")).when(c.rlike("^[一二三四五六七八九]?十[一二三四五六七八九]?$"), value).otherwise(
-        F.try_element_at(ones, c)
+    """Digits, one Chinese digit, or a number below a hundred with 十 in it, as an integer; anything else is null."""
+    digits = F.create_map(*[F.lit(x) for pair in NUMERALS.items() for x in pair])
+    one = "".join(NUMERALS)
+    part = lambda i: F.regexp_extract(c, f"^([{one}]??)十([{one}]?)$", i)
+    value = F.coalesce(F.try_element_at(digits, part(1)), F.lit(1)) * 10 + F.coalesce(F.try_element_at(digits, part(2)), F.lit(0))
+    return (
+        F.when(c.rlike("^[0-9]{1,9}$"), c.try_cast("int")).when(F.length(c) == 1, F.try_element_at(digits, c)).when(c.rlike(f"^[{one}]?十[{one}]?$"), value)
     )
 
 
 def package_number(c: Column) -> Column:
-    """Number of a package: 第…包, or 包 or 标段 with digits; null if there is none."""
-    said = F.coalesce(
-        F.nullif(F.regexp_extract(c, "第([0-9一二三四五六七八九十]+)(?:包|标段)", 1), F.lit("")), F.nullif(F.regexp_extract(c, "(?:包|标段)([0-9]+)", 1), F.lit(""))
-    )
-    return chinese_number(said)
+    """Number of a package: digits or a Chinese number before 包 or 标段, else after 包, 包件 or 标段; null if there is none."""
+    number = f"([0-9]{{1,3}}|[{''.join(NUMERALS)}]{{1,3}})"
+    found = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    said = F.coalesce(found(f"第?{number}(?:包|标段)"), found(rf"(?:包件|包|标段)\s*{number}"))
+    return chinese_number(F.coalesce(F.nullif(F.ltrim(said, F.lit("0")), F.lit("")), F.when(said.isNotNull(), F.lit("0"))))
 
 
 def ordered_classifier(c: Column, rules: list[tuple[str, str]], other: str) -> Column:

@@ -36,10 +36,10 @@ def positive_amount(*columns: Column) -> Column:
 
 
 def amount_with_units(c: Column) -> Column:
-    """First number times 亿 or 万, commas removed, as an exact decimal."""
+    """First number, with its sign, times 亿 or 万 wherever the text says so, commas removed, as an exact decimal."""
     bare = F.regexp_replace(c, ",", "")
-    number = F.nullif(F.regexp_extract(bare, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("decimal(28,6)")
-    unit = F.when(bare.rlike(r"\d\s*亿"), 100000000).when(bare.rlike(r"\d\s*万"), 10000).otherwise(1)
+    number = F.nullif(F.regexp_extract(bare, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("decimal(28,6)")
+    unit = F.when(F.contains(bare, F.lit("亿")), 100000000).when(F.contains(bare, F.lit("万")), 10000).otherwise(1)
     return (number * unit).try_cast("decimal(20,2)")
 
 

@@ -2,8 +2,8 @@
 
 Rows have id, title, number, purchaser, package, published (date), source_file.
 Every pair that the recall rule accepts is found. It agrees in number or file, or its titles
-are near. Which titles are near is told on distinct titles of neighbouring date buckets, all of them
-but those that their lengths rule out; which purchasers are, by equal short names and prefixes. So a
+are near. Which titles are near is told on distinct titles of neighbouring date buckets that share rare
+characters (see similar, which loses no pair); which purchasers are, by equal short names and prefixes. So a
 pair of rows meets by an equi-join on near title (with near purchaser, or package), number or file,
 and on dates.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,28 +52,81 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 def _prepared(df: DataFrame, prefix: str) -> DataFrame:
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c != "published" else F.to_date("published").alias(c) for c in FIELDS])
     rows = rows.withColumns({c: text.nfkc(F.col(c)) for c in ("title", "number", "purchaser", "package")})
+    # a title names the package where its field is empty
+    package = text.package_number(F.coalesce(F.nullif("package", F.lit("")), "title")).cast("string")
+    rows = rows.withColumn("package", F.coalesce(package, F.lit("")))
     title, number, buyer = text.project_key(F.col("title")), text.number_key(F.col("number")), text.company_short(F.col("purchaser"))
     buyer = F.when(buyer == "", text.company_key(F.col("purchaser"))).otherwise(buyer)  # nothing but a legal form
     rows = rows.withColumns({"key_title": title, "key_number": number, "key_buyer": buyer})
     return rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns])
 
 
-def near_titles(left: DataFrame, right: DataFrame, days: int) -> DataFrame:
-    """r_key_title, n_key_title, title: distinct titles with a similarity of NEAR or more that may lie within days, or one of them undated.
+def _rarest_first(titles: DataFrame) -> Column:
+    """Function of a title: its characters as numbers, rarest first; a character that comes again is another number.
 
-    The ratio of two titles is at most twice the shorter length over both, unless one holds the other.
+    titles (title): all there are. Their characters are counted, which are no more than Unicode has.
+    """
+    counts = titles.select(F.explode(F.array_distinct(F.split("title", ""))).alias("c")).groupBy("c").count().orderBy("count", "c").collect()
+    rank = {r["c"]: i for i, r in enumerate(counts)}
+
+    def numbers(s: pd.Series) -> pd.Series:
+        out = []
+        for title in s:
+            seen: Counter = Counter()
+            places = []
+            for c in title:
+                places.append(rank[c] << 20 | seen[c])
+                seen[c] += 1
+            out.append(sorted(places))
+        return pd.Series(out)
+
+    return F.pandas_udf(numbers, "array<long>")
+
+
+def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """a, b: distinct titles of left and right (title, keys: each row once) that agree in keys and may have a similarity of ``least`` or more.
+
+    Titles whose ratio is at least ``least`` share least / 2 of the characters of both, so they share one
+    of the rarest of each: all but so many that the others are too few. A pair comes from the rarest
+    character that both begin with, if what they share, counted as a bound of the ratio, is enough.
+    Titles of which one holds the other count as similar whatever their lengths; such a pair comes
+    from the shorter one's rarest character.
+    """
+    # at least this share of a title's own characters is in common, as the other one holds them too
+    own = least / (2 - least)
+    first = lambda c: F.slice(c, 1, (F.size(c) - F.ceil(own * F.size(c) - 1e-9) + 1).cast("int"))
+    a, b = (df.select(F.col("title").alias(x), F.col("t").alias(f"t{x}"), *keys) for df, x in ((left, "a"), (right, "b")))
+    one = a.withColumn("pa", first(F.col("ta"))).withColumn("c", F.explode("pa")).join(b.withColumn("pb", first(F.col("tb"))).withColumn("c", F.explode("pb")), [*keys, "c"])
+    both = F.size("ta") + F.size("tb")
+    enough = 2 * F.size(F.array_intersect("ta", "tb")) >= least * both - 1e-9
+    # the first that both begin with, so that a pair comes once for the same keys
+    told = one.where(2 * F.least(F.size("ta"), F.size("tb")) >= least * both - 1e-9).where((F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("c")) & enough)
+    short = lambda x, y: 2 * F.size(x) < least * (F.size(x) + F.size(y)) + 1e-9
+    inner = a.withColumn("c", F.element_at("ta", 1)).join(b.withColumn("c", F.explode("tb")), [*keys, "c"]).where(short("ta", "tb") & F.contains("b", F.col("a")))
+    outer = b.withColumn("c", F.element_at("tb", 1)).join(a.withColumn("c", F.explode("ta")), [*keys, "c"]).where(short("tb", "ta") & F.contains("a", F.col("b")))
+    return functools.reduce(DataFrame.unionByName, [x.select("a", "b") for x in (told, inner, outer)])
+
+
+def near_titles(left: DataFrame, right: DataFrame, buyers: DataFrame, days: int) -> DataFrame:
+    """r_key_title, n_key_title, title: distinct titles that are near enough for a branch of the recall rule.
+
+    0.45 within neighbouring date buckets; 0.32 there if purchasers are near, NEAR there if packages are
+    equal; 0.9 whatever the dates, where one is missing.
     """
     bucket = lambda c: F.floor(F.unix_date(c) / days)
-    a = left.where("r_key_title <> ''").select("r_key_title", F.explode(F.array(bucket("r_published"), bucket("r_published") - 1)).alias("bucket")).distinct()
-    b = right.where("n_key_title <> ''").select("n_key_title", bucket("n_published").alias("bucket")).distinct()
-    a, b = _written(a, "titles"), _written(b, "titles")
-    x, y = F.length("r_key_title"), F.length("n_key_title")
-    may = (2 * F.least(x, y) / (x + y) >= NEAR) | F.contains("r_key_title", F.col("n_key_title")) | F.contains("n_key_title", F.col("r_key_title"))
-    names = ["r_key_title", "n_key_title"]
-    pairs = a.join(b, "bucket").where(may).select(*names)
-    all_a, all_b = a.select("r_key_title").distinct(), b.select("n_key_title").distinct()
-    undated = a.where("bucket IS NULL").select("r_key_title").distinct().crossJoin(all_b).unionByName(all_a.crossJoin(b.where("bucket IS NULL").select("n_key_title")))
-    pairs = pairs.unionByName(undated.where(may).select(*names)).distinct()
+    a = left.where("r_key_title <> ''").select(F.col("r_key_title").alias("title"), F.col("r_key_buyer").alias("buyer"), F.col("r_package").alias("package"), F.explode(F.array(bucket("r_published"), bucket("r_published") - 1)).alias("bucket")).distinct()
+    b = right.where("n_key_title <> ''").select(F.col("n_key_title").alias("title"), F.col("n_key_buyer").alias("buyer"), F.col("n_package").alias("package"), bucket("n_published").alias("bucket")).distinct()
+    numbers = _rarest_first(a.select("title").union(b.select("title")).distinct())
+    a, b = (_written(df.join(df.select("title").distinct().withColumn("t", numbers("title")), "title"), "titles") for df in (a, b))
+    some = lambda df, *more: df.select("title", "t", *more).distinct()
+    dated_a, dated_b = a.where("bucket IS NOT NULL"), b.where("bucket IS NOT NULL")
+    bought = some(dated_a, "bucket", "buyer").join(buyers, F.col("buyer") == F.col("r_key_buyer")).select("title", "t", "bucket", F.col("n_key_buyer").alias("buyer")).distinct()
+    pairs = [
+        similar(some(dated_a, "bucket"), some(dated_b, "bucket"), ["bucket"], 0.45), similar(bought, some(dated_b, "bucket", "buyer"), ["bucket", "buyer"], 0.32),
+        similar(some(dated_a.where("package <> ''"), "bucket", "package"), some(dated_b, "bucket", "package"), ["bucket", "package"], NEAR),
+        similar(some(a.where("bucket IS NULL")), some(b), [], 0.9), similar(some(dated_a), some(b.where("bucket IS NULL")), [], 0.9),
+    ]
+    pairs = functools.reduce(DataFrame.unionByName, pairs).distinct().select(F.col("a").alias("r_key_title"), F.col("b").alias("n_key_title"))
     return pairs.withColumn("title", values.title_similarity_from(F.col("r_key_title"), F.col("n_key_title"), NEAR)).where(F.col("title") >= NEAR)
 
 
@@ -106,7 +160,8 @@ def _dated(asks: DataFrame, notices: DataFrame, days: int) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> DataFrame:
     """Distinct (r_id, n_id): all pairs that may be accepted, or as many as hold each result's ``top`` best."""
-    titles, buyers = _written(near_titles(left, right, days), "near"), _written(near_buyers(left, right), "near")
+    buyers = _written(near_buyers(left, right), "near")
+    titles = _written(near_titles(left, right, buyers, days), "near")
     similar = left.join(titles, "r_key_title")
     bought = similar.where(F.col("title") >= 0.32).join(buyers, "r_key_buyer")
     packaged = similar.where("r_package <> ''")
