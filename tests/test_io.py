@@ -102,10 +102,18 @@ def test_streams(spark, tmp_path):
     assert {(r.user_id, r.v) for r in flows.upsert_into(stream(), table, mark, ["user_id"], ["ts", "v"]).collect()} == {(1, 2), (2, 3)}
     put([(1, "2024-01-01 00:05:00", 9), (3, "2024-01-02 00:00:00", 4)])
     assert {(r.user_id, r.v) for r in flows.upsert_into(stream(), table, mark, ["user_id"], ["ts", "v"]).collect()} == {(1, 2), (2, 3), (3, 4)}
+    # a run without new files changes nothing; one row rewrites one bucket, and two versions of it stay
+    assert flows.upsert_into(stream(), table, mark, ["user_id"], ["ts", "v"]).count() == 3
+    for v in (10, 11, 12):
+        put([(2, "2024-02-01 00:00:00", v)])
+        flows.upsert_into(stream(), table, mark, ["user_id"], ["ts", "v"])
+    held = flows.current(spark, table)
+    assert max(map(len, held.values())) == 2 and sum(max(ns) == 4 for ns in held.values()) == 1
+    assert {(r.user_id, r.v) for r in flows.upsert_into(stream(), table, mark, ["user_id"], ["ts", "v"]).collect()} == {(1, 2), (2, 12), (3, 4)}
     seen = flows.run_to_table(flows.first_seen(stream(), "user_id"), f"file://{tmp_path}/seen", f"file://{tmp_path}/mark2")
     assert seen.count() == 3
     closed = flows.run_to_table(flows.sessions(stream(), late="1 hour"), f"file://{tmp_path}/sessions", f"file://{tmp_path}/mark3")
-    assert {(r.user_id, r.n) for r in closed.collect()} == {(1, 3), (2, 1)}  # the last one is still open
+    assert {(r.user_id, r.n) for r in closed.collect()} == {(1, 3), (2, 1), (3, 1)}  # the last one is still open
 
 
 def test_markdown_of_odd_pages():
@@ -159,3 +167,20 @@ def test_collection_goes_on_and_probes(spark, tmp_path):
     assert {r.page for r in paged.collected(spark, options, f"file://{tmp_path}/short", known).collect()} == {0, 1}
     assert {r.page for r in paged.collected(spark, options, f"file://{tmp_path}/long", known.where("id = '1a'")).collect()} == {0, 1, 2, 3}
     assert list(paged._gaps(0, 6, {1, 2, 5})) == [(0, 1), (3, 5)]
+
+
+def test_complete_results_of_every_run(spark, tmp_path):
+    source = f"file://{tmp_path}/in"
+    put = lambda *rows: spark.createDataFrame(rows, "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type").write.mode("append").parquet(source)
+    stream = lambda: flows.hourly_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(source))
+    run = lambda: {(str(r.hour), r.n) for r in flows.run_complete(stream(), f"file://{tmp_path}/rows", f"file://{tmp_path}/mark").collect()}
+    (tmp_path / "in").mkdir()
+    assert run() == set()
+    put(("2024-01-01 00:30:00", "a"))
+    assert run() == run() == {("2024-01-01 00:00:00", 1)}
+    for hour in (1, 2, 3):
+        put((f"2024-01-01 0{hour}:30:00", "a"))
+        assert len(run()) == hour + 1
+    assert len(flows.versions(spark, f"file://{tmp_path}/rows")) == 2
+    empty = spark.readStream.schema("user_id long, ts timestamp").parquet(f"file://{tmp_path}/in2") if (tmp_path / "in2").mkdir() is None else None
+    assert flows.upsert_into(empty, f"file://{tmp_path}/t", f"file://{tmp_path}/m", ["user_id"], ["ts"]).count() == 0

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.catalog.registry import query, table
-from tidewell.plans import linkage, releases, research
+from tidewell.plans import linkage, research
 from tidewell.sources import files, publish
+from tidewell.sources.shared import fresh_folder as work_folder
 from tidewell.streaming import flows
 
 
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment, c_name || chr(10) || '\"quoted\", ' || c_nationkey AS note FROM customer")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with quotes, commas, line ends and blanks come back as they were."""

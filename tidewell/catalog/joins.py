@@ -116,7 +116,7 @@ def semi_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH a AS (SELECT * FROM documents WHERE doc_id % 2 = 0), b AS (SELECT * FROM documents WHERE doc_id % 2 = 1),
 h AS (SELECT a.doc_id AS left_id, 'a_text' AS level, b.doc_id AS right_id FROM a JOIN b ON sha256(a.text) = sha256(b.text)
-  UNION ALL SELECT a.doc_id, 'b_start', b.doc_id FROM a JOIN b ON a.source || '|' || substr(a.text, 1, 40) = b.source || '|' || substr(b.text, 1, 40)
+  UNION ALL SELECT a.doc_id, 'b_letters', b.doc_id FROM a JOIN b ON a.source || '|' || sha256(lower(regexp_replace(a.text, '[^A-Za-z]', '', 'g'))) = b.source || '|' || sha256(lower(regexp_replace(b.text, '[^A-Za-z]', '', 'g')))
   UNION ALL SELECT a.doc_id, 'c_size', b.doc_id FROM a JOIN b ON a.source || '|' || a.lang || '|' || a.n_chars = b.source || '|' || b.lang || '|' || b.n_chars),
 r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY level, right_id) AS k FROM h)
 SELECT left_id, level, right_id FROM r WHERE k = 1""")
@@ -125,7 +125,7 @@ def three_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     keys = {
         "a_text": F.sha2("text", 256),
-        "b_start": F.concat_ws("|", "source", F.substring("text", 1, 40)),
+        "b_letters": F.concat_ws("|", "source", F.sha2(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), 256)),
         "c_size": F.concat_ws("|", "source", "lang", "n_chars"),
     }
     return keyed.multi_key_matches(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), keys, "doc_id", "doc_id")

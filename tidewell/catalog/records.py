@@ -10,14 +10,14 @@ from tidewell.operators import keyed, ranking
 
 
 @query("""
-WITH k AS (SELECT doc_id, source, lower(regexp_replace(substr(text, 1, 12), '[^A-Za-z]', '', 'g')) AS key, n_chars FROM documents),
-b AS (SELECT source, key, max_by(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS score FROM k WHERE key <> '' GROUP BY 1, 2),
+WITH k AS (SELECT doc_id, source, md5(nullif(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '')) AS key, n_chars FROM documents),
+b AS (SELECT source, key, max_by(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS score FROM k WHERE key IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, key) AS place FROM b)
 SELECT source, key, doc_id, place FROM r WHERE place <= 5""")
 def best_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best row of each normalized key, then the five best keys of each group."""
-    key = F.lower(F.regexp_replace(F.substring("text", 1, 12), "[^A-Za-z]", ""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", key.alias("key"), "n_chars").where("key <> ''")
+    """The best row of each normalized text, told by its digest, then the five best keys of each group."""
+    key = F.md5(F.nullif(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", key.alias("key"), "n_chars").where("key IS NOT NULL")
     best = rows.groupBy("source", "key").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"), F.max("n_chars").alias("score"))
     top = ranking.top_per_group(best, ["source"], [F.desc("score"), F.col("key")], 5, "place")
     return top.select("source", "key", "doc_id", F.col("place").cast("long").alias("place"))
@@ -55,13 +55,13 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT d.doc_id, d.source, b.text AS own, row_number() OVER (PARTITION BY d.doc_id ORDER BY b.item_id) AS k
   FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 400)
-SELECT doc_id, coalesce(source || ': ' || substr(own, 1, 30), source) AS context FROM c WHERE k = 1""")
+SELECT doc_id, coalesce(source || ': ' || own, source) AS context FROM c WHERE k = 1""")
 def context_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row's title with the beginning of what belongs to it, if there is anything."""
+    """A row's title with the text that belongs to it, if there is anything."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 400).alias("item_id"))
     own = keyed.pick(table(spark, sf_dir, "benchmark").select("item_id", "text"), ["item_id"], [F.col("text")], newest=False)
     rows = docs.join(own, "item_id", "left")
-    return rows.select("doc_id", F.coalesce(F.concat("source", F.lit(": "), F.substring("text", 1, 30)), F.col("source")).alias("context"))
+    return rows.select("doc_id", F.coalesce(F.concat("source", F.lit(": "), F.col("text")), F.col("source")).alias("context"))
 
 
 @query("""

@@ -15,8 +15,6 @@ a class all that scores depend on is equal or better but the date, and a later d
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -26,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text, values
 from tidewell.operators import links, ranking
+from tidewell.sources.shared import written
 
 FIELDS = ("id", "title", "number", "purchaser", "package", "published", "source_file")
 #: Below it no branch of the recall rule looks at titles.
@@ -34,21 +33,6 @@ NEAR = 0.30
 SHORT = 8
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """df by way of Parquet in the shared folder: what several joins read is computed once."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-    path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _prepared(df: DataFrame, prefix: str) -> DataFrame:
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c != "published" else F.to_date("published").alias(c) for c in FIELDS])
     rows = rows.withColumns({c: text.nfkc(F.col(c)) for c in ("title", "number", "purchaser", "package")})
@@ -117,7 +101,7 @@ def near_titles(left: DataFrame, right: DataFrame, buyers: DataFrame, days: int)
     a = left.where("r_key_title <> ''").select(F.col("r_key_title").alias("title"), F.col("r_key_buyer").alias("buyer"), F.col("r_package").alias("package"), F.explode(F.array(bucket("r_published"), bucket("r_published") - 1)).alias("bucket")).distinct()
     b = right.where("n_key_title <> ''").select(F.col("n_key_title").alias("title"), F.col("n_key_buyer").alias("buyer"), F.col("n_package").alias("package"), bucket("n_published").alias("bucket")).distinct()
     numbers = _rarest_first(a.select("title").union(b.select("title")).distinct())
-    a, b = (_written(df.join(df.select("title").distinct().withColumn("t", numbers("title")), "title"), "titles") for df in (a, b))
+    a, b = (written(df.join(df.select("title").distinct().withColumn("t", numbers("title")), "title"), "titles") for df in (a, b))
     some = lambda df, *more: df.select("title", "t", *more).distinct()
     dated_a, dated_b = a.where("bucket IS NOT NULL"), b.where("bucket IS NOT NULL")
     bought = some(dated_a, "bucket", "buyer").join(buyers, F.col("buyer") == F.col("r_key_buyer")).select("title", "t", "bucket", F.col("n_key_buyer").alias("buyer")).distinct()
@@ -160,8 +144,8 @@ def _dated(asks: DataFrame, notices: DataFrame, days: int) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> DataFrame:
     """Distinct (r_id, n_id): all pairs that may be accepted, or as many as hold each result's ``top`` best."""
-    buyers = _written(near_buyers(left, right), "near")
-    titles = _written(near_titles(left, right, buyers, days), "near")
+    buyers = written(near_buyers(left, right), "near")
+    titles = written(near_titles(left, right, buyers, days), "near")
     similar = left.join(titles, "r_key_title")
     bought = similar.where(F.col("title") >= 0.32).join(buyers, "r_key_buyer")
     packaged = similar.where("r_package <> ''")
@@ -199,8 +183,8 @@ def candidates(results: DataFrame, notices: DataFrame, days: int = links.WINDOW_
 
     All of them, or with ``top`` at least the best ``top`` of each result by ORDER.
     """
-    left, right = _written(_prepared(results, "r"), "results"), _written(_prepared(notices, "n"), "notices")
-    pairs = _written(_pairs(left, right, days, top), "pairs").join(left, "r_id").join(right, "n_id")
+    left, right = written(_prepared(results, "r"), "results"), written(_prepared(notices, "n"), "notices")
+    pairs = written(_pairs(left, right, days, top), "pairs").join(left, "r_id").join(right, "n_id")
     names = ["r_key_title", "n_key_title"]
     told = pairs.select(*names).distinct().withColumn("title", values.title_similarity(F.col("r_key_title"), F.col("n_key_title")))
     pairs = pairs.join(told, names)

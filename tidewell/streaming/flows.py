@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import keyed
+from tidewell.sources import shared
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -39,38 +40,66 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished versions below root."""
+    found = [int(name) for name in shared.names(spark, root) if name.isdigit()]
+    return sorted(n for n in found if "_SUCCESS" in shared.names(spark, f"{root}/{n}"))
+
+
 def run_complete(stream: DataFrame, root: str, checkpoint: str) -> DataFrame:
     """Use up what the source holds, and give back the whole result after it: windows that no later event has closed too.
 
     Each batch writes the result as a table of its own below root; a batch that is run again writes it again.
+    The last two stay. A run that finds nothing new gives the last result, or no rows before the first one.
     """
-    batches: list[int] = []
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/{number}")
-        batches.append(number)
+        for old in versions(spark, root)[:-2]:
+            fs, path = shared.file_system(spark, f"{root}/{old}")
+            fs.delete(path, True)
 
     stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/{max(batches)}")
+    last = versions(spark, root)[-1:]
+    return spark.read.schema(stream.schema).parquet(f"{root}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
 
+def current(spark: SparkSession, root: str, before: int | None = None) -> dict[int, list[int]]:
+    """bucket -> versions (below ``before``) that hold it, newest last: what a keyed table consists of. Buckets and versions are few."""
+    held: dict[int, list[int]] = {}
+    for n in versions(spark, root):
+        for name in shared.names(spark, f"{root}/{n}"):
+            if name.startswith("_bucket=") and (before is None or n < before):
+                held.setdefault(int(name.removeprefix("_bucket=")), []).append(n)
+    return held
 
-def upsert_into(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: list[str]) -> DataFrame:
-    """A keyed table as versions below root: each batch writes the next version from the last one and its own rows.
 
-    A batch that is run again writes its version again, so that it counts once.
+def _buckets(spark: SparkSession, root: str, held: dict[int, list[int]], schema) -> DataFrame:
+    paths = [f"{root}/{ns[-1]}/_bucket={b}" for b, ns in held.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_into(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> DataFrame:
+    """A keyed table below root, by hash buckets of its keys: a batch rewrites the buckets that its keys fall into, others stay.
+
+    A batch's version holds its buckets; a batch that is run again writes it again from
+    what was there before, so that it counts once. Of each bucket the last two versions stay.
+    Without any row so far the table is empty.
     """
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, stream.schema
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        latest = keyed.pick(batch, keys, [F.col(c) for c in order])
-        if number:
-            before = spark.read.schema(stream.schema).parquet(f"{root}/{number - 1}")
-            latest = keyed.pick(before.unionByName(latest), keys, [F.col(c) for c in order])
-        latest.write.mode("overwrite").parquet(f"{root}/{number}")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    names = [int(s.getPath().getName()) for s in fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)]
-    return spark.read.schema(stream.schema).parquet(f"{root}/{max(names, default=last)}")
+        latest = keyed.pick(batch, keys, [F.col(c) for c in order]).withColumn("_bucket", bucket)
+        touched = {r[0] for r in latest.select("_bucket").distinct().collect()}
+        held = {b: ns for b, ns in current(spark, root, number).items() if b in touched}
+        rows = keyed.pick(_buckets(spark, root, held, schema).unionByName(latest.drop("_bucket")), keys, [F.col(c) for c in order])
+        rows.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/{number}")
+        for b, ns in current(spark, root).items():
+            for old in ns[:-2]:
+                fs, path = shared.file_system(spark, f"{root}/{old}/_bucket={b}")
+                fs.delete(path, True)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _buckets(spark, root, current(spark, root), schema)
