@@ -45,7 +45,7 @@ def test_markdown_admission(spark, tmp_path):
 
 
 def test_paged_source(spark, tmp_path):
-    spark.dataSource.register(paged.PagedSource)
+    paged.register(spark)
     for i in range(3):
         (tmp_path / f"page-{i}.json").write_text("broken" if i == 1 else json.dumps([{"id": f"{i}{k}", "date": f"2024-0{5 - i}-0{9 - k}"} for k in range(2)]))
     df = spark.read.format("tidewell_pages").options(path=str(tmp_path), pages="3", pages_a_task="2").load()
@@ -184,3 +184,42 @@ def test_complete_results_of_every_run(spark, tmp_path):
     assert len(flows.versions(spark, f"file://{tmp_path}/rows")) == 2
     empty = spark.readStream.schema("user_id long, ts timestamp").parquet(f"file://{tmp_path}/in2") if (tmp_path / "in2").mkdir() is None else None
     assert flows.upsert_into(empty, f"file://{tmp_path}/t", f"file://{tmp_path}/m", ["user_id"], ["ts"]).count() == 0
+
+
+def test_scans_stop_where_nothing_more_is_asked_for(spark, tmp_path):
+    """Pages past the stop aren't requested, nor details of known items."""
+    lines = []
+    for page in range(6):
+        lines += [json.dumps({"page": page, "place": k, "id": f"{page}{k}", "date": "" if k == 1 else f"2024-05-{20 - 2 * page - (k > 2):02}"}) for k in range(4)]
+    spark.createDataFrame([(x,) for x in lines], "l string").selectExpr("from_json(l, 'page int, place int, id string, date string') AS j").select("j.*").write.partitionBy("page").json(f"file://{tmp_path}/pages")
+    (tmp_path / "counting_client.py").write_text(
+        "import pathlib\nfrom tidewell.sources.paged import JsonFolderClient\n"
+        "class Client(JsonFolderClient):\n"
+        "    def __init__(self, options):\n        super().__init__(options)\n        self.log = pathlib.Path(options['log'])\n"
+        "    def page(self, i):\n        (self.log / f'page-{i}').touch()\n        return super().page(i)\n"
+        "    def detail(self, item):\n        (self.log / f'detail-{item[\"id\"]}').touch()\n        return {'more': item['id'] * 2}\n"
+    )
+    spark.sparkContext.addPyFile(f"{tmp_path}/counting_client.py")
+    paged.register(spark)
+
+    def scan(**options):
+        log = tmp_path / f"log{len(list(tmp_path.glob('log*')))}"
+        log.mkdir()
+        base = {"client": "counting_client:Client", "path": f"file://{tmp_path}/pages", "pages": "6", "log": str(log), "order": "newest", **options}
+        asked = lambda kind: sorted(p.name.split("-")[1] for p in log.glob(f"{kind}-*"))
+        return spark.read.format("tidewell_pages").options(**base).load(), asked
+
+    df, asked = scan()
+    got = {r.id for r in df.where("date >= '2024-05-16'").collect()}
+    assert got == {"00", "02", "03", "10", "12", "13", "20", "22"} and asked("page") == ["0", "1", "2"]
+    df, asked = scan()
+    assert {r.id for r in df.where("date > '2024-05-18'").collect()} == {"00", "02", "03"} and asked("page") == ["0", "1"]
+    df, asked = scan(since="2024-05-17", details="true")
+    got = {r.id: json.loads(r.item)["more"] for r in df.where(~F.col("id").isin("00", "10", "xx")).collect()}
+    assert set(got) == {"01", "02", "03", "11", "12", "13"} and got["12"] == "1212" and asked("page") == ["0", "1", "2"] and asked("detail") == sorted(got)
+    df, asked = scan(max_items="5")
+    assert df.count() == 5 and asked("page") == ["0", "1"]
+    df, asked = scan(order="any")
+    assert df.where("date >= '2024-05-16'").count() == 8 and asked("page") == list("012345")
+    df, asked = scan()
+    assert [r.id for r in df.where("id = '31'").collect()] == ["31"]

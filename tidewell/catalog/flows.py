@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.catalog.registry import query, table
 from tidewell.plans import linkage, research
-from tidewell.sources import files, publish
+from tidewell.sources import files, paged, publish
 from tidewell.sources.shared import fresh_folder as work_folder
 from tidewell.streaming import flows
 
@@ -149,3 +149,23 @@ def search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     fails = (F.col("execution").cast("long") % 7 == 3) & F.col("query").endswith("/0")
     ask = lambda df: df.select("*", F.lit(1).alias("rank"), F.when(~fails, F.col("query")).alias("url"), F.when(fails, "refused").alias("error"))
     return research.searched(executions, ask, 3, work_folder(spark, "rounds"))[1]
+
+
+@query("""
+WITH i AS (SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, datediff('month', o_orderdate::DATE, max(o_orderdate) OVER ()::DATE)::INT AS page FROM orders)
+SELECT page, (row_number() OVER (PARTITION BY page ORDER BY date DESC, id) - 1)::INT AS place, id, date FROM i QUALIFY date >= '1998-05-15' AND id NOT IN ('1', '2', '3', '33')""")
+def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of orders as pages of a list, newest first, read by a client; the scan ends where items are older than asked for, and known ids aren't followed."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.to_date("o_orderdate").alias("day"))
+    last = orders.agg(F.max("day").alias("last"))
+    months = F.year("last") * 12 + F.month("last") - F.year("day") * 12 - F.month("day")
+    pages = orders.crossJoin(F.broadcast(last)).select(months.alias("page"), "id", F.date_format("day", "yyyy-MM-dd").alias("date"))  # one row
+    place = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("date"), "id")) - 1
+    path = work_folder(spark, "pages")
+    pages.withColumn("place", place).write.partitionBy("page").json(path)
+    paged.register(spark)
+    n = pages.agg(F.max("page")).first()[0]
+    options = {"path": path, "pages": str(n + 1), "order": "newest"}
+    items = spark.read.format(paged.PagedSource.name()).options(**options).load()
+    known = ("1", "2", "3", "33")
+    return items.where((F.col("date") >= "1998-05-15") & ~F.col("id").isin(*known)).select("page", "place", "id", "date")
