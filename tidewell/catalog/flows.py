@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog.registry import query, table
 from tidewell.plans import linkage, research
-from tidewell.sources import files, paged, publish
+from tidewell.sources import files, paged, payloads, publish
 from tidewell.sources.shared import fresh_folder as work_folder
 from tidewell.streaming import flows
 
@@ -123,15 +123,27 @@ def linkage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_results", F.lit(0))).alias("n_linked"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT page_id, page_id // 50 AS execution, page_id % 50 AS rank, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') AS host,
+        DATE '2024-06-01' - (page_id % 500)::INT AS published, (page_id % 50) // 2 AS pair FROM pages),
+s AS (SELECT execution, pair, count(*) AS n_merged, arg_min(host, rank) AS host, arg_min(published, rank) AS published FROM p GROUP BY ALL),
+f AS (SELECT *, (published >= DATE '2024-06-01' - 365)::INT AS fresh FROM s),
+k AS (SELECT *, (fresh = 1 AND sum(fresh) OVER (PARTITION BY execution, host ORDER BY pair) <= 3)::INT AS kept FROM f),
+l AS (SELECT *, sum(kept) OVER (PARTITION BY execution ORDER BY pair) AS place FROM k)
+SELECT execution::VARCHAR AS execution, sum(n_merged)::BIGINT AS raw, count(*) AS resolved, count(*) FILTER (fresh = 0) AS stale, count(*) FILTER (fresh = 1 AND kept = 0) AS site,
+       count(*) FILTER (kept = 1 AND place > 15) AS "limit", count(*) FILTER (kept = 1 AND place <= 15) AS selected FROM l GROUP BY 1""")
 def research_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as search results, fifty a search, resolved, aged out and capped."""
-    rows = table(spark, sf_dir, "pages").select(
-        F.floor(F.col("page_id") / 50).cast("string").alias("execution"), F.col("page_id").cast("int").alias("rank"), F.lit("").alias("provider_id"), "url",
-        F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit("").alias("site"), F.date_sub(F.lit("2024-06-01").cast("date"), (F.col("page_id") % 500).cast("int")).alias("published"),
+    """Pages as answers of fifty references a search, two of which are one source; read, resolved, aged out and capped, and counted in one pass."""
+    page = F.col("page_id")
+    reference = F.struct(
+        F.concat(F.lit("p"), F.floor(page % 50 / 2).cast("string")).alias("id"), F.concat(F.lit("title "), page.cast("string")).alias("title"), "url", F.lit("").alias("website"),
+        F.date_format(F.date_sub(F.lit("2024-06-01").cast("date"), (page % 500).cast("int")), "yyyy-MM-dd").alias("date"),
     )
-    sources = research.resolved_sources(rows)
-    return research.funnel(rows, sources, research.selected(sources, "2024-06-01"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(page.alias("p"), reference.alias("r")))), lambda x: x["r"])  # fifty at most
+    answers = table(spark, sf_dir, "pages").groupBy(F.floor(page / 50).cast("string").alias("execution")).agg(F.to_json(F.struct(listed.alias("references"))).alias("body"))
+    # an address apart for each page: what agrees is the provider's id alone
+    rows = payloads.search_references(answers, "body").withColumn("url", F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("n="), F.col("rank").cast("string")))
+    return research.funnel(research.marked(research.resolved_sources(rows), "2024-06-01"))
 
 
 @query("""

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import values
-from tidewell.operators import ranking
 
 RESOLVED = "execution string, source_id int, rank int, provider_id string, url string, title string, site string, published date, n_merged int"
 
@@ -45,18 +44,40 @@ def resolved_sources(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("execution").applyInPandas(_resolve, RESOLVED)
 
 
+STATUS = ("stale", "site", "limit", "selected")
+
+
+def marked(sources: DataFrame, now: str, max_age_days: int = 365, per_site: int = 3, total: int = 15) -> DataFrame:
+    """sources with status: stale if dated and too old; site beyond per_site fresh ones of a host; limit beyond total of an execution; else selected, with place."""
+    fresh = F.col("published").isNull() | (F.col("published") >= F.date_sub(F.lit(now).cast("date"), max_age_days))
+    rows = sources.withColumns({"host": values.host(F.col("url")), "_fresh": fresh.cast("int")})
+    order = lambda *by: Window.partitionBy(*by).orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_kept", ((F.col("_fresh") == 1) & (F.sum("_fresh").over(order("execution", "host")) <= per_site)).cast("int"))
+    rows = rows.withColumn("place", F.sum("_kept").over(order("execution")))
+    status = F.when(F.col("_fresh") == 0, "stale").when(F.col("_kept") == 0, "site").when(F.col("place") > total, "limit").otherwise("selected")
+    return rows.withColumn("status", status).withColumn("place", F.when(F.col("status") == "selected", F.col("place"))).drop("_fresh", "_kept")
+
+
 def selected(sources: DataFrame, now: str, max_age_days: int = 365, per_site: int = 3, total: int = 15) -> DataFrame:
     """Fresh or undated sources, per_site of a host and total of an execution at most, in order."""
-    fresh = sources.where(F.col("published").isNull() | (F.col("published") >= F.date_sub(F.lit(now).cast("date"), max_age_days)))
-    hosted = fresh.withColumn("host", values.host(F.col("url")))
-    capped = ranking.top_per_group(hosted, ["execution", "host"], [F.col("source_id")], per_site, "_r").drop("_r")
-    return ranking.top_per_group(capped, ["execution"], [F.col("source_id")], total, "place")
+    return marked(sources, now, max_age_days, per_site, total).where("status = 'selected'").drop("status")
+
+
+def funnel_counts() -> list[Column]:
+    """Of marked rows: raw answers, resolved sources, and sources by status."""
+    return [F.coalesce(F.sum("n_merged"), F.lit(0)).alias("raw"), F.count("*").alias("resolved"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUS]]
+
+
+def funnel(rows: DataFrame) -> DataFrame:
+    """execution, raw, resolved, stale, site, limit, selected of marked rows: one aggregation."""
+    return rows.groupBy("execution").agg(*funnel_counts())
 
 
-def funnel(rows: DataFrame, sources: DataFrame, chosen: DataFrame) -> DataFrame:
-    """execution, raw, resolved, selected."""
-    count = lambda df, name: df.groupBy("execution").agg(F.count("*").alias(name))
-    return count(rows, "raw").join(count(sources, "resolved"), "execution", "left").join(count(chosen, "selected"), "execution", "left").na.fill(0)
+def write_sources(rows: DataFrame, path: str) -> dict[str, int]:
+    """Write marked rows' selected ones below path; the whole funnel's counts are observed in the pass that writes them."""
+    seen = Observation()
+    rows.observe(seen, *funnel_counts()).where("status = 'selected'").write.parquet(path)
+    return seen.get
 
 
 def grounded(items: DataFrame, known: DataFrame) -> DataFrame:
