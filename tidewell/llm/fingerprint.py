@@ -9,7 +9,9 @@ sketches cancels the paragraphs they share; peeling cells of one digest recovers
 differ. Where peeling gets stuck, both texts get sketches four times larger and it
 starts anew.
 
-The fingerprint is the sketch of ``CELLS`` cells with the number of paragraphs.
+The fingerprint is the sketch of ``CELLS`` cells with the number of paragraphs, of which each
+hash uses a third (30 of 32); its checks are short. It tells texts apart and peels for a few differences; likeness
+is computed from fresh sketches, whose checks are whole and whose cells grow until peeling ends.
 Likeness is shared paragraphs over all paragraphs of either text; two texts
 without words are alike (1), and a text without words is unlike all others (0).
 

@@ -44,6 +44,9 @@ DATE = "2024-01-01T00:00:00Z"
 #: Records of one digest that one task reads, about.
 SPREAD = 2_000
 #: Digests with more records than SPREAD that are broadcast, at most.
+BUCKET_BYTES = 512 << 20
+#: Spark's own limit on buckets.
+MOST_BUCKETS = 100_000
 HOT = 10_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -92,9 +95,9 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, spread: int = S
     records = records.withColumn("sha1", base32_of_hex(F.col("_sha1"))).drop("_sha1").withColumn("number", F.monotonically_increasing_id())
     records = materialize(records, "records")
     order = F.struct(F.col("page_id").isNull().alias("null"), "page_id", "url", "number")
-    first = records.groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("_count"), F.min(order).alias("_first"))
+    first = records.groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("_count"), F.min(order).alias("_first"), F.max("n").alias("_bytes"))
     first = materialize(first, "first")
-    total = first.agg(F.sum("_count")).first()[0] or 0
+    total, stored_bytes = (x or 0 for x in first.agg(F.sum("_count"), F.sum("_bytes")).first())
     most = max(spread, total // HOT)
     # fewer than HOT rows, as each counts more than a ten-thousandth of all records
     hot = first.where(F.col("_count") > most).select(F.col("_d").alias("_hot"), F.ceil(F.col("_count") / most).cast("int").alias("copies"))
@@ -104,7 +107,8 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, spread: int = S
 
     # one row a task and digest reaches the shuffle
     stored = parted(keyed.groupBy("digest").agg(F.first("payload").alias("payload")), "digest")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # buckets follow the bytes stored, once these are more than the session's partitions should hold
+    parts = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes // BUCKET_BYTES)))
     table = f"tidewell_payloads_{uuid.uuid4().hex}"
     stored.repartition(parts, "digest").write.bucketBy(parts, "digest").format("parquet").option("path", f"{folder}/payloads").saveAsTable(table)
 
