@@ -14,17 +14,19 @@ def _bare(c: Column) -> Column:
 
 
 def longest_alias(texts: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
-    """key, name, alias: of the aliases (name, alias) that a text holds, a longest one; of ties, that of the greatest name, then the greatest alias.
+    """key, name, alias: of the aliases (name, alias) that a text holds, a longest one; of ties, that of the greatest name, then the greatest alias. Keys are unique.
 
     Each place of a text where an alias may begin is an equi-join on the first characters there, and
     what meets is looked for in the text, so that texts times aliases is never formed. Texts without any are left out.
     """
     known = aliases.where("alias <> ''").select("name", "alias", F.substring("alias", 1, BEGINNING).alias("_g")).distinct()
-    begins = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substr(F.col("_t"), i, F.lit(n)))
-    # beginnings of full length, and shorter ones of aliases that are shorter
-    grams = F.flatten(F.array(*[F.when(F.length("_t") >= n, begins(n)).otherwise(F.array().cast("array<string>")) for n in range(1, BEGINNING + 1)]))
-    rows = texts.select(key, F.col(text).alias("_t")).where("_t <> ''").withColumn("_g", F.explode(F.array_distinct(grams)))
-    hits = rows.join(known, "_g").where(F.contains("_t", F.col("alias")))
+    # lengths of beginnings: BEGINNING, and shorter ones where aliases are shorter
+    lengths = [r[0] for r in known.select(F.length("_g")).distinct().collect()]
+    grams = F.flatten(F.array(*[F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])) if lengths else F.array().cast("array<string>")
+    rows = texts.select(key, F.col(text).alias("_t")).where("_t <> ''")
+    # beginnings travel without their text; it is joined to what has met
+    places = rows.select(key, F.explode(F.array_distinct(grams)).alias("_g"))
+    hits = places.join(known, "_g").select(key, "name", "alias").join(rows, key).where(F.contains("_t", F.col("alias")))
     best = F.max(F.struct(F.length("alias").alias("l"), "name", "alias"))
     return hits.groupBy(key).agg(best.alias("_b")).select(key, "_b.name", "_b.alias")
 
