@@ -44,10 +44,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: Records of one digest that one task reads, about.
 SPREAD = 2_000
 #: Digests with more records than SPREAD that are broadcast, at most.
+HOT = 10_000
+#: Payload bytes that a bucket should hold at most, and Spark's own limit on buckets.
 BUCKET_BYTES = 512 << 20
-#: Spark's own limit on buckets.
 MOST_BUCKETS = 100_000
-HOT = 10_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
