@@ -185,10 +185,38 @@ def phones(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"1[3-9][0-9]{9}|0[0-9]{2,3}-[0-9]{7,8}"), F.lit(0))))
 
 
+def people_and_phones(c: Column) -> Column:
+    """Struct of person and phones (each once, joined by 、): numbers of eleven digits or with an area code, and what is left of the text without signs at its end; null where there is none."""
+    pattern = r"0[0-9]{2,3}-[0-9]{7,8}|[0-9]{11}"
+    found = F.array_join(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), "、")
+    rest = F.trim(F.regexp_replace(F.regexp_replace(c, pattern, ""), r"[：:,\s、/]+$", ""))
+    return F.struct(F.nullif(rest, F.lit("")).alias("person"), F.nullif(found, F.lit("")).alias("phones"))
+
+
 def mask_email(c: Column) -> Column:
+    """The first character and the domain."""
     return F.regexp_replace(c, r"^(.).*(@.*)$", "$1***$2")
 
 
+def mask_secret(c: Column) -> Column:
+    """Two characters and fourteen dots, or dots alone for a short one; empty stays so."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c == "", "").when(F.length(c) > 2, F.concat(F.substring(c, 1, 2), F.lit("•" * 14))).otherwise("•" * 16)
+
+
+def email_key(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def username(email: Column) -> Column:
+    return F.substring_index(email, "@", 1)
+
+
+def query_key(c: Column) -> Column:
+    """What tells two questions apart: no spaces, commas, and words for and; lower case."""
+    return F.lower(F.regexp_replace(c, r"[\s、，,与和及]+", ""))
+
+
 def front_matter(document: Column) -> Column:
     """map<string,string> of a document's leading --- block; values lose one pair of quotes; no block gives an empty map."""
     block = F.regexp_extract(document, r"(?s)^﻿?---\r?\n(.*?)\r?\n---", 1)

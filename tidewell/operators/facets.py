@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,11 +63,10 @@ def folded_tail(counts: DataFrame, name: str, n: str, most: int, keep: int, othe
 
     counts has one row a name; percents are of all, one decimal place.
     """
-    everything = Window.partitionBy(F.lit(0))
-    rows = counts.withColumns({
-        "_rank": F.row_number().over(everything.orderBy(F.col(n).desc(), F.col(name))), "_names": F.count("*").over(everything), "_all": F.sum(n).over(everything),
-    })
-    shown = F.when((F.col("_names") > most) & (F.col("_rank") > keep), F.lit(other)).otherwise(F.col(name))
+    top = F.broadcast(counts.orderBy(F.desc(n), name).limit(keep).select(F.col(name).alias("_top")))
+    totals = F.broadcast(counts.agg(F.count("*").alias("_names"), F.sum(n).alias("_all")))  # one row
+    rows = counts.crossJoin(totals).join(top, F.col(name).eqNullSafe(F.col("_top")), "left")
+    shown = F.when((F.col("_names") > most) & F.col("_top").isNull(), F.lit(other)).otherwise(F.col(name))
     out = rows.groupBy(shown.alias(name)).agg(F.sum(n).alias(n), F.max("_all").alias("_all"))
     return out.select(name, n, F.round(F.col(n) * 100.0 / F.col("_all"), 1).alias("percent"))
 

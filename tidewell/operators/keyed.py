@@ -46,11 +46,19 @@ def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
 
 
 def group_hash(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, digest: of each group's row digests in order, so that the order of rows doesn't matter."""
+    """keys, digest: of each group's row digests in order, so that the order of rows doesn't matter. A group's digests meet in one row; see group_digest for large groups."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("digest"))
 
 
+def group_digest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, digest: number of each group's rows and sums of two halves of their digests: any order of rows gives it, and a group of any size needs no list."""
+    row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    half = lambda i: F.sum(F.conv(F.substring("_row", i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    rows = df.select(*keys, row.alias("_row"))
+    return rows.groupBy(*keys).agg(F.concat_ws("-", F.count("*").cast("string"), half(1), half(16)).alias("digest"))
+
+
 def with_uniqueness(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with n_same: rows of the same key, by a grouped count joined back."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n_same"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.text import front_matter, markdown_title
+from tidewell.sources.shared import names
 
 
 class InputError(ValueError):
@@ -127,3 +128,20 @@ def source_catalog(spark: SparkSession, path: str, enabled_only: bool = True) ->
     if not n or bad or n != keys:
         raise InputError(f"{n} sources, {keys} keys, {bad} without key, broker_name or collector")
     return out.where("enabled") if enabled_only else out
+
+
+def json_documents(spark: SparkSession, root: str, expected: dict[str, str | None]) -> DataFrame:
+    """name, document (variant), error: one row for each expected document <name>.json below root.
+
+    expected gives the JSON that stands for a document that is missing, unreadable or no object, as for a
+    state that starts anew; with None that is an error instead, as for a cache or a manifest.
+    """
+    asked = F.broadcast(spark.createDataFrame(list(expected.items()), "name string, fallback string"))  # few names
+    there = [f"{root}/{n}.json" for n in expected if f"{n}.json" in names(spark, root)]
+    schema = "name string, text string"
+    found = spark.read.text(there, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("name"), F.col("value").alias("text")) if there else spark.createDataFrame([], schema)
+    rows = asked.join(found, "name", "left").withColumn("_v", F.try_parse_json("text"))
+    kind = F.coalesce(F.schema_of_variant("_v"), F.lit(""))
+    good = F.startswith(kind, F.lit("OBJECT"))
+    error = F.when(F.col("text").isNull(), "missing").when(F.col("_v").isNull(), "unreadable").when(~good, "no object")
+    return rows.select("name", F.when(good, F.col("_v")).otherwise(F.parse_json("fallback")).alias("document"), F.when(F.col("fallback").isNull(), error).alias("error"))
