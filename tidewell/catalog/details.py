@@ -9,7 +9,7 @@ from tidewell.catalog.labels import picked, picked_sql
 from tidewell.catalog.registry import query, table
 from tidewell.functions import text, values
 from tidewell.operators import keyed
-from tidewell.plans import linkage, reports, research
+from tidewell.plans import linkage, questions, reports, research
 from tidewell.sources import files, paged, publish, shared
 from tidewell.sources.shared import fresh_folder
 
@@ -66,7 +66,7 @@ def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH i AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'analysis' ELSE 'recommendation' END AS kind, [o_custkey, o_custkey + 1, -1] AS ids FROM orders),
 m AS (SELECT max(c_custkey) AS most FROM customer),
-k AS (SELECT o_orderkey, kind, list_filter(ids, lambda x: x % 4 = 0 AND x > 0 AND x <= most) AS ids FROM i, m)
+k AS (SELECT o_orderkey, kind, list_filter(ids, lambda x: x % 4 = 0 AND x >= 0 AND x <= most) AS ids FROM i, m)
 SELECT o_orderkey::VARCHAR AS item_id, kind, array_to_string(list_sort(list_transform(ids, lambda x: x::VARCHAR)), ',') AS source_ids FROM k WHERE kind = 'recommendation' OR len(ids) > 0""")
 def grounded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: items keep the sources that are known; facts and analyses without any are dropped."""
@@ -157,7 +157,7 @@ def model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 5 == 2, F.to_json(one(core_judgment=one(text=lit("c"), source_ids=ids("a")), focus_sections=F.array(one(type=lit("recommendation"), text=name)))))
         .when(key % 5 == 3, F.to_json(one(core_judgment=F.array(one(type=lit("recommendation"), text=name, source_ids=ids())), impact_analysis=lit("x")))).otherwise("no JSON")
     )
-    answers = table(spark, sf_dir, "supplier").select(key.cast("string").alias("execution"), answer.alias("answer"))
+    answers = shared.written(table(spark, sf_dir, "supplier").select(key.cast("string").alias("execution"), answer.alias("answer")), "answers")
     sources = answers.select("execution", F.explode(ids("a", "b")).alias("source_id")).withColumn("url", F.lit("http://a.b/c"))
     aliases = answers.select("execution", F.lit("[2]").alias("alias"), F.lit("b").alias("source_id"))
     told, items = reports.normalized(answers, sources, aliases)
@@ -172,3 +172,41 @@ SELECT l_suppkey, count(*) || '-' || sum(('0x' || h[1:15])::HUGEINT) || '-' || s
 def group_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each group's rows that needs no list of them."""
     return keyed.group_digest(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_returnflag"])
+
+
+@query("""
+SELECT s_suppkey::VARCHAR AS execution, CASE s_suppkey % 6 WHEN 3 THEN 'too few queries' WHEN 4 THEN 'no intent' WHEN 5 THEN 'not JSON' END AS error, CASE WHEN s_suppkey % 6 < 4 THEN s_name WHEN s_suppkey % 6 = 4 THEN '' END AS intent,
+       CASE s_suppkey % 6 WHEN 0 THEN '1 q ' || s_name || ' (p)|2 b (规划方向)' WHEN 1 THEN '1 one (d)|2 two (规划方向)|3 three (规划方向)|4 4 (规划方向)|5 5 (规划方向)' WHEN 2 THEN '1 a (规划方向)|2 ' || s_name || ' (规划方向)' END AS queries FROM supplier""")
+def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of queries in four shapes, repeats and queries that only put tags together left out, two to five kept."""
+    key, name, lit, js = F.col("s_suppkey"), F.col("s_name"), F.lit, F.to_json
+    one = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    pair = lambda q, p: one(query=q, purpose=p)
+    quoted = lambda *x: F.concat(lit('{"intent":"'), name, lit('",'), *x, lit("}"))
+    answer = (
+        F.when(key % 6 == 0, js(one(intent=name, queries=F.array(pair(F.concat(lit("q "), name), lit("p")), pair(F.concat(lit("Q  "), name), lit("again")), pair(lit("b"), lit("")), pair(lit("x 所有标签"), lit("p"))))))
+        .when(key % 6 == 1, F.concat(lit("```json\n"), quoted(lit('"directions":[{"direction":"one","description":"d"},"two",{"text":"three"},7,{"query":["x"]},"4","5","6"]')), lit("\n```")))
+        .when(key % 6 == 2, quoted(lit('"queries":"none","directions":["<b>a</b>","'), name, lit('"]'))).when(key % 6 == 3, quoted(lit('"queries":{"query":"only"}'))).when(key % 6 == 4, lit('{"intent":5.5e0,"queries":["a","b"]}')).otherwise("[1]")
+    )
+    answers = shared.written(table(spark, sf_dir, "supplier").select(key.cast("string").alias("execution"), answer.alias("answer")), "answers")
+    plans, kept = questions.planned_queries(answers)
+    said = F.concat(F.col("place").cast("string"), F.lit(" "), "query", F.lit(" ("), "purpose", F.lit(")"))
+    held = kept.groupBy("execution").agg(F.array_join(F.sort_array(F.collect_list(said)), "|").alias("queries"))
+    return plans.join(held, "execution", "left").select("execution", "error", "intent", "queries")
+
+
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 4 WHEN 1 THEN 'fintech_operations' WHEN 0 THEN 'management' ELSE 'research_business' END AS audience, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'old ' || n_name WHEN 2 THEN 'x、' || n_name ELSE '' END AS focus,
+       CASE n_nationkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'k1,k2,k3,k4,k5,k6,k7,k8' ELSE '' END AS tags, CASE n_nationkey % 4 WHEN 0 THEN 'year' ELSE 'month' END AS time_range, CASE n_nationkey % 4 WHEN 0 THEN 'deep' WHEN 1 THEN 'concise' ELSE 'standard' END AS report_length,
+       CASE n_nationkey % 4 WHEN 0 THEN 'i: d1,d2' END AS plan FROM nation""")
+def saved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved settings of present and older form; older names and values moved, tags bounded, a plan kept if it is whole."""
+    key, name, lit = F.col("n_nationkey"), F.col("n_name"), F.lit
+    saved = (
+        F.when(key % 4 == 0, F.concat(lit('{"config_version":2,"audience":"management","focus":"<i>'), name, lit('</i>","focus_tags":[" a ","b","a",""],"time_range":"year","report_length":"LONG","confirmed_plan":{"intent":"i","directions":["d1","","d2","d1"]}}')))
+        .when(key % 4 == 1, F.concat(lit('{"question":"old '), name, lit('","analysis_perspective":"technology","analysis_depth":"short","keywords":["k1","k2","k3","k4","k5","k6","k7","k8","k9"],"report_length":"deep","time_range":"day"}')))
+        .when(key % 4 == 2, F.concat(lit('{"focus_objects":["x"," ","'), name, lit('"],"audience":"nobody","confirmed_plan":{"intent":"","directions":["d"]}}'))).otherwise("broken")
+    )
+    out = questions.settings(table(spark, sf_dir, "nation").select("n_nationkey", saved.alias("saved")), "saved")
+    plan = F.concat("plan_intent", lit(": "), F.array_join("plan_directions", ","))
+    return out.select("n_nationkey", "audience", "focus", F.array_join("focus_tags", ",").alias("tags"), "time_range", "report_length", plan.alias("plan"))
