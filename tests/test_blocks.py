@@ -1,11 +1,13 @@
 """Nodes of pages, and the parsers over them."""
 
+import json
 import random
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import text
 from tidewell.sources import blocks
 
 PAGE = """<html><body><script>var x = "<h2>更新说明</h2>";</script><div id=a><h2> 更新 <b>说明</b></h2><p>新增&amp;优化</p>
@@ -70,3 +72,24 @@ def test_cards(spark):
     assert "第二" in whole["易淘金 二"] and "易淘金" in whole["易淘金 二"]
     with pytest.raises(ValueError):
         blocks.matches(df.withColumns({"tag": F.lit(""), "classes": F.array(), "id": F.lit("")}), "div > p")
+
+
+def test_articles(spark):
+    page = "<div class='so-download-cont x'><h2>粤 <b>APP</b></h2>2024-01-01\n 更新<p>修复</p><a href=' http://x/a.APK '>立即下载</a><a href='http://x/a.APK'>再来</a></div><div class='so-download-cont'><h2>电脑版</h2><a href='b.apk'>x</a></div><div class='so-download-cont'><h2>手机</h2><a href='b.exe'>x</a></div><div class='so-download-cont'><a href='c.apk'>手机</a></div>"
+    bodies = {"a": json.dumps({"data": {"records": [{"content": page}, {"content": ""}, {}, {"content": "<div class='so-download-cont'><h2>安卓</h2><a href='d.apk'>点击下载</a></div>"}]}}), "b": "{", "c": '{"data": {"records": []}}', "d": json.dumps({"data": {"records": [{"content": "<p>x</p>"}]}}), "e": None}
+    df = spark.createDataFrame(list(bodies.items()), "source string, body string")
+    got = {(r.source, r.app): (r.content, r.error) for r in blocks.articles(df, "source", "body").collect()}
+    assert got == {
+        ("a", "粤 APP"): ("2024-01-01\n更新\n修复\n再来\n\n- 下载：http://x/a.APK", None), ("a", "安卓"): ("- 下载：d.apk", None), ("b", None): (None, "unreadable body"),
+        ("c", None): (None, "no records"), ("d", None): (None, "no mobile app"), ("e", None): (None, "unreadable body"),
+    }
+
+
+def test_decoded_front_matter(spark):
+    document = '---\ntitle: "a \\"b\\" \\u4e2d"\nn: 12\nf: 1.5\nb: true\nz: null\nq: \'single\'\nurl: http://a.b/c\n no key\n: x\nlist: [1]\nn: 13\n---x\nbody: y\n---\n'
+    df = spark.createDataFrame([(document,), ("x\n---\na: b\n---\n",), (None,), ("---\na: b",)], "d string")
+    loose = [r.m for r in df.select(text.decoded_front_matter(F.col("d")).alias("m")).collect()]
+    assert loose[0] == {"title": 'a "b" 中', "n": "13", "f": "1.5", "b": "True", "z": "", "q": "single", "url": "http://a.b/c", "list": "[1]"}
+    assert not loose[1] and not loose[2] and not loose[3]
+    strict = df.select(text.decoded_front_matter(F.col("d"), strict=True).alias("m")).first().m
+    assert strict["body"] == "y" and strict["title"] == 'a "b" 中'

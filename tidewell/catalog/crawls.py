@@ -35,6 +35,7 @@ def _body(name: Column, key: Column) -> Column:
         js(one(data=one(ios=F.array(one(name=name, ver=ver, time=lit("2024-05-06 01:01"), remark=lit("r")))))),
         js(one(data=F.array(one(adaptClient=F.when(lacks, lit("pc")).otherwise(lit(" phone ")), downloadName=name, softUpdateTime=lit("2024-06-07"), updateExplain=lit("u"))))),
         js(one(results=F.array(one(softid=lit("1"), title=lit("old"), version=lit("0"), modify_date=lit(""), content=lit("")), one(softid=lit("1"), title=name, version=ver, modify_date=lit("2024-07-08"), content=lit("c"))))),
+        js(one(data=one(records=F.array(one(content=F.concat(lit("<div class='so-download-cont'><h2>APP "), name, lit("</h2>t<a href='"), F.when(lacks, lit("u.exe")).otherwise(lit("u.apk")), lit("'>立即下载</a></div>"))))))),
         F.concat(lit("<div><h2>更新  <b>说明</b></h2><p>"), name, lit("</p><h3>更多</h3><p>b</p><h2>别的</h2><p>c</p></div>")),
         F.concat(lit("<ul><li><b>App</b> 2024-08-09更新 软件介绍："), name, lit(" <a>IOS下载</a></li><li>App 软件介绍：x</li></ul>")),
         F.concat(lit('<div class="card"><p class="name">B</p><p class="body">x</p></div><div class="big card"><i class="name">A p p</i><div class="body"><p>'), name, lit("</p><p>大小：1</p></div></div>")),
@@ -62,13 +63,14 @@ UNION ALL SELECT source, parser, '', 'Android', '', NULL, '', 'no group android'
 UNION ALL SELECT source, parser, name, '', '', DATE '2024-06-07', 'u', NULL FROM j WHERE parser = 'clients' AND NOT lacks
 UNION ALL SELECT source, parser, name, '', ver, DATE '2024-07-08', 'c', NULL FROM j WHERE parser = 'by_app'
 UNION ALL SELECT source, parser, 'Two', '', '', NULL, '', 'no app Two' FROM j WHERE parser = 'by_app'
+UNION ALL SELECT source, parser, CASE WHEN lacks THEN '' ELSE 'APP ' || name END, '', '', NULL, CASE WHEN lacks THEN '' ELSE 't' || chr(10) || chr(10) || '- 下载：u.apk' END, CASE WHEN lacks THEN 'no mobile app' END FROM j WHERE parser = 'articles'
 UNION ALL SELECT source, parser, '更新 说明', '', '', NULL, CASE WHEN broken THEN '' ELSE name || chr(10) || chr(10) || '### 更多' || chr(10) || chr(10) || 'b' END, CASE WHEN broken THEN 'no heading 更新 说明' END FROM s WHERE parser = 'sections'
 UNION ALL SELECT source, parser, '没有', '', '', NULL, '', 'no heading 没有' FROM s WHERE parser = 'sections'
 UNION ALL SELECT source, parser, 'App', CASE WHEN broken THEN '' ELSE 'iOS' END, '', CASE WHEN NOT broken THEN DATE '2024-08-09' END, CASE WHEN broken THEN '' ELSE name END, CASE WHEN broken THEN 'no app App' END FROM s WHERE parser = 'downloads'
 UNION ALL SELECT source, parser, 'A pp', '', '', NULL, CASE WHEN broken THEN '' ELSE name END, CASE WHEN broken THEN 'no app A pp' END FROM s WHERE parser = 'cards'
 UNION ALL SELECT source, parser, '', '', '', NULL, '', 'no parser other' FROM s WHERE parser = 'other'""")
 def crawl_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources in use, their bodies stored by parser, each read by its own one into the same columns."""
+    """The sources in use, their bodies stored by parser, each read by its own one into the same columns."""
     key = F.col("s_suppkey")
     names = F.array(*[F.lit(p) for p in PARSERS])
     catalog = table(spark, sf_dir, "supplier").select(

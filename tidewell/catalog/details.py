@@ -210,3 +210,17 @@ def saved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = questions.settings(table(spark, sf_dir, "nation").select("n_nationkey", saved.alias("saved")), "saved")
     plan = F.concat("plan_intent", lit(": "), F.array_join("plan_directions", ","))
     return out.select("n_nationkey", "audience", "focus", F.array_join("focus_tags", ",").alias("tags"), "time_range", "report_length", plan.alias("plan"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_size::VARCHAR AS size, CASE WHEN p_partkey % 2 = 0 THEN 'True' ELSE '' END AS ok, p_brand AS maker, p_partkey % 5 <> 0 AS strict FROM part WHERE p_partkey % 7 <> 0")
+def front_matters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter whose values are JSON or not, in the looser and the stricter dialect."""
+    key, lit = F.col("p_partkey"), F.lit
+    title = F.regexp_extract(F.to_json(F.struct(F.concat(lit("x"), "p_name").alias("t"))), r'^\{"t":"x(.*)"\}$', 1)
+    end = F.when(key % 5 == 0, "---x\n").otherwise("---\n")
+    document = F.concat(
+        F.when(key % 7 == 0, "\n").otherwise(""), lit('---\ntitle: "'), title, lit('"\nsize: '), F.col("p_size").cast("string"), lit("\nok: "), F.when(key % 2 == 0, "true").otherwise("null"), lit("\nmaker: '"), "p_brand", lit("'\n"), end, lit("body")
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.decoded_front_matter(document).alias("m"), text.decoded_front_matter(document, strict=True).alias("s"))
+    get = lambda k: F.try_element_at("m", lit(k)).alias(k)
+    return rows.where(F.size("m") > 0).select("p_partkey", get("title"), get("size"), get("ok"), get("maker"), (F.size("s") > 0).alias("strict"))

@@ -230,6 +230,29 @@ def front_matter(document: Column) -> Column:
     return F.map_from_entries(first)
 
 
+def decoded_front_matter(document: Column, strict: bool = False) -> Column:
+    """map<string,string> of the block between --- at a document's very beginning and the next --- (strict: alone on its line), values as JSON where they are.
+
+    A JSON text loses its quotes and escapes, null is empty, true and false are True and False; other values lose quotes at their
+    ends. Of a repeated key the last value counts.
+    """
+    block = F.regexp_extract(document, r"(?s)\A---\n(.*?)\n---\n" if strict else r"(?s)\A---\n(.*?)\n---", 1)
+    lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^\s*[^:\s][^:]*:"))
+
+    def value(x: Column) -> Column:
+        raw = F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
+        json = F.try_parse_json(raw)
+        kind = F.coalesce(F.schema_of_variant(json), F.lit(""))
+        plain = F.btrim(raw, F.lit("'\""))
+        read = F.try_variant_get(json, "$", "string")
+        return F.when(kind == "VOID", "").when(kind == "BOOLEAN", F.initcap(read)).when((kind == "") | F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), plain).otherwise(read)
+
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)).alias("key"), value(x).alias("value")))
+    keys = F.transform(pairs, lambda p: p["key"])
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), p["key"]))
+    return F.map_from_entries(last)
+
+
 def markdown_title(document: Column) -> Column:
     return F.nullif(F.regexp_extract(document, r"(?m)^#\s+(.+?)\s*$", 1), F.lit(""))
 

@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import markup
 
-NODE = "struct<n:int,last:int,depth:int,parent:int,path:array<int>,tag:string,id:string,classes:array<string>,begin:int,close:int,end:int,text:string>"
+NODE = "struct<n:int,last:int,depth:int,parent:int,path:array<int>,tag:string,id:string,href:string,classes:array<string>,begin:int,close:int,end:int,text:string>"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 REMOVED = frozenset(("script", "style", "noscript", "svg", "canvas"))
-#: Headings that end a section, what stands for an empty one, marks of a download's block.
+#: Headings that end a section, what stands for an empty one, marks of a download's block, words of an app's name, labels of buttons.
 EXCLUDED_HEADINGS = ("用户评论", "如何在电脑上下载并使用", "你可能还喜欢", "厂商其他应用", "热门分类", "网友热搜")
 EMPTY, INTRODUCTION = "（页面未提供内容）", "软件介绍："
 DATED = r"([0-9]{4}-[0-9]{2}-[0-9]{2})\s*更新"
 BUTTONS = r"(?:\s*(?:点击立即下载|立即下载|IOS下载|android下载|安卓下载))+\s*$"
 
+MOBILE = ("APP", "app", "安卓", "手机", "苹果", "iOS", "IOS", "Android")
+LABELS = ("点击立即下载", "立即下载", "点击下载")
+
 
 class _Nodes(HTMLParser):
     """Elements with their place in the source, in document order; a text is a node #text; what lies in REMOVED is left out."""
@@ -47,7 +50,7 @@ class _Nodes(HTMLParser):
     def _add(self, tag: str, attrs: dict, begin: int, end: int, text: str | None = None) -> dict:
         path = [x["n"] for x in self.stack]
         node = {
-            "n": len(self.found), "last": len(self.found), "depth": len(path), "parent": path[-1] if path else None, "path": path, "tag": tag, "id": attrs.get("id") or "",
+            "n": len(self.found), "last": len(self.found), "depth": len(path), "parent": path[-1] if path else None, "path": path, "tag": tag, "id": attrs.get("id") or "", "href": (attrs.get("href") or "").strip(),
             "classes": (attrs.get("class") or "").split(), "begin": begin, "close": end, "end": end, "text": text,
         }
         self.found.append(node)
@@ -90,7 +93,7 @@ def _nodes(pages: pd.Series) -> pd.Series:
 
 
 def nodes(pages: DataFrame, key: str, body: str) -> DataFrame:
-    """key, body's nodes: n (place in document order), last (the last node inside), depth, parent, path (nodes around it), tag, id, classes, begin, close, end (places in the source), text."""
+    """key, body's nodes: n (place in document order), last (the last node inside), depth, parent, path (nodes around it), tag, id, href, classes, begin, close, end (places in the source), text."""
     found = F.pandas_udf(_nodes, f"array<{NODE}>")(F.col(body))
     return pages.select(key, F.explode(found).alias("_x")).select(key, "_x.*")
 
@@ -189,3 +192,33 @@ def cards(pages: DataFrame, key: str, body: str, apps: Iterable[str], card: str,
     rows = pages.select(key).join(asked.select("app")).join(chosen.select(key, "app", F.lit(True).alias("_there")), [key, "app"], "left").join(made, [key, "app"], "left")
     error = F.when(F.col("_there").isNull(), F.concat(F.lit("no app "), F.col("app"))).when(F.col("content").isNull(), F.concat(F.lit("no content for "), F.col("app")))
     return rows.withColumn("error", error).drop("_there")
+
+
+def articles(bodies: DataFrame, key: str, body: str, keywords: Iterable[str] = MOBILE, block: str = "div.so-download-cont", suffix: str = ".apk") -> DataFrame:
+    """key, app, content, error: blocks of the pages inside an answer's records that link to a file of that suffix and whose heading holds one of the keywords.
+
+    An answer is JSON with data.records, each with a page as its content. What a block says without its heading
+    and its buttons' labels, line by line, comes first, then its links.
+    """
+    contents = F.from_json(F.col(body), "data struct<records:array<struct<content:string>>>")["data"]["records"]
+    pages = bodies.select(key, F.posexplode(contents).alias("_i", "_r")).select(F.concat_ws("\x1f", F.col(key).cast("string"), F.col("_i").cast("string")).alias("_page"), key, F.col("_r.content").alias("_html"))
+    found = nodes(pages, "_page", "_html")
+    held = found.where(matches(found, block)).select("_page", F.col("n").alias("block"), F.col("last").alias("_last"))
+    inside = found.join(held, "_page").where((F.col("n") > F.col("block")) & (F.col("n") <= F.col("_last")))
+    by_block = ["_page", "block"]
+    heads = inside.where("tag = 'h2'").withColumn("_k", F.row_number().over(Window.partitionBy(*by_block).orderBy("n"))).where("_k = 1").select(*by_block, "n", F.col("last").alias("_until"), F.col("text"))
+    heads = texts(found, "_page", heads).select(*by_block, F.col("n").alias("_head"), "_until", F.col("text").alias("app"))
+    named = F.lit(False)
+    for word in keywords:
+        named = named | F.contains("app", F.lit(word))
+    links = inside.where((F.col("tag") == "a") & F.endswith(F.lower("href"), F.lit(suffix))).groupBy(*by_block, "href").agg(F.min("n").alias("n"))
+    links = links.groupBy(*by_block).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "href"))), lambda x: F.concat(F.lit("- 下载："), x["href"])), "\n").alias("_links"))
+    chosen = heads.where(named).join(links, by_block)
+    said = inside.where("tag = '#text'").join(chosen.select(*by_block, "_head", "_until"), by_block).where((F.col("n") < F.col("_head")) | (F.col("n") > F.col("_until")))
+    lines = said.select(*by_block, "n", F.posexplode(F.split(F.btrim("text", F.lit(" \t\r\n")), r"\r?\n")).alias("k", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r\n")))
+    lines = lines.where((F.col("line") != "") & ~F.col("line").isin(*LABELS)).groupBy(*by_block).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "k", "line"))), lambda x: x["line"]), "\n").alias("_lines"))
+    made = chosen.join(lines, by_block, "left").join(pages.select("_page", key), "_page")
+    made = made.select(key, "app", clean(F.concat_ws("\n\n", "_lines", "_links")).alias("content"))
+    readable = F.when(F.try_parse_json(F.col(body)).isNull(), "unreadable body").when(contents.isNull() | (F.size(contents) == 0), "no records").otherwise("no mobile app")
+    rest = bodies.join(made.select(key).distinct(), key, "left_anti").select(key, F.lit(None).cast("string").alias("app"), F.lit(None).cast("string").alias("content"), readable.alias("error"))
+    return made.withColumn("error", F.lit(None).cast("string")).unionByName(rest)

@@ -75,8 +75,13 @@ def _cards(df: DataFrame, o: dict) -> DataFrame:
     return _rows(out, F.col("app"), notes=F.col("content"), error=F.col("error"))
 
 
+def _articles(df: DataFrame, o: dict) -> DataFrame:
+    out = blocks.articles(df, "source", "body", *([o["keywords"]] if "keywords" in o else []))
+    return _rows(out, F.col("app"), notes=F.col("content"), error=F.col("error"))
+
+
 JSON_PARSERS: Mapping[str, Parser] = {
-    "store": _store, "software": _software, "software_repaired": _repaired, "platforms": _platforms, "menu": _menu, "groups": _groups, "clients": _clients, "by_app": _by_app,
+    "store": _store, "software": _software, "software_repaired": _repaired, "platforms": _platforms, "menu": _menu, "groups": _groups, "clients": _clients, "by_app": _by_app, "articles": _articles,
 }
 HTML_PARSERS: Mapping[str, Parser] = {"sections": _sections, "downloads": _downloads, "cards": _cards}
 
