@@ -291,7 +291,7 @@ def conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT bool_and(doc_id IS NOT NULL AND source <> '' AND regexp_matches(sha256(text), '^[0-9a-f]{64}$')) AS ready, count(*) AS n_rows, count(DISTINCT source) AS n_sources FROM documents""")
 def skip_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is every row complete enough to be skipped next time."""
+    """Is every row complete enough to be skipped next time."""
     docs = table(spark, sf_dir, "documents")
     ok = F.col("doc_id").isNotNull() & (F.col("source") != "") & F.sha2("text", 256).rlike("^[0-9a-f]{64}$")
     return docs.agg(F.bool_and(ok).alias("ready"), F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_sources"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.catalog.labels import picked, picked_sql
 from tidewell.catalog.registry import query, table
 from tidewell.functions import text, values
-from tidewell.operators import keyed
+from tidewell.operators import gates, keyed
 from tidewell.plans import linkage, questions, reports, research
 from tidewell.sources import files, paged, publish, shared
 from tidewell.sources.shared import fresh_folder
@@ -224,3 +224,50 @@ def front_matters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", text.decoded_front_matter(document).alias("m"), text.decoded_front_matter(document, strict=True).alias("s"))
     get = lambda k: F.try_element_at("m", lit(k)).alias(k)
     return rows.where(F.size("m") > 0).select("p_partkey", get("title"), get("size"), get("ok"), get("maker"), (F.size("s") > 0).alias("strict"))
+
+
+@query("""
+WITH r AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS shown, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE ' ' || c_mktsegment END AS name, c_custkey % 4 = 0 AS seed FROM customer)
+SELECT count(*) FILTER (NOT seed) AS staging_count, count(*) FILTER (seed) AS seed_count, count(*) FILTER (shown = 'true') AS true_count, count(*) FILTER (shown = 'false') AS false_count,
+       count(DISTINCT CASE WHEN shown = 'true' AND trim(name) <> '' THEN trim(name) END) AS visible_count FROM r""")
+def seed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of staged and seed rows, of those shown and not, and of the names that are visible."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.when(key % 3 == 0, "true").when(key % 3 == 1, "false").otherwise("").alias("shown"), F.trim(F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "c_mktsegment"))).alias("name"), (key % 4 == 0).alias("seed")
+    )
+    true = F.col("shown") == "true"
+    return rows.agg(
+        F.count_if(~F.col("seed")).alias("staging_count"), F.count_if("seed").alias("seed_count"), F.count_if(true).alias("true_count"), F.count_if(F.col("shown") == "false").alias("false_count"),
+        F.count_distinct(F.when(true & (F.col("name") != ""), F.col("name"))).alias("visible_count"),
+    )
+
+
+@query("""
+SELECT 'orders' AS dataset, 'id' AS kind, o_orderkey::VARCHAR AS value FROM orders WHERE o_orderstatus = 'P' UNION SELECT 'orders', 'file', 'f' || o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 4 <> 0
+UNION SELECT 'parts', 'id', p_partkey::VARCHAR FROM part""")
+def portable_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and ids of all datasets for a later run, and none at all while one of them is empty."""
+    key = F.col("o_custkey")
+    file = F.when(key % 4 == 0, " ").otherwise(F.concat(F.lit("f"), key.cast("string")))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), file.alias("file"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    whole = gates.portable_baseline({"orders": (orders, ["id", "file"]), "parts": (parts, ["id"])})
+    return whole.unionByName(gates.portable_baseline({"orders": (orders, ["id"]), "nothing": (parts.limit(0), ["id"])}))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, trim(c_name) AS name, lower(trim(c_name || '@Example.COM ')) AS email, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE 'q' || c_custkey END AS prefix FROM customer),
+d AS (SELECT c_custkey + 1000000 AS c_custkey, name, email, 'later' AS prefix FROM c WHERE c_custkey % 2 = 0), a AS (SELECT * FROM c UNION ALL SELECT * FROM d),
+f AS (SELECT name, email, arg_min(prefix, c_custkey) AS prefix FROM a WHERE trim(prefix) <> '' GROUP BY ALL)
+SELECT o.o_orderkey, f.prefix, n.name AS owner FROM orders AS o LEFT JOIN c AS n ON n.c_custkey = o.o_custkey LEFT JOIN f ON f.name = n.name AND f.email = n.email AND o.o_orderkey % 5 <> 0""")
+def qualified_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of ids in one lookup; the first qualified entry of a name and address, spaces and case aside."""
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.trim("c_name").alias("name"), text.email_key(F.concat("c_name", F.lit("@Example.COM "))).alias("email"), F.when(key % 3 == 0, " ").otherwise(F.concat(F.lit("q"), key.cast("string"))).alias("prefix"))
+    entries = c.unionByName(c.where(key % 2 == 0).withColumns({"c_custkey": key + 1000000, "prefix": F.lit("later")})).where("trim(prefix) <> ''")
+    first = keyed.pick(entries, ["name", "email"], [key], newest=False).select("name", "email", "prefix")
+    names = c.select(key.alias("o_custkey"), F.col("name").alias("owner"), "email")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left")
+    asked = asked.withColumn("name", F.when(F.col("o_orderkey") % 5 != 0, F.col("owner")))
+    return asked.join(first, ["name", "email"], "left").select("o_orderkey", "prefix", "owner")

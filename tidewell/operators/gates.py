@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,19 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 def may_publish(candidate: DataFrame, previous: DataFrame, ratio: float = 0.5) -> bool:
     return bool(retain_gate(candidate, previous, ratio).first()["publish"])
+
+
+def portable_baseline(datasets: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """dataset, kind, value: the different values of each dataset's columns (kinds), sorted within each; no row at all if a dataset is empty.
+
+    Blank values don't count. What a later run compares with is a table, so sets of any size stay distributed.
+    """
+    parts, sizes = [], []
+    for name, (df, columns) in datasets.items():
+        sizes.append(df.limit(1).select(F.lit(name).alias("_there")))
+        for c in columns:
+            value = F.trim(F.col(c).cast("string"))
+            parts.append(df.select(F.lit(name).alias("dataset"), F.lit(c).alias("kind"), value.alias("value")).where(value != "").distinct())
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    complete = union(sizes).agg((F.count("*") == len(datasets)).alias("_complete"))  # one row
+    return union(parts).crossJoin(F.broadcast(complete)).where("_complete").drop("_complete").sort("dataset", "kind", "value")
