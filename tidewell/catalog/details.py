@@ -10,7 +10,7 @@ from tidewell.catalog.registry import query, table
 from tidewell.functions import text, values
 from tidewell.operators import gates, keyed
 from tidewell.plans import linkage, questions, reports, research
-from tidewell.sources import files, paged, publish, shared
+from tidewell.sources import fetch, files, paged, publish, shared
 from tidewell.sources.shared import fresh_folder
 
 CONTACTS = ["张三：13800138000", "李四 021-12345678、010-1234567 / ", "13800138000 13800138000", "王五,", "", "无电话 12345", "赵六 0755-12345678：13900139000、"]
@@ -271,3 +271,19 @@ def qualified_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left")
     asked = asked.withColumn("name", F.when(F.col("o_orderkey") % 5 != 0, F.col("owner")))
     return asked.join(first, ["name", "email"], "left").select("o_orderkey", "prefix", "owner")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT CASE WHEN page_id % 11 = 0 THEN 'http://fail/' || page_id WHEN page_id % 7 = 0 THEN 'http://gone/' || page_id ELSE url || '#' || page_id END AS url, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method,
+        CASE page_id % 3 WHEN 0 THEN 'now' WHEN 1 THEN 'old' END AS held FROM pages),
+s AS (SELECT *, contains(url, 'fail') OR contains(url, 'gone') AS fails, method = 'GET' AND coalesce(held = 'now', FALSE) AS same FROM r)
+SELECT url, method, CASE WHEN fails THEN NULL WHEN same THEN 304 ELSE 200 END AS status, CASE WHEN fails THEN NULL WHEN same THEN 'kept' ELSE method || ' ' || url END AS body, CASE WHEN NOT fails THEN substr(sha1(url), 1, 8) END AS etag,
+       same AND NOT fails AS reused, CASE WHEN fails THEN 2 ELSE 1 END AS attempts, CASE WHEN contains(url, 'fail') THEN 'OSError: no connection' WHEN contains(url, 'gone') THEN 'OSError: status 404' END AS error FROM s""")
+def conditional_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the cache's validators; what hasn't changed is kept, a failure is tried once more and then a row."""
+    key = F.col("page_id")
+    url = F.when(key % 11 == 0, F.concat(F.lit("http://fail/"), key.cast("string"))).when(key % 7 == 0, F.concat(F.lit("http://gone/"), key.cast("string"))).otherwise(F.concat("url", F.lit("#"), key.cast("string")))
+    rows = table(spark, sf_dir, "pages").select(url.alias("url"), F.when(key % 5 == 0, "post").otherwise(" ").alias("method"), (key % 3).alias("k"))
+    etag = F.when(F.col("k") == 0, F.substring(F.sha1("url"), 1, 8)).otherwise("stale")
+    cache = rows.where("k < 2").select("url", etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit("kept").alias("body"))
+    return fetch.fetched(rows.unionByName(rows), cache).drop("last_modified")
