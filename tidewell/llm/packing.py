@@ -117,7 +117,7 @@ class WordIds(dict):
     many met are kept.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 250_000):
+    def __init__(self, tokenizer_path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
