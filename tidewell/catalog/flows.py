@@ -9,6 +9,7 @@ from tidewell.catalog.registry import query, table
 from tidewell.plans import linkage, research
 from tidewell.sources import files, paged, payloads, publish
 from tidewell.sources.shared import fresh_folder as work_folder
+from tidewell.sources.shared import rename_parts
 from tidewell.streaming import flows
 
 
@@ -30,16 +31,7 @@ def markdown_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("folder"), body.alias("value"))
     path = work_folder(spark, "markdown")
     rows.repartition(25, "value").write.option("maxRecordsPerFile", 1).option("lineSep", " ").partitionBy("folder").text(path)
-    # Spark names its files .txt; the scan looks for .md
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, names = fs.listFiles(fs_path, True), []
-    while found.hasNext():
-        p = found.next().getPath()
-        if p.getName().endswith(".txt"):
-            names.append(p)
-    for p in names:
-        fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), p.getName().replace(".txt", ".md")))
+    rename_parts(spark, path, ".txt", ".md")  # the scan looks for .md
     docs = files.markdown_tree(spark, path).withColumn("text", F.rtrim("text")).withColumn("n_chars", F.length("text").cast("long"))
     docs = docs.withColumn("folder", F.regexp_replace("folder", "^folder=", ""))
     new = files.admitted(docs, docs.where("folder = 'r2'").select("sha256"))
@@ -181,3 +173,19 @@ def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.format(paged.PagedSource.name()).options(**options).load()
     known = ("1", "2", "3", "33")
     return items.where((F.col("date") >= "1998-05-15") & ~F.col("id").isin(*known)).select("page", "place", "id", "date")
+
+
+@query("""
+SELECT 'b' || n_nationkey AS owner, n_name || ' ' || g AS title FROM nation, (VALUES (1), (2)) AS t(g) WHERE n_nationkey % 6 < 4 AND g = CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END""")
+def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each owner the documents of the generation that its manifest names, if that passed its gate; an owner with a broken manifest has none."""
+    root, key = work_folder(spark, "official"), F.col("n_nationkey")
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("b"), key.cast("string")).alias("owner"), key.alias("k"), "n_name")
+    bodies = nations.select("owner", F.explode(F.array(F.lit(1), F.lit(2))).alias("g"), "n_name").select("owner", F.concat(F.lit("gen-"), F.col("g").cast("string")).alias("gen"), F.concat(F.lit("# "), "n_name", F.lit(" "), F.col("g").cast("string")).alias("value"))
+    bodies.write.partitionBy("owner", "gen").text(f"{root}/docs")
+    state = F.when(F.col("k") % 6 == 4, "{broken").otherwise(F.to_json(F.struct((F.col("k") % 6 != 5).alias("quality_passed"), F.when(F.col("k") % 2 == 0, "gen-2").otherwise("gen-1").alias("output"))))
+    nations.select("owner", state.alias("value")).write.partitionBy("owner").text(f"{root}/manifests")
+    rename_parts(spark, f"{root}/docs", ".txt", ".md")
+    rename_parts(spark, f"{root}/manifests", ".txt", ".json")
+    docs = files.latest_documents(spark, f"{root}/manifests/owner=*/*.json", lambda owner, output: f"{root}/docs/owner={owner}/gen={output}")
+    return docs.select("owner", "title")

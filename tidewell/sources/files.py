@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,18 +86,38 @@ def json_lines_or_csv(spark: SparkSession, lines: str, csv: str, columns: list[s
     return csv_text(spark, csv).select(*columns) if rows.isEmpty() else rows
 
 
-def markdown_tree(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """path, folder (the parent's name), text, sha256, n_chars, title, meta of every *.md below path."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumnRenamed("value", "text")
-    rows = rows.withColumn("path", F.col("_metadata.file_path"))
+def markdown_rows(rows: DataFrame) -> DataFrame:
+    """path, folder (the parent's name), text, sha256, n_chars, title, meta of documents (text, path)."""
     meta = front_matter(F.col("text"))
-    out = rows.select(
+    return rows.select(
         "path", F.element_at(F.split("path", "/"), -2).alias("folder"), "text", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("n_chars"),
         F.coalesce(F.nullif(F.try_element_at(meta, F.lit("title")), F.lit("")), markdown_title(F.col("text"))).alias("title"), meta.alias("meta"),
     )
+
+
+def markdown_tree(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """markdown_rows of every *.md below path."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumnRenamed("value", "text")
+    out = markdown_rows(rows.withColumn("path", F.col("_metadata.file_path")))
     return out if folder is None else out.where(F.col("folder") == folder)
 
 
+def latest_documents(spark: SparkSession, manifests: str, folder: Callable[[str, str], str]) -> DataFrame:
+    """markdown_tree of the generations that their owners' manifests name, with owner; those whose manifest can't be read or says that its gate wasn't passed are left out.
+
+    manifests is a pattern of paths .../owner=<owner>/<file>.json of JSON with quality_passed and output; ``folder`` gives an
+    owner's generation's path. Owners are few: their paths are all that the driver sees.
+    """
+    read = spark.read.text(manifests, wholetext=True).select(F.regexp_extract("_metadata.file_path", "/owner=([^/]+)/", 1).alias("owner"), F.try_parse_json("value").alias("v"))
+    good = read.where(F.coalesce(F.try_variant_get("v", "$.quality_passed", "boolean"), F.lit(False))).select("owner", F.try_variant_get("v", "$.output", "string").alias("output"))
+    chosen = [tuple(r) for r in good.where("output <> ''").distinct().collect()]
+    paths = [folder(owner, output) for owner, output in sorted(chosen)]
+    if not paths:
+        return markdown_rows(spark.createDataFrame([], "text string, path string")).withColumn("owner", F.lit(""))
+    rows = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    return markdown_rows(rows).withColumn("owner", F.regexp_extract("path", "/owner=([^/]+)/", 1))
+
+
 def admitted(documents: DataFrame, processed: DataFrame) -> DataFrame:
     """Documents with text and title whose content (sha256) is neither processed before nor a repeat; of repeats the first path stays."""
     fresh = documents.where("trim(text) <> '' AND title IS NOT NULL").join(processed.select("sha256").distinct(), "sha256", "left_anti")

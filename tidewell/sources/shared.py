@@ -39,3 +39,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rename_parts(spark: SparkSession, root: str, before: str, after: str) -> None:
+    """Give the files below root that end in ``before`` another ending, as Spark names what it writes by its own rules."""
+    fs, path = file_system(spark, root)
+    found, paths = fs.listFiles(path, True), []
+    while found.hasNext():
+        paths.append(found.next().getPath())
+    for p in paths:
+        if p.getName().endswith(before):
+            fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), p.getName().removesuffix(before) + after))
