@@ -287,3 +287,15 @@ def conditional_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     etag = F.when(F.col("k") == 0, F.substring(F.sha1("url"), 1, 8)).otherwise("stale")
     cache = rows.where("k < 2").select("url", etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit("kept").alias("body"))
     return fetch.fetched(rows.unionByName(rows), cache).drop("last_modified")
+
+
+@query("""
+WITH s AS (SELECT 'orders' AS name, sum(length('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') + 1)::BIGINT AS bytes FROM orders
+  UNION ALL SELECT 'nations', sum(length('{"n_nationkey":' || n_nationkey || '}') + 1)::BIGINT FROM nation)
+SELECT name, bytes, CASE WHEN name = 'orders' THEN 'dataset too large' END AS error FROM s""")
+def package_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of a package's datasets, by the lengths of their files."""
+    data = {"orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "nations": table(spark, sf_dir, "nation").select("n_nationkey")}
+    path = fresh_folder(spark, "package")
+    publish.write_package(data, path)
+    return publish.sizes(spark, path, most=1 << 40, member=10_000)

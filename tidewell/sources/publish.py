@@ -12,7 +12,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import gates
@@ -146,3 +146,15 @@ def import_seed(rows: DataFrame, archive: DataFrame, root: str, flag: str) -> Da
     manifest = digest_of(spark, root, "seed", rows.schema).select("*", F.lit(n["n_true"]).alias("n_true"), F.lit(n["n_false"]).alias("n_false"))
     manifest.write.json(f"{root}/manifest")
     return spark.read.schema("name string, n_rows long, digest string, n_true long, n_false long").json(f"{root}/manifest")
+
+
+#: Bytes that a package and one of its datasets may have.
+MOST_BYTES, MOST_MEMBER = 64 << 20, 48 << 20
+
+
+def sizes(spark: SparkSession, path: str, most: int = MOST_BYTES, member: int = MOST_MEMBER) -> DataFrame:
+    """name, bytes, error of a package's datasets: one that is too large, or all of them if together they are. Files aren't opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path", "length")
+    rows = found.groupBy(F.element_at(F.split("path", "/"), -2).alias("name")).agg(F.sum("length").alias("bytes"))
+    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)))  # a row for each dataset
+    return rows.withColumn("error", F.when(total > most, "package too large").when(F.col("bytes") > member, "dataset too large")).where("name <> 'manifest'")
