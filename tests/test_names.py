@@ -91,11 +91,11 @@ def test_funnel_equals_plain_python(spark, tmp_path):
                 counts["site"] += 1
                 continue
             kept += 1
-            counts["limit" if kept > 15 else "selected"] += 1
-        want[execution] = tuple(counts[c] for c in ("raw", "resolved", "stale", "site", "limit", "selected"))
+            counts["capped" if kept > 15 else "selected"] += 1
+        want[execution] = tuple(counts[c] for c in ("raw", "resolved", "stale", "site", "capped", "selected"))
         chosen.update(counts)
     marked = research.marked(research.resolved_sources(df), "2024-01-01")
     assert {r.execution: tuple(r)[1:] for r in research.funnel(marked).collect()} == want
     seen = research.write_sources(marked, f"file://{tmp_path}/sources")
-    assert seen == {c: chosen[c] for c in ("raw", "resolved", "stale", "site", "limit", "selected")}
+    assert seen == {c: chosen[c] for c in ("raw", "resolved", "stale", "site", "capped", "selected")}
     assert spark.read.parquet(f"file://{tmp_path}/sources").count() == chosen["selected"]

@@ -123,7 +123,7 @@ f AS (SELECT *, (published >= DATE '2024-06-01' - 365)::INT AS fresh FROM s),
 k AS (SELECT *, (fresh = 1 AND sum(fresh) OVER (PARTITION BY execution, host ORDER BY pair) <= 3)::INT AS kept FROM f),
 l AS (SELECT *, sum(kept) OVER (PARTITION BY execution ORDER BY pair) AS place FROM k)
 SELECT execution::VARCHAR AS execution, sum(n_merged)::BIGINT AS raw, count(*) AS resolved, count(*) FILTER (fresh = 0) AS stale, count(*) FILTER (fresh = 1 AND kept = 0) AS site,
-       count(*) FILTER (kept = 1 AND place > 15) AS "limit", count(*) FILTER (kept = 1 AND place <= 15) AS selected FROM l GROUP BY 1""")
+       count(*) FILTER (kept = 1 AND place > 15) AS capped, count(*) FILTER (kept = 1 AND place <= 15) AS selected FROM l GROUP BY 1""")
 def research_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as answers of fifty references a search, two of which are one source; read, resolved, aged out and capped, and counted in one pass."""
     page = F.col("page_id")

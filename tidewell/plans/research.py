@@ -44,17 +44,17 @@ def resolved_sources(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("execution").applyInPandas(_resolve, RESOLVED)
 
 
-STATUS = ("stale", "site", "limit", "selected")
+STATUS = ("stale", "site", "capped", "selected")
 
 
 def marked(sources: DataFrame, now: str, max_age_days: int = 365, per_site: int = 3, total: int = 15) -> DataFrame:
-    """sources with status: stale if dated and too old; site beyond per_site fresh ones of a host; limit beyond total of an execution; else selected, with place."""
+    """sources with status: stale if dated and too old; site beyond per_site fresh ones of a host; capped beyond total of an execution; else selected, with place."""
     fresh = F.col("published").isNull() | (F.col("published") >= F.date_sub(F.lit(now).cast("date"), max_age_days))
     rows = sources.withColumns({"host": values.host(F.col("url")), "_fresh": fresh.cast("int")})
     order = lambda *by: Window.partitionBy(*by).orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_kept", ((F.col("_fresh") == 1) & (F.sum("_fresh").over(order("execution", "host")) <= per_site)).cast("int"))
     rows = rows.withColumn("place", F.sum("_kept").over(order("execution")))
-    status = F.when(F.col("_fresh") == 0, "stale").when(F.col("_kept") == 0, "site").when(F.col("place") > total, "limit").otherwise("selected")
+    status = F.when(F.col("_fresh") == 0, "stale").when(F.col("_kept") == 0, "site").when(F.col("place") > total, "capped").otherwise("selected")
     return rows.withColumn("status", status).withColumn("place", F.when(F.col("status") == "selected", F.col("place"))).drop("_fresh", "_kept")
 
 
@@ -69,7 +69,7 @@ def funnel_counts() -> list[Column]:
 
 
 def funnel(rows: DataFrame) -> DataFrame:
-    """execution, raw, resolved, stale, site, limit, selected of marked rows: one aggregation."""
+    """execution, raw, resolved, stale, site, capped, selected of marked rows: one aggregation."""
     return rows.groupBy("execution").agg(*funnel_counts())
 
 
