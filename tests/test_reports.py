@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.plans import reports
 
@@ -52,3 +53,9 @@ def test_errors_and_limits(told):
     assert set(items) == {"v2", "old", "many"}
     assert [t for _, _, t, _ in items["many"]["core_judgment"]] == [f"i{i}" for i in range(30)]
     assert len(states["many"].warnings) == 30 and states["many"].warnings[0] == "未找到引用来源：u0"
+
+
+def test_cleaned_text(spark):
+    odd = [("a\x00b\x07c\td", 99, "abc\td"), ("\u3000 x\xa0", 99, "x"), ("&lt;b&gt;x&amp;lt;", 99, "x&lt;"), (None, 9, ""), ("abc", 2, "ab"), ("1 <2> 3", 99, "1 <2> 3"), ("```JSON\n{}```", 99, "{}")]
+    for text, most, want in odd:
+        assert spark.createDataFrame([(text,)], "t string").select(reports.clean_text(F.col("t"), most)).first()[0] == want

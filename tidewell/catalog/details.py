@@ -299,3 +299,17 @@ def package_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "package")
     publish.write_package(data, path)
     return publish.sizes(spark, path, most=1 << 40, member=10_000)
+
+
+MARKED = ["```json\nA <b>b</b>\n```", " &lt;i&gt;x&lt;/i&gt; &amp; y ", "1 < 2 > 0", "<br/>", "", "　wide　", "x" * 200, "&quot;q&quot; ```text z"]
+
+
+@query(f"""
+WITH m AS (SELECT s_suppkey, {picked_sql('s_suppkey', MARKED, 1)} || s_name AS said FROM supplier),
+t AS (SELECT s_suppkey, regexp_replace(regexp_replace(said, '(?i)```(?:json|markdown|html|text)?', '', 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS t FROM m),
+u AS (SELECT s_suppkey, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '</?[A-Za-z][^>]*>', '', 'g') AS t FROM t)
+SELECT s_suppkey, left(regexp_replace(t, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g'), 150) AS cleaned FROM u""")
+def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a model without fences, tags, entities' tags and control characters, cut to a length."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(picked("s_suppkey", MARKED, 1), "s_name").alias("said"))
+    return rows.select("s_suppkey", reports.clean_text(F.col("said"), 150).alias("cleaned"))

@@ -50,9 +50,14 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", values.host(F.col("url")).alias("host"), values.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<li\\b[^>]*>', chr(10) || '- ', 'g'), '(?i)</?(?:p|div|br|li|tr|h[1-6]|table|ul|ol|section|article|header|footer|blockquote)\\b[^>]*>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(t, '</?[A-Za-z!][^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\v\\x{a0}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM c)
+SELECT page_id, length(array_to_string(lines, chr(10)))::INT AS n_chars, sha1(array_to_string(lines, chr(10))) AS digest FROM d""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of each page, by the standard parser in Arrow batches."""
+    """Text of each page, by the standard parser in Arrow batches."""
     rows = table(spark, sf_dir, "pages").select("page_id", values.html_text(F.col("html")).alias("text"))
     return rows.select("page_id", F.length("text").alias("n_chars"), F.sha1("text").alias("digest"))
 
