@@ -119,9 +119,14 @@ def _markdown(pages: DataFrame, key: str, body: str, spans: DataFrame) -> DataFr
     return cut.withColumn("content", F.coalesce(F.nullif(made, F.lit("")), F.lit(EMPTY))).drop("_body")
 
 
+def _each(wanted: list[str]) -> Column:
+    return F.explode(F.array(*[F.lit(w) for w in wanted]).cast("array<string>"))
+
+
 def sections(pages: DataFrame, key: str, body: str, headings: Iterable[str]) -> DataFrame:
     """key, heading, content, error: what follows the first heading of that text, up to a heading beside it of no lower rank, or one of EXCLUDED_HEADINGS."""
-    asked = F.broadcast(pages.sparkSession.createDataFrame([(h.strip(),) for h in headings], "heading string"))
+    wanted = [h.strip() for h in headings]
+    asked = F.broadcast(pages.sparkSession.createDataFrame([(h,) for h in wanted], "heading string"))
     found = nodes(pages, key, body)
     heads = texts(found, key, found.where(F.col("tag").rlike("^h[1-6]$"))).withColumn("level", F.substring("tag", 2, 1).cast("int"))
     first = heads.join(asked, F.col("text") == F.col("heading")).withColumn("_k", F.row_number().over(Window.partitionBy(key, "heading").orderBy("n"))).where("_k = 1")
@@ -134,13 +139,14 @@ def sections(pages: DataFrame, key: str, body: str, headings: Iterable[str]) ->
     spans = first.join(ends, [key, "heading"], "left").join(around, [key, "parent"], "left")
     spans = spans.select(key, "heading", "begin", F.coalesce("stop", "around", F.lit(1 << 30)).alias("end"))
     made = _markdown(pages, key, body, spans).select(key, "heading", "content")
-    rows = pages.select(key).join(asked).join(made, [key, "heading"], "left")  # a few headings
+    rows = pages.select(key, _each(wanted).alias("heading")).join(made, [key, "heading"], "left")
     return rows.withColumn("error", F.when(F.col("content").isNull(), F.concat(F.lit("no heading "), F.col("heading"))))
 
 
 def downloads(pages: DataFrame, key: str, body: str, apps: Iterable[str]) -> DataFrame:
     """key, app, released, platforms, introduction, error: of the blocks with a date of update and the app's name before the introduction, the smallest."""
-    asked = F.broadcast(pages.sparkSession.createDataFrame([(a.strip(),) for a in apps], "app string"))
+    wanted = [a.strip() for a in apps]
+    asked = F.broadcast(pages.sparkSession.createDataFrame([(a,) for a in wanted], "app string"))
     found = nodes(pages, key, body)
     blocks = texts(found, key, found.where("tag IN ('div', 'li', 'dl')")).where(F.contains("text", F.lit(INTRODUCTION)) & F.col("text").rlike(DATED))
     blocks = blocks.withColumn("_at", F.instr("text", INTRODUCTION))
@@ -152,7 +158,7 @@ def downloads(pages: DataFrame, key: str, body: str, apps: Iterable[str]) -> Dat
         key, "app", F.regexp_extract(text, DATED, 1).alias("released"), F.array_join(platforms, "、").alias("platforms"),
         F.coalesce(F.nullif(F.btrim(F.regexp_replace(said, BUTTONS, "")), F.lit("")), F.lit(EMPTY)).alias("introduction"),
     )
-    rows = pages.select(key).join(asked).join(told, [key, "app"], "left")  # a few apps
+    rows = pages.select(key, _each(wanted).alias("app")).join(told, [key, "app"], "left")
     return rows.withColumn("error", F.when(F.col("released").isNull(), F.concat(F.lit("no app "), F.col("app"))))
 
 
@@ -172,7 +178,8 @@ def cards(pages: DataFrame, key: str, body: str, apps: Iterable[str], card: str,
 
     card, name and content are simple selectors (see matches); :self takes the whole card.
     """
-    asked = F.broadcast(pages.sparkSession.createDataFrame([(a.strip(), "".join(a.split())) for a in apps], "app string, _bare string"))
+    wanted = [a.strip() for a in apps]
+    asked = F.broadcast(pages.sparkSession.createDataFrame([(a, "".join(a.split())) for a in wanted], "app string, _bare string"))
     found = nodes(pages, key, body)
     held = found.where(matches(found, card)).select(key, F.col("n").alias("card"), "last", F.col("begin").alias("_b"), F.col("end").alias("_e"))
 
@@ -189,7 +196,7 @@ def cards(pages: DataFrame, key: str, body: str, apps: Iterable[str], card: str,
         cut = F.regexp_replace("content", rf"(?m)\Q{prefix}\E.*?(?=安卓版：|Android版：|HarmonyOS|$)", "")
         lines = F.filter(F.split(cut, "\n"), lambda x, p=prefix: ~F.startswith(F.trim(x), F.lit(p)))
         made = made.withColumn("content", F.coalesce(F.nullif(clean(F.array_join(lines, "\n")), F.lit("")), F.lit(EMPTY)))
-    rows = pages.select(key).join(asked.select("app")).join(chosen.select(key, "app", F.lit(True).alias("_there")), [key, "app"], "left").join(made, [key, "app"], "left")
+    rows = pages.select(key, _each(wanted).alias("app")).join(chosen.select(key, "app", F.lit(True).alias("_there")), [key, "app"], "left").join(made, [key, "app"], "left")
     error = F.when(F.col("_there").isNull(), F.concat(F.lit("no app "), F.col("app"))).when(F.col("content").isNull(), F.concat(F.lit("no content for "), F.col("app")))
     return rows.withColumn("error", error).drop("_there")
 
