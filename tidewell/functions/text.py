@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.keywords import let
+
 #: Notice suffixes, legal suffixes, signs that keys leave out.
 NOTICE_SUFFIXES = (
     "中标候选人公示", "成交候选人公示", "中标结果公告", "成交结果公告", "采购结果公告", "结果公告", "招标公告", "采购公告", "询价公告", "竞争性磋商公告",
@@ -225,9 +227,7 @@ def front_matter(document: Column) -> Column:
         lines,
         lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]+:", "")), r"""^(["'])(.*)\1$""", "$2").alias("value")),
     )
-    keys = F.transform(pairs, lambda p: p["key"])
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(first)
+    return let(pairs, lambda held: let(F.transform(held, lambda p: p["key"]), lambda keys: F.map_from_entries(F.filter(held, lambda p, i: F.array_position(keys, p["key"]) == i + 1))))
 
 
 def decoded_front_matter(document: Column, strict: bool = False) -> Column:
@@ -239,18 +239,20 @@ def decoded_front_matter(document: Column, strict: bool = False) -> Column:
     block = F.regexp_extract(document, r"(?s)\A---\n(.*?)\n---\n" if strict else r"(?s)\A---\n(.*?)\n---", 1)
     lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^\s*[^:\s][^:]*:"))
 
-    def value(x: Column) -> Column:
-        raw = F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
-        json = F.try_parse_json(raw)
-        kind = F.coalesce(F.schema_of_variant(json), F.lit(""))
-        plain = F.btrim(raw, F.lit("'\""))
+    def value(raw: Column, json: Column, kind: Column) -> Column:
         read = F.try_variant_get(json, "$", "string")
-        return F.when(kind == "VOID", "").when(kind == "BOOLEAN", F.initcap(read)).when((kind == "") | F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), plain).otherwise(read)
+        other = (kind == "") | F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        return F.when(kind == "VOID", "").when(kind == "BOOLEAN", F.initcap(read)).when(other, F.btrim(raw, F.lit("'\""))).otherwise(read)
+
+    def pair(x: Column) -> Column:
+        raw, kind = F.trim(F.regexp_replace(x, r"^[^:]*:", "")), lambda json: F.coalesce(F.schema_of_variant(json), F.lit(""))
+        read = let(raw, lambda raw: let(F.try_parse_json(raw), lambda json: let(kind(json), lambda kind: value(raw, json, kind))))
+        return F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)).alias("key"), read.alias("value"))
+
+    def last(held: Column, keys: Column) -> Column:
+        return F.filter(held, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), p["key"]))
 
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)).alias("key"), value(x).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), p["key"]))
-    return F.map_from_entries(last)
+    return let(F.transform(lines, pair), lambda held: let(F.transform(held, lambda p: p["key"]), lambda keys: F.map_from_entries(last(held, keys))))
 
 
 def markdown_title(document: Column) -> Column:

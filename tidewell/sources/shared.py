@@ -41,6 +41,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 100_000) -> DataFrame:
+    """df dealt by keys to tasks of some ``rows`` rows, and to all cores at least: a small file of very many rows is read by one task."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *keys)
+
+
 def rename_parts(spark: SparkSession, root: str, before: str, after: str) -> None:
     """Give the files below root that end in ``before`` another ending, as Spark names what it writes by its own rules."""
     fs, path = file_system(spark, root)
