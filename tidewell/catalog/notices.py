@@ -12,6 +12,7 @@ from tidewell.catalog.labels import NOTES, listed, picked, picked_sql
 from tidewell.catalog.registry import query, table
 from tidewell.functions import text, values
 from tidewell.plans import notices, releases
+from tidewell.sources.shared import dealt
 
 #: Neutral phrases, then the words of all tables: titles hold one or two of them.
 NEUTRAL = ["", "某项目", "2024年度", "采购", "关于", "公司", "第一批", "（总部）", "x", "bi"]
@@ -114,7 +115,7 @@ h AS (SELECT f.p_partkey, content, coalesce(changes, []) AS changes FROM f LEFT
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [picked("p_partkey", LINES, k) for k in STEPS]
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *lines).alias("content"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.concat_ws("\n", *lines).alias("content"))
 
 
 @query(f"""
@@ -147,8 +148,9 @@ SELECT e.p_partkey, version, platform, published, array_to_string(list_filter([C
 FROM e LEFT JOIN r USING (p_partkey)""")
 def note_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version, platform and date that a note names, and what a model is given of it."""
-    rows = _contents(spark, sf_dir).select("p_partkey", notices.evidence(F.col("content")).alias("e"), notices.prepared_content(F.col("content")).alias("prepared"))
-    return rows.select("p_partkey", "e.version", "e.platform", "e.published", "prepared")
+    # a generator's rows are computed once, whatever reads them
+    rows = _contents(spark, sf_dir).select("p_partkey", F.inline(F.array(notices.prepared(F.col("content")))))
+    return rows.select("p_partkey", "evidence.version", "evidence.platform", "evidence.published", "prepared")
 
 
 PACKAGES = ["第一包", "二标段", "包件03", "第两包", "标段 12", "包十二", "三十一包", "2024包", "第〇包", "百包", "包件", "某项目", "十包件", "第零一标段", "000包", "", "包 九十"]

@@ -156,15 +156,27 @@ def scored(rows: DataFrame, published: str = "published") -> DataFrame:
     return rows.crossJoin(F.broadcast(latest)).withColumns({"score": score, "reason": reason}).drop("_latest")  # one row
 
 
-def meaningful_lines(content: Column) -> Column:
-    """Lines of content that tell of a change, without list marker and addresses, each once, up to 240 characters."""
-    lines = F.split(F.regexp_replace(F.coalesce(content, F.lit("")), r"\r\n?", "\n"), "\n")
-    told = F.filter(F.transform(lines, releases.source_line), lambda x: ~F.startswith(x, F.lit("#")) & releases.tells_change(x))
-    bare = F.transform(told, lambda x: F.btrim(F.regexp_replace(x, r"https?://\S+|www\.\S+", ""), F.lit(" ，,;；")))
+def _told_lines(lines: Column) -> Column:
+    """array<struct<x, told, low>>: each line as source_line gives it, whether it tells of a change, whether it is worth nothing; all of a line is computed once."""
+
+    def of(x: Column) -> Column:
+        told = lambda y, low: F.struct(x.alias("x"), (~F.startswith(x, F.lit("#")) & releases.line_tells_change(y, low)).alias("told"), low.alias("low"))
+        return let(releases.source_line(x), lambda y: let(releases.line_low_value(y), lambda low: told(y, low)))
+
+    return F.transform(F.transform(lines, releases.source_line), of)
+
+
+def _shown_changes(told: Column) -> Column:
+    bare = F.transform(F.filter(told, lambda r: r["told"]), lambda r: F.btrim(F.regexp_replace(r["x"], r"https?://\S+|www\.\S+", ""), F.lit(" ，,;；")))
     # lines are told apart whole, then cut to what is shown
     return F.transform(F.array_distinct(F.filter(bare, lambda x: x != "")), lambda x: F.substring(x, 1, 240))
 
 
+def meaningful_lines(content: Column) -> Column:
+    """Lines of content that tell of a change, without list marker and addresses, each once, up to 240 characters."""
+    return _shown_changes(_told_lines(F.split(F.regexp_replace(F.coalesce(content, F.lit("")), r"\r\n?", "\n"), "\n")))
+
+
 def update_fields(lines: Column) -> Column:
     """Struct of update_type, feature_tags and highlights that the lines of a note tell, without a model."""
 
@@ -188,32 +200,44 @@ LABELLED = r"^(?:版本|平台|更新日期|日期证据|版本证据|平台证
 def evidence(content: Column) -> Column:
     """Struct of version (all that are named, in order), platform and published (ISO, or empty) that a note's text names."""
     found = F.array_distinct(F.regexp_extract_all(content, F.lit(VERSION), F.lit(1)))
-    named = F.filter(F.array(*[F.when(F.contains(F.lower(content), F.lit(x.lower())), F.lit(x)) for x in SYSTEM_NAMES]), lambda x: x.isNotNull())
-    said = F.regexp_extract(content, DATED, 1)
-    date = F.coalesce(
-        *[F.to_date(F.try_to_timestamp(x, F.lit(p))) for x in (said, F.substring(said, 1, 10), F.translate(said, "/.", "--")) for p in ("yyyy-M-d", "yyyyMMdd")]
-    )
-    return F.struct(
-        F.array_join(found, "、").alias("version"), F.when(F.size(named) > 1, "全平台").otherwise(F.coalesce(F.get(named, F.lit(0)), F.lit(""))).alias("platform"),
-        F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("")).alias("published"),
-    )
+    named = let(F.lower(content), lambda low: F.filter(F.array(*[F.when(F.contains(low, F.lit(x.lower())), F.lit(x)) for x in SYSTEM_NAMES]), lambda x: x.isNotNull()))
+    one = let(named, lambda held: F.when(F.size(held) > 1, "全平台").otherwise(F.coalesce(F.get(held, F.lit(0)), F.lit(""))))
 
+    def date(said: Column) -> Column:
+        forms = [F.to_date(F.try_to_timestamp(x, F.lit(p))) for x in (said, F.substring(said, 1, 10), F.translate(said, "/.", "--")) for p in ("yyyy-M-d", "yyyyMMdd")]
+        return F.when(said != "", F.date_format(F.coalesce(*forms), "yyyy-MM-dd"))
+
+    published = F.coalesce(let(F.regexp_extract(content, DATED, 1), date), F.lit(""))
+    return F.struct(F.array_join(found, "、").alias("version"), one.alias("platform"), published.alias("published"))
+
+
+#: What ends a line besides \n and \r.
+OTHER_ENDS = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-def prepared_content(content: Column) -> Column:
-    """What a model is given of a note: evidence, lines of change, then what else may tell of one, labelled."""
-    content = F.coalesce(content, F.lit(""))
-    changes = meaningful_lines(content)
-    lines = F.transform(F.split(F.regexp_replace(content, r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n"), releases.source_line)
 
-    def more(changes: Column) -> Column:
+def prepared(content: Column) -> Column:
+    """Struct of evidence and of content as a model is given it: evidence, lines of change, then what else may tell of one, labelled."""
+    named = (("version", "版本证据："), ("platform", "平台证据："), ("published", "日期证据："))
+
+    def whole(told: Column, changes: Column, lines: Column) -> Column:
         fits = F.filter(
             lines,
-            lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.array_contains(changes, x) & ~x.isin(*releases.SOURCE_GENERIC) & ~releases.source_low_value(x)
-            & ~F.rtrim(x, F.lit("：:")).isin(*HEADINGS) & ~x.rlike(LABELLED),
+            lambda r: (r["x"] != "") & ~F.startswith(r["x"], F.lit("#")) & ~r["low"] & ~r["x"].isin(*releases.SOURCE_GENERIC) & ~F.array_contains(changes, r["x"])
+            & ~F.rtrim(r["x"], F.lit("：:")).isin(*HEADINGS) & ~r["x"].rlike(LABELLED),
         )
-        labelled = F.transform(F.array_distinct(F.transform(fits, lambda x: F.substring(x, 1, 240))), lambda x: F.concat(F.lit("官方更新说明候选："), x))
-        return F.concat(changes, labelled)
+        labelled = F.transform(F.array_distinct(F.transform(fits, lambda r: F.substring(r["x"], 1, 240))), lambda x: F.concat(F.lit("官方更新说明候选："), x))
+        heads = F.filter(F.array(*[F.when(told[c] != "", F.concat(F.lit(label), told[c])) for c, label in named]), lambda x: x.isNotNull())
+        return F.struct(told.alias("evidence"), F.array_join(F.concat(heads, changes, labelled), "\n").alias("prepared"))
+
+    def of(content: Column, told: Column) -> Column:
+        plain = F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n")
+        # lines are read once, but where other signs end lines too
+        every = lambda held: F.when(content.rlike(OTHER_ENDS), _told_lines(F.split(F.regexp_replace(content, rf"\r\n?|{OTHER_ENDS}", "\n"), "\n"))).otherwise(held)
+        return let(_told_lines(plain), lambda held: let(_shown_changes(held), lambda changes: whole(told, changes, every(held))))
+
+    return let(F.coalesce(content, F.lit("")), lambda content: let(evidence(content), lambda told: of(content, told)))
 
-    named, told = (("version", "版本证据："), ("platform", "平台证据："), ("published", "日期证据：")), evidence(content)
-    heads = F.filter(F.array(*[F.when(told[c] != "", F.concat(F.lit(label), told[c])) for c, label in named]), lambda x: x.isNotNull())
-    return F.array_join(F.concat(heads, let(changes, more)), "\n")
+
+def prepared_content(content: Column) -> Column:
+    """What a model is given of a note (see prepared)."""
+    return prepared(content)["prepared"]

@@ -105,8 +105,8 @@ def source_line(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*(?:[-*•·]\s*|\d+[.)、]\s*)", "")), r"\s+", " ")
 
 
-def source_low_value(c: Column) -> Column:
-    """A source's line of metadata or promotion, or what is left of unreadable signs."""
+def line_low_value(x: Column) -> Column:
+    """source_low_value of a line as source_line gives it."""
 
     def of(x: Column, low: Column, meaning: Column) -> Column:
         others = F.length(x) - F.length(meaning)
@@ -117,17 +117,23 @@ def source_low_value(c: Column) -> Column:
         )
 
     bare = lambda x: F.regexp_replace(x, r"[^A-Za-z0-9\u3400-\u9fff]", "")
-    return let(source_line(c), lambda x: let(F.struct(F.lower(x).alias("low"), bare(x).alias("meaning")), lambda s: of(x, s["low"], s["meaning"])))
+    return let(F.struct(F.lower(x).alias("low"), bare(x).alias("meaning")), lambda s: of(x, s["low"], s["meaning"]))
 
 
-def tells_change(c: Column) -> Column:
-    """Whether a source's line tells of a change: a word of change, or a short sentence on what is now supported."""
+def source_low_value(c: Column) -> Column:
+    """A source's line of metadata or promotion, or what is left of unreadable signs."""
+    return let(source_line(c), line_low_value)
+
+
+def line_tells_change(x: Column, low_value: Column) -> Column:
+    """tells_change of a line as source_line gives it, of which low_value is known."""
+    supports = (F.length(x) <= 120) & x.rlike("^(?:支持|现已支持|现在支持|正式支持)") & ~text.contains_any(x, ("系统", "语言", "客户", "版本"))
+    return ~low_value & ~x.isin(*SOURCE_GENERIC) & (text.contains_any(x, SOURCE_CHANGES) | supports)
 
-    def of(x: Column) -> Column:
-        supports = (F.length(x) <= 120) & x.rlike("^(?:支持|现已支持|现在支持|正式支持)") & ~text.contains_any(x, ("系统", "语言", "客户", "版本"))
-        return ~source_low_value(x) & ~x.isin(*SOURCE_GENERIC) & (text.contains_any(x, SOURCE_CHANGES) | supports)
 
-    return let(source_line(c), of)
+def tells_change(c: Column) -> Column:
+    """Whether a source's line tells of a change: a word of change, or a short sentence on what is now supported."""
+    return let(source_line(c), lambda x: line_tells_change(x, line_low_value(x)))
 
 
 RELEASE_TEXTS = ("app_name", "app_version", "platform", "publish_date", "update_type", "update_summary")
