@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 from collections import Counter
+from html import entities
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -171,10 +172,18 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
-def html_to_text(page: str | None) -> str:
-    """Text of a page: block tags end lines, list items begin with a dash, scripts and styles go."""
+def _unclosed(m: re.Match) -> str:
+    known = m[1] and (m[1][0] == "#" or m[1] in entities.html5)
+    return m[0] if known else f"&amp;{m[1] or ''}"
+
+
+def html_to_text(page: str | None, closed: bool = False) -> str:
+    """Text of a page: block tags end lines, list items begin with a dash, scripts and styles go.
+
+    With closed, a character reference counts only with its semicolon; else also &amp and the like without one, as in browsers.
+    """
     parser = _Text()
-    parser.feed(page or "")
+    parser.feed(re.sub(r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?", _unclosed, page or "") if closed else page or "")
     parser.close()
     lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in "".join(parser.out).split("\n"))
     return "\n".join(x for x in lines if x)
@@ -184,12 +193,16 @@ def _texts(s: pd.Series) -> pd.Series:
     return s.map(html_to_text)
 
 
+def _closed_texts(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: html_to_text(x, closed=True))
+
+
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
-def html_text(c: Column) -> Column:
-    return F.pandas_udf(_texts, "string")(c)
+def html_text(c: Column, closed: bool = False) -> Column:
+    return F.pandas_udf(_closed_texts if closed else _texts, "string")(c)
 
 
 def unescaped(c: Column) -> Column:
