@@ -1,5 +1,6 @@
 """Queries over tables that are small files of many rows, and steps whose work must grow no faster than their input."""
 
+import random
 import time
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog import ORACLE_SQL, QUERIES
 from tidewell.functions import text, values
+from tidewell.operators import aliases
 from tidewell.sources.shared import dealt
 
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +45,19 @@ def test_cut_character_references(spark, tmp_path):
     del got[3], want[3]  # the SQL knows no numbers
     assert got == want and len(got) == 5
     assert [values.html_to_text(x) for x in ("a&amp", "a&amp;")] == ["a&", "a&"] and values.html_to_text("&;&amp;amp;&#65;", closed=True) == "&;&amp;A"
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_few_pieces_are_looked_up(spark, monkeypatch, bits):
+    """Aliases that begin alike, in texts that hold hundreds of them: a few pieces a text are looked up, and with a filter that is full the result is the same."""
+    monkeypatch.setattr(aliases, "BITS", bits)
+    rng, seen, passing = random.Random(3), [], aliases._passing
+    monkeypatch.setattr(aliases, "_passing", lambda *a: seen.append(passing(*a)) or seen[-1])
+    word = lambda n: "same" + "".join(rng.choice("abc甲") for _ in range(n))
+    known = [(f"n{rng.randrange(9)}", word(rng.randrange(6))) for _ in range(2000)] + [(f"m{i}", f"{i}") for i in range(3000, 9000)]
+    texts = [(i, " ".join(word(rng.randrange(6)) for _ in range(200))) for i in range(60)] + [(900 + i, "x" * 300 + "3" * i) for i in range(6)]
+    got = {r.key: (r.name, r.alias) for r in aliases.longest_alias(spark.createDataFrame(texts, "key long, t string"), spark.createDataFrame(known, "name string, alias string"), "key", "t").collect()}
+    want = {key: max((len(a), n, a) for n, a in known if a in text)[1:] for key, text in texts if any(a in text for _, a in known)}
+    assert got == want and len(want) == 62
+    if bits == 1 << 27:
+        assert seen[0].count() < 200 * len(texts) and seen[1].count() == 0
