@@ -25,7 +25,7 @@ def test_front_matter_of_many_keys(spark):
     assert time.monotonic() - began < 10
 
 
-@pytest.mark.parametrize("name", ["front_matters", "note_evidence"])
+@pytest.mark.parametrize("name", ["front_matters", "note_evidence", "search_rounds"])
 def test_rows_of_a_small_file_go_to_all_cores(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
 

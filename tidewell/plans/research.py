@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import values
+from tidewell.sources.shared import tasks
 
 RESOLVED = "execution string, source_id int, rank int, provider_id string, url string, title string, site string, published date, n_merged int"
 
@@ -94,17 +95,21 @@ def searched(executions: DataFrame, ask: Callable[[DataFrame], DataFrame], minim
     Round 0 asks all planned queries; each later round asks the next supplemental one of executions that have fewer than
     ``minimum`` different addresses and no failure so far. ``ask`` takes (execution, query) and gives (execution, query,
     rank, url, error), a failure being one row with an error. Rounds are written below root, and read again by the next.
+    An execution's rows stay in one of n tasks, whose number grows with the executions, so that a task's memory doesn't.
     """
+    n = tasks(executions, 50_000)
+    executions = executions.repartition(n, "execution")
     spark, schema = executions.sparkSession, "execution string, query string, rank int, url string, error string, round int"
     for i in range(rounds + 1):
         if i == 0:
             todo = executions.select("execution", F.explode("planned").alias("query"))
         else:
-            so_far = spark.read.schema(schema).parquet(f"{root}/round-*").groupBy("execution").agg(F.count_distinct("url").alias("_n"), F.count("error").alias("_e"))
+            so_far = spark.read.schema(schema).parquet(f"{root}/round-*").repartition(n, "execution").groupBy("execution").agg(F.count_distinct("url").alias("_n"), F.count("error").alias("_e"))
             low = executions.join(so_far, "execution", "left").where((F.coalesce("_n", F.lit(0)) < minimum) & (F.coalesce("_e", F.lit(0)) == 0))
             todo = low.select("execution", F.get("supplemental", F.lit(i - 1)).alias("query")).where("query IS NOT NULL")
         answers = ask(todo).select("execution", "query", F.col("rank").cast("int").alias("rank"), "url", "error", F.lit(i).alias("round"))
         answers.write.parquet(f"{root}/round-{i}")
     out = spark.read.schema(schema).parquet(f"{root}/round-*")
-    counters = out.groupBy("execution", "round").agg(F.count_distinct("query").alias("queries"), F.count("url").alias("answers"), F.count_distinct("url").alias("addresses"), F.count("error").alias("failures"))
+    # sets of one execution's round; several count_distinct would deal all rows anew, each of them several times
+    counters = out.repartition(n, "execution").groupBy("execution", "round").agg(F.size(F.collect_set("query")).cast("long").alias("queries"), F.count("url").alias("answers"), F.size(F.collect_set("url")).cast("long").alias("addresses"), F.count("error").alias("failures"))
     return out, counters

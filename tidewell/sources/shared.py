@@ -43,8 +43,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def dealt(df: DataFrame, *keys: str, rows: int = 100_000) -> DataFrame:
     """df dealt by keys to tasks of some ``rows`` rows, and to all cores at least: a small file of very many rows is read by one task."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(n, *keys)
+    return df.repartition(tasks(df, rows), *keys)
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks of some ``rows`` rows df is worth, all cores at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
 def rename_parts(spark: SparkSession, root: str, before: str, after: str) -> None:
