@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.catalog import ORACLE_SQL, QUERIES
+from tidewell.catalog import ORACLE_SQL, QUERIES, apps
 from tidewell.functions import text, values
 from tidewell.operators import aliases
 from tidewell.sources.shared import dealt
@@ -30,6 +30,10 @@ def test_rows_of_a_small_file_go_to_all_cores(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
 
 
+def test_rows_of_releases_go_to_all_cores(spark):
+    assert apps.release_rows(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
 def test_tasks_keep_their_size(spark):
     assert dealt(spark.range(1000), "id", rows=50).rdd.getNumPartitions() == 20
 

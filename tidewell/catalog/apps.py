@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.catalog.labels import LOW_SQL, NOTES, SHOWN_SQL, listed, picked, picked_sql
 from tidewell.catalog.registry import query, table
 from tidewell.plans import releases
+from tidewell.sources.shared import dealt
 
 KEY = "event_id"
 #: field -> (phrases, step)
@@ -22,7 +23,7 @@ HIGHLIGHTS, TAGS = ((NOTES, 37), ([*NOTES[:12], "新增，行情推送！", "新
 
 
 def release_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = dealt(table(spark, sf_dir, "events").select(KEY), KEY)
     lists = {name: F.array(*[picked(KEY, phrases, step) for phrases, step in parts]).alias(name) for name, parts in (("highlights", HIGHLIGHTS), ("feature_tags", TAGS))}
     # seven events in eight have one of 40 groups' fields, so that releases have many rows
     events = events.select(F.when(F.col(KEY) % 8 > 0, F.col(KEY) % 997).otherwise(F.col(KEY)).alias(KEY))

@@ -269,7 +269,9 @@ def folded(rows: DataFrame, most: int = 5) -> DataFrame:
     best = F.coalesce(F.array_max(F.transform("highlights", update_score)), F.lit(-100))
     rows = rows.withColumns({"_key": key, "_s": update_score(F.col("update_summary")), "_h": best})
     # notes are ranked as rows, so that only the few that stay meet in one
-    notes = rows.select("_key", F.explode("highlights").alias("_t")).withColumn("_t", canonical_text(F.col("_t"))).withColumn("_n", update_score(F.col("_t"))).where("_n > -100")
+    notes = rows.select("_key", F.explode("highlights").alias("_t")).withColumn("_t", canonical_text(F.col("_t")))
+    # a release's rows repeat its notes, which are scored once each
+    notes = notes.distinct().withColumn("_n", update_score(F.col("_t"))).where("_n > -100")
     notes = notes.groupBy("_key", told_apart(F.col("_t")).alias("_same")).agg(F.min(F.struct((-F.col("_n")).alias("s"), F.col("_t").alias("t"))).alias("_note"))
     # one more than asked for, as one may be the summary
     notes = notes.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("_note"))).where(F.col("_k") <= most + 1)
