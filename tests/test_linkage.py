@@ -92,3 +92,13 @@ def test_titles_meet_by_rare_characters(spark):
     want = {(a, b) for a in some for b in titles if values.title_ratio_from(a, b, 0.45) >= 0.45}
     got = {(r.a, r.b) for r in met.where(F.col("a").isin(some)).collect()}
     assert want <= got and len(want) > len(set(some))
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver's memory goes by the plan that it has at a time: neither a step that is written nor the last one holds more than a few joins."""
+    joins, written = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join "), linkage.written
+    seen = []
+    for module in (linkage, flows):
+        monkeypatch.setattr(module, "written", lambda df, label: seen.append(joins(df)) or written(df, label), raising=False)
+    seen.append(joins(flows.linkage_pipeline(spark, "/root/testdata/sf0.001")))
+    assert max(seen) <= 6 and len(seen) > 5

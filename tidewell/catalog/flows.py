@@ -9,7 +9,7 @@ from tidewell.catalog.registry import query, table
 from tidewell.plans import linkage, research
 from tidewell.sources import files, paged, payloads, publish
 from tidewell.sources.shared import fresh_folder as work_folder
-from tidewell.sources.shared import rename_parts
+from tidewell.sources.shared import rename_parts, written
 from tidewell.streaming import flows
 
 
@@ -105,12 +105,10 @@ def linkage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates to merged rows with a deterministic client; counts by status."""
     results, notices = _notices(spark, sf_dir, "P"), _notices(spark, sf_dir, "O")
     scored = linkage.candidates(results, notices, top=5)
-    _, best = linkage.matched(scored)
-    path = work_folder(spark, "best")  # both passes and the decision read what was scored once
-    best.write.parquet(path)
-    best = spark.read.parquet(path)
+    _, best = linkage.matched(scored.select("r_id", *linkage.ORDER, "conflicts"))
+    best = written(best, "best")  # both passes and the decision read what was scored once
     first, second = linkage.asked(best), linkage.asked(best)
-    final = linkage.decided(best, first, second)
+    final = written(linkage.decided(best, first, second).select("r_id", "n_id", "status"), "final")
     merged = linkage.merged(notices, results, final.where("status = 'auto_matched'"))
     return merged.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_results", F.lit(0))).alias("n_linked"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import html
 import re
 from collections import Counter
@@ -123,8 +124,12 @@ def title_ratio(a: str, b: str) -> float:
     return 0.92 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio()
 
 
+#: Titles come again in many pairs of rows: a worker keeps the ratios it told last.
+_known_ratio = functools.lru_cache(1 << 16)(title_ratio)
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([title_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([_known_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def title_similarity(a: Column, b: Column) -> Column:

@@ -10,6 +10,9 @@ and on dates.
 A key that very many rows share gives very many pairs, of which only the best count. With ``top``,
 a notice goes out to a result only while fewer than ``top`` later ones of its class do: in
 a class all that scores depend on is equal or better but the date, and a later date is never worse.
+
+Steps are written between, so that no plan holds more than a few joins: the driver's memory goes by the
+plan that it has at a time, not by rows.
 """
 
 from __future__ import annotations
@@ -67,9 +70,11 @@ def _rarest_first(titles: DataFrame) -> Column:
     return F.pandas_udf(numbers, "array<long>")
 
 
-def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float | Column) -> DataFrame:
     """a, b: distinct titles of left and right (title, keys: each row once) that agree in keys and may have a similarity of ``least`` or more.
 
+    ``least`` is a number or made of the keys.
+
     Titles whose ratio is at least ``least`` share least / 2 of the characters of both, so they share one
     of the rarest of each: all but so many that the others are too few. A pair comes from the rarest
     character that both begin with, if what they share, counted as a bound of the ratio, is enough.
@@ -77,6 +82,7 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float) ->
     from the shorter one's rarest character.
     """
     # at least this share of a title's own characters is in common, as the other one holds them too
+    least = F.lit(least)
     own = least / (2 - least)
     first = lambda c: F.slice(c, 1, (F.size(c) - F.ceil(own * F.size(c) - 1e-9) + 1).cast("int"))
     a, b = (df.select(F.col("title").alias(x), F.col("t").alias(f"t{x}"), *keys) for df, x in ((left, "a"), (right, "b")))
@@ -98,19 +104,25 @@ def near_titles(left: DataFrame, right: DataFrame, buyers: DataFrame, days: int)
     equal; 0.9 whatever the dates, where one is missing.
     """
     bucket = lambda c: F.floor(F.unix_date(c) / days)
-    a = left.where("r_key_title <> ''").select(F.col("r_key_title").alias("title"), F.col("r_key_buyer").alias("buyer"), F.col("r_package").alias("package"), F.explode(F.array(bucket("r_published"), bucket("r_published") - 1)).alias("bucket")).distinct()
-    b = right.where("n_key_title <> ''").select(F.col("n_key_title").alias("title"), F.col("n_key_buyer").alias("buyer"), F.col("n_package").alias("package"), bucket("n_published").alias("bucket")).distinct()
-    numbers = _rarest_first(a.select("title").union(b.select("title")).distinct())
-    a, b = (written(df.join(df.select("title").distinct().withColumn("t", numbers("title")), "title"), "titles") for df in (a, b))
-    some = lambda df, *more: df.select("title", "t", *more).distinct()
+    a = left.where("r_key_title <> ''").select(F.col("r_key_title").alias("title"), F.col("r_key_buyer").alias("buyer"), F.col("r_package").alias("package"), F.explode(F.array(bucket("r_published"), bucket("r_published") - 1)).alias("bucket"))
+    b = right.where("n_key_title <> ''").select(F.col("n_key_title").alias("title"), F.col("n_key_buyer").alias("buyer"), F.col("n_package").alias("package"), bucket("n_published").alias("bucket"))
+    a, b = (written(df.distinct(), "titles") for df in (a, b))
+    every = written(a.select("title").union(b.select("title")).distinct(), "titles")
+    numbered = written(every.withColumn("t", _rarest_first(every)("title")), "titles")
     dated_a, dated_b = a.where("bucket IS NOT NULL"), b.where("bucket IS NOT NULL")
-    bought = some(dated_a, "bucket", "buyer").join(buyers, F.col("buyer") == F.col("r_key_buyer")).select("title", "t", "bucket", F.col("n_key_buyer").alias("buyer")).distinct()
-    pairs = [
-        similar(some(dated_a, "bucket"), some(dated_b, "bucket"), ["bucket"], 0.45), similar(bought, some(dated_b, "bucket", "buyer"), ["bucket", "buyer"], 0.32),
-        similar(some(dated_a.where("package <> ''"), "bucket", "package"), some(dated_b, "bucket", "package"), ["bucket", "package"], NEAR),
-        similar(some(a.where("bucket IS NULL")), some(b), [], 0.9), similar(some(dated_a), some(b.where("bucket IS NULL")), [], 0.9),
-    ]
-    pairs = functools.reduce(DataFrame.unionByName, pairs).distinct().select(F.col("a").alias("r_key_title"), F.col("b").alias("n_key_title"))
+    bought = dated_a.join(buyers, F.col("buyer") == F.col("r_key_buyer")).select("title", "bucket", F.col("n_key_buyer").alias("buyer"))
+    packaged_a, packaged_b = dated_a.where("package <> ''"), dated_b.where("package <> ''")
+    branches = {  # kind: left, right, what both agree in, similarity
+        "t": (dated_a, dated_b, ["bucket"], 0.45), "p": (bought, dated_b, ["bucket", "buyer"], 0.32), "k": (packaged_a, packaged_b, ["bucket", "package"], NEAR),
+        "r": (a.where("bucket IS NULL"), b, [], 0.9), "n": (dated_a, b.where("bucket IS NULL"), [], 0.9),
+    }
+
+    def keyed(side: int) -> DataFrame:
+        rows = [branch[side].select(F.lit(kind).alias("kind"), _key(kind, *[F.col(c).cast("string") for c in branch[2]]), "title") for kind, branch in branches.items()]
+        return written(functools.reduce(DataFrame.unionByName, rows).distinct().join(numbered, "title"), "titles")
+
+    least = F.coalesce(*[F.when(F.col("kind") == kind, branch[3]) for kind, branch in branches.items()])
+    pairs = similar(keyed(0), keyed(1), ["kind", "key"], least).distinct().select(F.col("a").alias("r_key_title"), F.col("b").alias("n_key_title"))
     return pairs.withColumn("title", values.title_similarity_from(F.col("r_key_title"), F.col("n_key_title"), NEAR)).where(F.col("title") >= NEAR)
 
 
@@ -127,7 +139,7 @@ def near_buyers(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
-def _key(kind: str, *columns: str) -> Column:
+def _key(kind: str, *columns: str | Column) -> Column:
     return F.concat_ws("\x1f", F.lit(kind), *columns).alias("key")
 
 
@@ -146,36 +158,37 @@ def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> Dat
     """Distinct (r_id, n_id): all pairs that may be accepted, or as many as hold each result's ``top`` best."""
     buyers = written(near_buyers(left, right), "near")
     titles = written(near_titles(left, right, buyers, days), "near")
-    similar = left.join(titles, "r_key_title")
-    bought = similar.where(F.col("title") >= 0.32).join(buyers, "r_key_buyer")
-    packaged = similar.where("r_package <> ''")
     keys = {  # kind: notices' key, what makes its classes
         "t": (["key_title"], ["package"]), "p": (["key_title", "key_buyer"], ["package", "purchaser"]), "k": (["key_title", "package"], []),
         "n": (["key_number"], ["key_title", "package", "purchaser"]), "f": (["source_file"], ["key_title", "package", "purchaser", "key_number"]),
     }
-    asks = {
-        "t": (similar.where(F.col("title") >= 0.45), ["n_key_title"]), "p": (bought, ["n_key_title", "n_key_buyer"]), "k": (packaged, ["n_key_title", "r_package"]),
-        "n": (left.where("r_key_number <> ''"), ["r_key_number"]), "f": (left.where("r_source_file <> ''"), ["r_source_file"]),
-    }
     union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
-
-    def held(kind: str) -> DataFrame:
-        key, more = ([f"n_{c}" for c in part] for part in keys[kind])
-        rows = right.where("n_published IS NOT NULL").where(F.col(key[-1]) != "")
-        until = F.date_add("n_published", days)
-        if top:
-            later = F.lead("n_published", top).over(Window.partitionBy(*key, *more).orderBy("n_published", "n_id"))
-            until = F.least(until, F.date_sub(later, 1))
-        return rows.select(_key(kind, *key), "n_id", F.col("n_published").alias("since"), until.alias("until")).where("until >= since")
-
-    asked = {kind: rows.select(_key(kind, *key), "r_id", "r_published") for kind, (rows, key) in asks.items()}
-    dated = _dated(union(asked.values()).where("r_published IS NOT NULL"), union(held(kind) for kind in keys), days)
+    # what a title's key goes on with, the least similarity with both dates, and without one
+    sides = {"t": (left, F.lit(None).cast("string"), 0.45, None), "p": (left.join(buyers, "r_key_buyer"), F.col("n_key_buyer"), 0.32, 0.9), "k": (left.where("r_package <> ''"), F.col("r_package"), NEAR, 0.92)}
+    titled = union(
+        rows.select("r_id", "r_published", "r_key_title", F.lit(kind).alias("kind"), more.alias("more"), F.lit(dated).cast("double").alias("dated"), F.lit(undated).cast("double").alias("undated"))
+        for kind, (rows, more, dated, undated) in sides.items()
+    )
+    titled = titled.join(titles, "r_key_title").withColumn("key", F.concat_ws("\x1f", "kind", "n_key_title", "more"))
+    asks = {kind: left.where(F.col(c) != "").select(_key(kind, c), "r_id", "r_published") for kind, c in (("n", "r_key_number"), ("f", "r_source_file"))}
+
+    n = {kind: ([f"n_{c}" for c in key], [f"n_{c}" for c in more]) for kind, (key, more) in keys.items()}
+    kinds = [F.struct(F.lit(kind).alias("kind"), _key(kind, *key), F.array(*key, *more).alias("class"), (F.col(key[-1]) != "").alias("named")) for kind, (key, more) in n.items()]
+    held = right.select("n_id", "n_published", F.explode(F.array(*kinds)).alias("k")).select("n_id", "n_published", "k.*").where("named")
+    until = F.date_add("n_published", days)
+    if top:
+        later = F.lead("n_published", top).over(Window.partitionBy("kind", "class").orderBy("n_published", "n_id"))
+        until = F.least(until, F.date_sub(later, 1))
+    since = held.where("n_published IS NOT NULL").select("key", "n_id", F.col("n_published").alias("since"), until.alias("until")).where("until >= since")
+    asked = union([titled.where("title >= dated").select("key", "r_id", "r_published"), *asks.values()])
+    dated = written(_dated(asked.where("r_published IS NOT NULL"), since, days).distinct(), "pairs")
     # undated rows: equal numbers, or titles at 0.9 with a near purchaser or the same package
-    asks = {"n": asks["n"], "p": (bought.where(F.col("title") >= 0.9), asks["p"][1]), "k": (packaged.where(F.col("title") >= 0.92), asks["k"][1])}
-    a = union(rows.select(_key(kind, *key), "r_id", "r_published") for kind, (rows, key) in asks.items())
-    b = union(right.where(F.col(f"n_{keys[kind][0][-1]}") != "").select(_key(kind, *[f"n_{c}" for c in keys[kind][0]]), "n_id", "n_published") for kind in asks)
-    undated = [a.where("r_published IS NULL").join(b, "key"), a.where("r_published IS NOT NULL").join(b.where("n_published IS NULL"), "key")]
-    return union([dated, *[rows.select("r_id", "n_id") for rows in undated]]).distinct()
+    asked = titled.where("title >= undated").select("key", "r_id", "r_published").unionByName(asks["n"])
+    # an undated result asks for all notices, a dated one for the undated
+    meets = F.explode(F.when(F.col("r_published").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("undated")
+    notices = held.where("kind IN ('n', 'p', 'k')").select("key", "n_id", F.col("n_published").isNull().alias("undated"))
+    undated = written(asked.select("key", "r_id", meets).join(notices, ["key", "undated"]).select("r_id", "n_id").distinct(), "pairs")
+    return dated.unionByName(undated)  # no pair is in both
 
 
 def candidates(results: DataFrame, notices: DataFrame, days: int = links.WINDOW_DAYS, top: int | None = None) -> DataFrame:
@@ -184,10 +197,8 @@ def candidates(results: DataFrame, notices: DataFrame, days: int = links.WINDOW_
     All of them, or with ``top`` at least the best ``top`` of each result by ORDER.
     """
     left, right = written(_prepared(results, "r"), "results"), written(_prepared(notices, "n"), "notices")
-    pairs = written(_pairs(left, right, days, top), "pairs").join(left, "r_id").join(right, "n_id")
-    names = ["r_key_title", "n_key_title"]
-    told = pairs.select(*names).distinct().withColumn("title", values.title_similarity(F.col("r_key_title"), F.col("n_key_title")))
-    pairs = pairs.join(told, names)
+    pairs = _pairs(left, right, days, top).join(left, "r_id").join(right, "n_id")
+    pairs = pairs.withColumn("title", values.title_similarity(F.col("r_key_title"), F.col("n_key_title")))
     pairs = pairs.withColumns({
         "purchaser": text.company_similarity(F.col("r_purchaser"), F.col("n_purchaser")),
         "package_score": links.package_similarity(F.col("r_package"), F.col("n_package")),
