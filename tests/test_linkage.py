@@ -11,6 +11,7 @@ from tidewell.catalog import flows
 from tidewell.functions import text, values
 from tidewell.operators import ranking
 from tidewell.plans import linkage
+from tidewell.sources import shared
 
 NOTICE = "id string, title string, number string, purchaser string, package string, published date, source_file string"
 BUYERS = ["某某证券股份有限公司", "某某证券有限公司", "某某证券上海分公司", "乙证券", "乙证券有限公司", "丙丁基金管理", "戊"]
@@ -102,3 +103,17 @@ def test_plans_stay_small(spark, monkeypatch):
         monkeypatch.setattr(module, "written", lambda df, label: seen.append(joins(df)) or written(df, label), raising=False)
     seen.append(joins(flows.linkage_pipeline(spark, "/root/testdata/sf0.001")))
     assert max(seen) <= 6 and len(seen) > 5
+
+
+def test_rows_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """What a join sends to all tasks the driver holds whole: it's tables of a few rows that their count tells, never one that Spark takes for small by its file."""
+    seen, written, plan = [], linkage.written, lambda df: df._jdf.queryExecution()
+    for module in (linkage, flows):
+        monkeypatch.setattr(module, "written", lambda df, label: seen.append(df) or written(df, label), raising=False)
+    sent = lambda: [n for df in seen for n in plan(df).executedPlan().toString().split("\n") if "BroadcastExchange" in n]
+    monkeypatch.setattr(shared, "FEW", 0)
+    seen.append(flows.linkage_pipeline(spark, "/root/testdata/sf0.001"))
+    assert sent() == [] and len(seen) > 5 and sum(plan(df).optimizedPlan().toString().count("Join ") for df in seen) > 15
+    few = written(spark.range(3), "few")
+    monkeypatch.setattr(shared, "FEW", 3)
+    assert [shared.met(df)._jdf.queryExecution().analyzed().toString().count("broadcast") for df in (few, few.union(few))] == [1, 0]

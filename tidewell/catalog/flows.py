@@ -92,7 +92,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notices(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).join(table(spark, sf_dir, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     return orders.select(
         F.col("o_orderkey").cast("string").alias("id"), F.concat_ws(" ", F.col("o_orderpriority"), F.col("c_mktsegment"), F.lit("采购公告")).alias("title"),
         F.concat(F.lit("P-"), (F.col("o_custkey") * 7 + F.month("o_orderdate")).cast("string")).alias("number"), F.col("c_name").alias("purchaser"), F.lit("").alias("package"),

@@ -11,8 +11,9 @@ A key that very many rows share gives very many pairs, of which only the best co
 a notice goes out to a result only while fewer than ``top`` later ones of its class do: in
 a class all that scores depend on is equal or better but the date, and a later date is never worse.
 
-Steps are written between, so that no plan holds more than a few joins: the driver's memory goes by the
-plan that it has at a time, not by rows.
+Steps are written between, so that no plan holds more than a few joins, and what grows with the rows is joined
+by sorting (the hint merge; met, where it may be few rows), not sent to all tasks by way of the driver: its
+memory goes by the plan that it has at a time, not by rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text, values
 from tidewell.operators import links, ranking
-from tidewell.sources.shared import written
+from tidewell.sources.shared import met, written
 
 FIELDS = ("id", "title", "number", "purchaser", "package", "published", "source_file")
 #: Below it no branch of the recall rule looks at titles.
@@ -86,14 +87,14 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], least: float | C
     own = least / (2 - least)
     first = lambda c: F.slice(c, 1, (F.size(c) - F.ceil(own * F.size(c) - 1e-9) + 1).cast("int"))
     a, b = (df.select(F.col("title").alias(x), F.col("t").alias(f"t{x}"), *keys) for df, x in ((left, "a"), (right, "b")))
-    one = a.withColumn("pa", first(F.col("ta"))).withColumn("c", F.explode("pa")).join(b.withColumn("pb", first(F.col("tb"))).withColumn("c", F.explode("pb")), [*keys, "c"])
+    one = a.withColumn("pa", first(F.col("ta"))).withColumn("c", F.explode("pa")).join(b.withColumn("pb", first(F.col("tb"))).withColumn("c", F.explode("pb")).hint("merge"), [*keys, "c"])
     both = F.size("ta") + F.size("tb")
     enough = 2 * F.size(F.array_intersect("ta", "tb")) >= least * both - 1e-9
     # the first that both begin with, so that a pair comes once for the same keys
     told = one.where(2 * F.least(F.size("ta"), F.size("tb")) >= least * both - 1e-9).where((F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("c")) & enough)
     short = lambda x, y: 2 * F.size(x) < least * (F.size(x) + F.size(y)) + 1e-9
-    inner = a.withColumn("c", F.element_at("ta", 1)).join(b.withColumn("c", F.explode("tb")), [*keys, "c"]).where(short("ta", "tb") & F.contains("b", F.col("a")))
-    outer = b.withColumn("c", F.element_at("tb", 1)).join(a.withColumn("c", F.explode("ta")), [*keys, "c"]).where(short("tb", "ta") & F.contains("a", F.col("b")))
+    inner = a.withColumn("c", F.element_at("ta", 1)).join(b.withColumn("c", F.explode("tb")).hint("merge"), [*keys, "c"]).where(short("ta", "tb") & F.contains("b", F.col("a")))
+    outer = b.withColumn("c", F.element_at("tb", 1)).join(a.withColumn("c", F.explode("ta")).hint("merge"), [*keys, "c"]).where(short("tb", "ta") & F.contains("a", F.col("b")))
     return functools.reduce(DataFrame.unionByName, [x.select("a", "b") for x in (told, inner, outer)])
 
 
@@ -110,7 +111,7 @@ def near_titles(left: DataFrame, right: DataFrame, buyers: DataFrame, days: int)
     every = written(a.select("title").union(b.select("title")).distinct(), "titles")
     numbered = written(every.withColumn("t", _rarest_first(every)("title")), "titles")
     dated_a, dated_b = a.where("bucket IS NOT NULL"), b.where("bucket IS NOT NULL")
-    bought = dated_a.join(buyers, F.col("buyer") == F.col("r_key_buyer")).select("title", "bucket", F.col("n_key_buyer").alias("buyer"))
+    bought = dated_a.join(met(buyers), F.col("buyer") == F.col("r_key_buyer")).select("title", "bucket", F.col("n_key_buyer").alias("buyer"))
     packaged_a, packaged_b = dated_a.where("package <> ''"), dated_b.where("package <> ''")
     branches = {  # kind: left, right, what both agree in, similarity
         "t": (dated_a, dated_b, ["bucket"], 0.45), "p": (bought, dated_b, ["bucket", "buyer"], 0.32), "k": (packaged_a, packaged_b, ["bucket", "package"], NEAR),
@@ -119,7 +120,7 @@ def near_titles(left: DataFrame, right: DataFrame, buyers: DataFrame, days: int)
 
     def keyed(side: int) -> DataFrame:
         rows = [branch[side].select(F.lit(kind).alias("kind"), _key(kind, *[F.col(c).cast("string") for c in branch[2]]), "title") for kind, branch in branches.items()]
-        return written(functools.reduce(DataFrame.unionByName, rows).distinct().join(numbered, "title"), "titles")
+        return written(functools.reduce(DataFrame.unionByName, rows).distinct().join(met(numbered), "title"), "titles")
 
     least = F.coalesce(*[F.when(F.col("kind") == kind, branch[3]) for kind, branch in branches.items()])
     pairs = similar(keyed(0), keyed(1), ["kind", "key"], least).distinct().select(F.col("a").alias("r_key_title"), F.col("b").alias("n_key_title"))
@@ -134,8 +135,8 @@ def near_buyers(left: DataFrame, right: DataFrame) -> DataFrame:
         ends = F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: (i >= 4) | (i == F.length(c)))
         return F.explode(F.transform(ends, lambda i: F.substr(F.col(c), F.lit(1), i)))
 
-    one = a.withColumn("n_key_buyer", begins("r_key_buyer")).join(b, "n_key_buyer").select("r_key_buyer", "n_key_buyer")
-    two = b.withColumn("r_key_buyer", begins("n_key_buyer")).join(a, "r_key_buyer").select("r_key_buyer", "n_key_buyer")
+    one = a.withColumn("n_key_buyer", begins("r_key_buyer")).join(b.hint("merge"), "n_key_buyer").select("r_key_buyer", "n_key_buyer")
+    two = b.withColumn("r_key_buyer", begins("n_key_buyer")).join(a.hint("merge"), "r_key_buyer").select("r_key_buyer", "n_key_buyer")
     return one.unionByName(two).distinct()
 
 
@@ -151,7 +152,7 @@ def _dated(asks: DataFrame, notices: DataFrame, days: int) -> DataFrame:
     size = F.when(until - since < SHORT, F.lit(SHORT)).otherwise(wide)
     cells = F.transform(F.array_distinct(F.array(F.floor(since / size), F.floor(until / size))), lambda b: F.struct(size.alias("w"), b.alias("b")))
     held = notices.select("*", F.explode(cells).alias("cell"))
-    return asked.join(held, ["key", "cell"]).where(F.col("r_published").between(F.col("since"), F.col("until"))).select("r_id", "n_id")
+    return asked.join(held.hint("merge"), ["key", "cell"]).where(F.col("r_published").between(F.col("since"), F.col("until"))).select("r_id", "n_id")
 
 
 def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> DataFrame:
@@ -164,12 +165,12 @@ def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> Dat
     }
     union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     # what a title's key goes on with, the least similarity with both dates, and without one
-    sides = {"t": (left, F.lit(None).cast("string"), 0.45, None), "p": (left.join(buyers, "r_key_buyer"), F.col("n_key_buyer"), 0.32, 0.9), "k": (left.where("r_package <> ''"), F.col("r_package"), NEAR, 0.92)}
+    sides = {"t": (left, F.lit(None).cast("string"), 0.45, None), "p": (left.join(met(buyers), "r_key_buyer"), F.col("n_key_buyer"), 0.32, 0.9), "k": (left.where("r_package <> ''"), F.col("r_package"), NEAR, 0.92)}
     titled = union(
         rows.select("r_id", "r_published", "r_key_title", F.lit(kind).alias("kind"), more.alias("more"), F.lit(dated).cast("double").alias("dated"), F.lit(undated).cast("double").alias("undated"))
         for kind, (rows, more, dated, undated) in sides.items()
     )
-    titled = titled.join(titles, "r_key_title").withColumn("key", F.concat_ws("\x1f", "kind", "n_key_title", "more"))
+    titled = titled.join(met(titles), "r_key_title").withColumn("key", F.concat_ws("\x1f", "kind", "n_key_title", "more"))
     asks = {kind: left.where(F.col(c) != "").select(_key(kind, c), "r_id", "r_published") for kind, c in (("n", "r_key_number"), ("f", "r_source_file"))}
 
     n = {kind: ([f"n_{c}" for c in key], [f"n_{c}" for c in more]) for kind, (key, more) in keys.items()}
@@ -187,7 +188,7 @@ def _pairs(left: DataFrame, right: DataFrame, days: int, top: int | None) -> Dat
     # an undated result asks for all notices, a dated one for the undated
     meets = F.explode(F.when(F.col("r_published").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("undated")
     notices = held.where("kind IN ('n', 'p', 'k')").select("key", "n_id", F.col("n_published").isNull().alias("undated"))
-    undated = written(asked.select("key", "r_id", meets).join(notices, ["key", "undated"]).select("r_id", "n_id").distinct(), "pairs")
+    undated = written(asked.select("key", "r_id", meets).join(notices.hint("merge"), ["key", "undated"]).select("r_id", "n_id").distinct(), "pairs")
     return dated.unionByName(undated)  # no pair is in both
 
 
@@ -197,7 +198,7 @@ def candidates(results: DataFrame, notices: DataFrame, days: int = links.WINDOW_
     All of them, or with ``top`` at least the best ``top`` of each result by ORDER.
     """
     left, right = written(_prepared(results, "r"), "results"), written(_prepared(notices, "n"), "notices")
-    pairs = _pairs(left, right, days, top).join(left, "r_id").join(right, "n_id")
+    pairs = _pairs(left, right, days, top).join(left.hint("merge"), "r_id").join(right.hint("merge"), "n_id")
     pairs = pairs.withColumn("title", values.title_similarity(F.col("r_key_title"), F.col("n_key_title")))
     pairs = pairs.withColumns({
         "purchaser": text.company_similarity(F.col("r_purchaser"), F.col("n_purchaser")),
@@ -275,7 +276,7 @@ def decided(best: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """Each result's best pair with the final status of two passes of answers."""
     one = first.select("r_id", F.col("n_id").alias("id1"), F.col("decision").alias("d1"), F.col("confidence").alias("c1"), F.col("error").alias("e1"))
     two = second.select("r_id", F.col("n_id").alias("id2"), F.col("decision").alias("d2"), F.col("confidence").alias("c2"), F.col("error").alias("e2"))
-    rows = best.join(one, "r_id", "left").join(two, "r_id", "left")
+    rows = best.join(one.hint("merge"), "r_id", "left").join(two.hint("merge"), "r_id", "left")
     error = F.col("e1").isNotNull() | F.col("e2").isNotNull() | F.col("d1").isNull() | F.col("d2").isNull()
     status = links.two_pass_decision(F.col("d1"), F.col("d2"), F.col("id1") == F.col("id2"), F.least("c1", "c2"), F.size("conflicts") > 0, error)
     return rows.withColumn("status", status).drop("id1", "d1", "e1", "id2", "d2", "e2")
@@ -286,10 +287,10 @@ def merged(notices: DataFrame, results: DataFrame, accepted: DataFrame) -> DataF
 
     accepted has r_id and n_id.
     """
-    linked = results.join(accepted.select(F.col("r_id").alias("id"), F.col("n_id").alias("_n")), "id")
+    linked = results.join(accepted.select(F.col("r_id").alias("id"), F.col("n_id").alias("_n")).hint("merge"), "id")
     history = linked.select(F.col("_n").alias("id"), F.col("id").alias("result_id"), "published", "title")
-    own = links.with_history(notices, history, "id", ["published", "result_id"], ["result_id", "title"]).withColumn("kind", F.lit("notice"))
-    alone = results.join(accepted.select(F.col("r_id").alias("id")), "id", "left_anti").withColumn("kind", F.lit("result"))
+    own = links.with_history(notices.hint("merge"), history, "id", ["published", "result_id"], ["result_id", "title"]).withColumn("kind", F.lit("notice"))
+    alone = results.join(accepted.select(F.col("r_id").alias("id")).hint("merge"), "id", "left_anti").withColumn("kind", F.lit("result"))
     return own.unionByName(alone, allowMissingColumns=True)
 
 

@@ -41,6 +41,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a join may send to all tasks.
+FEW = 10_000
+
+
+def met(df: DataFrame) -> DataFrame:
+    """df, as ``written`` gave it, for a join: sent to all tasks if it has few rows, else both sides are sorted.
+
+    Spark would go by the size of compressed files, which may be a hundredth of the rows', and what is sent the driver holds whole.
+    """
+    return df.hint("broadcast" if df.count() <= FEW else "merge")
+
+
 def dealt(df: DataFrame, *keys: str, rows: int = 100_000) -> DataFrame:
     """df dealt by keys to tasks of some ``rows`` rows, and to all cores at least: a small file of very many rows is read by one task."""
     return df.repartition(tasks(df, rows), *keys)
